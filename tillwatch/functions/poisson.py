@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,11 +44,16 @@ def _large(k: Column, rate: Column) -> Column:
     ).otherwise(F.greatest(peak + 11.5 * spread, rate + 6.0 * spread))
     centre = peak * F.log(peak) - peak - _log_gamma(a)
     half = (edge - rate) / 2
-    parts = []
-    for node, weight in zip(NODES, WEIGHTS, strict=True):
-        t = rate + half * float(node + 1)
-        parts.append(float(weight) * F.exp(-(t - peak) + peak * (F.log(t) - F.log(peak))))
-    integral = reduce(lambda x, y: x + y, parts) * half * F.exp(centre)
+    nodes = F.array(*[
+        F.struct(F.lit(float(node + 1)).alias("node"), F.lit(float(weight)).alias("weight"))
+        for node, weight in zip(NODES, WEIGHTS, strict=True)
+    ])
+
+    def add(total: Column, at: Column) -> Column:
+        t = rate + half * at["node"]
+        return total + at["weight"] * F.exp(peak * F.log(t / peak) - (t - peak))
+
+    integral = F.aggregate(nodes, F.lit(0.0), add) * half * F.exp(centre)
     return F.when(below, -integral).otherwise(1.0 - integral)
 
 
@@ -62,8 +65,5 @@ def poisson_tail(k: Column, rate: Column) -> Column:
     the tail falls below double-precision resolution of 1.
     """
     tail = F.when(k <= SMALL_COUNT, _small(k, rate)).otherwise(_large(k, rate))
-    tail = F.when(tail < 1.1e-16, 0.0).otherwise(tail)
-    return (
-        F.when(k <= 0, 1.0).when(rate <= 0, 0.0)
-        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
-    )
+    floored = F.transform(F.array(tail), lambda p: F.when(p < 1.1e-16, 0.0).otherwise(F.least(p, F.lit(1.0))))
+    return F.when(k <= 0, 1.0).when(rate <= 0, 0.0).otherwise(floored[0])

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tillwatch import constants as K
-from tillwatch.functions.taxonomy import lookup
+from tillwatch.functions.literals import literal_array, lookup
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ def rungs(base: Column) -> Column:
     tails = {action: K.LADDER[start:] for start, action in enumerate(K.LADDER)}
     branch = None
     for action, tail in tails.items():
-        value = F.array(*[F.lit(name) for name in tail])
+        value = literal_array(tail)
         branch = F.when(base == action, value) if branch is None else branch.when(base == action, value)
     return branch.otherwise(F.array(base))
 
@@ -61,9 +61,12 @@ def in_quiet_hours(hour: Column, config: PolicyConfig) -> Column:
     return (hour >= start) & (hour < end)
 
 
-def terminal_state(final: Column, evaluations: Column) -> Column:
+def attempts_exhausted(evaluations: Column) -> Column:
+    return F.exists(evaluations, lambda e: (e["name"] == "attempt_cap") & e["blocked"])
+
+
+def terminal_state(final: Column, gave_up: Column) -> Column:
     """Where the ladder stands; no action means giving up only if the attempt cap said so."""
-    gave_up = F.exists(evaluations, lambda e: (e["name"] == "attempt_cap") & e["blocked"])
     named = {
         "recovery_link_now": "in_progress_link_now",
         "recovery_link_backoff": "in_progress_backoff",

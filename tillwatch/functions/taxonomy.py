@@ -8,15 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tillwatch import constants as K
-
-
-def lookup(mapping: dict[str, str], key: Column) -> Column:
-    """A literal map lookup as CASE WHEN, which stays inside generated code."""
-    (first, value), *rest = mapping.items()
-    branch = F.when(key == first, F.lit(value))
-    for name, value in rest:
-        branch = branch.when(key == name, F.lit(value))
-    return branch
+from tillwatch.functions.literals import literal_array, lookup
 
 
 def infer_error_code(reason: Column, explanation: Column) -> Column:
@@ -39,19 +31,16 @@ def infer_source(remediation_class: Column, method: Column) -> Column:
 def valid_steps(method: Column, upi_flow: Column) -> Column:
     """Steps the method may report. UPI depends on the flow, which must then be known."""
     upi = K.STEPS_BY_METHOD["upi"]
-    intent = F.array(*[F.lit(step) for step in [*upi, "payment_authentication"]])
-    collect = F.array(
-        *[F.lit(s) for s in [*upi, "payment_authentication_request", "payment_authentication_response"]]
-    )
+    collect = ["payment_authentication_request", "payment_authentication_response"]
     branch = F.when(
         method == "upi",
-        F.when(upi_flow == "collect", collect)
-        .when(upi_flow == "intent", intent)
+        F.when(upi_flow == "collect", literal_array([*upi, *collect]))
+        .when(upi_flow == "intent", literal_array([*upi, "payment_authentication"]))
         .otherwise(F.raise_error(F.lit("upi_flow is required for upi")).cast("array<string>")),
     )
     for name, steps in K.STEPS_BY_METHOD.items():
         if name != "upi":
-            branch = branch.when(method == name, F.array(*[F.lit(step) for step in steps]))
+            branch = branch.when(method == name, literal_array(steps))
     return branch
 
 
@@ -61,21 +50,16 @@ def infer_step(explanation: Column, method: Column, upi_flow: Column) -> Column:
     An authentication keyword on UPI answers with the flow's own authentication step.
     """
     text = F.lower(explanation)
-    steps = valid_steps(method, upi_flow)
-    upi_auth = F.when(upi_flow == "collect", "payment_authentication_request").otherwise(
+    authentication = F.when((method == "upi") & (upi_flow == "collect"), "payment_authentication_request").otherwise(
         "payment_authentication"
     )
-    branch = None
-    for keyword, step in K.STEP_KEYWORDS:
-        hit = text.contains(keyword)
-        if step == "payment_authentication":
-            rules = [(hit & (method == "upi"), upi_auth),
-                     (hit & F.array_contains(steps, step), F.lit(step))]
-        else:
-            rules = [(hit & F.array_contains(steps, step), F.lit(step))]
-        for condition, value in rules:
-            branch = F.when(condition, value) if branch is None else branch.when(condition, value)
-    return branch.otherwise("payment_initiation")
+    hits = [
+        F.when(text.contains(keyword), authentication if step == "payment_authentication" else F.lit(step))
+        for keyword, step in K.STEP_KEYWORDS
+    ]
+    steps = valid_steps(method, upi_flow)
+    possible = F.filter(F.array(*hits), lambda step: F.array_contains(steps, step))
+    return F.coalesce(F.get(possible, F.lit(0)), F.lit("payment_initiation"))
 
 
 def ground_truth() -> Column:

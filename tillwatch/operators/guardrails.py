@@ -219,7 +219,7 @@ def decide(
     final, evaluations = F.col("final_action"), F.col("guardrail_evaluations")
     rows = rows.select(
         "*",
-        P.terminal_state(final, evaluations).alias("ladder_terminal_state"),
+        P.terminal_state(final, F.col("_b4")).alias("ladder_terminal_state"),
         P.scheduled_delay_seconds(
             final, F.col("created_at"), F.col("attempt_number"), F.col("_b7"), config
         ).alias("scheduled_delay_seconds"),

@@ -38,15 +38,19 @@ def incident_buckets(scored: DataFrame, keys: Sequence[str] = ENTITY, max_gap: i
 
 
 def summarise_incidents(
-    buckets: DataFrame, detector: str, keys: Sequence[str] = ENTITY, width_seconds: int = K.BUCKET_SECONDS
+    buckets: DataFrame, detector: str | None, keys: Sequence[str] = ENTITY, width_seconds: int = K.BUCKET_SECONDS
 ) -> DataFrame:
-    """One row per incident; the end is exclusive and bridged buckets count."""
+    """One row per incident; the end is exclusive and bridged buckets count.
+
+    Pass no name when ``detector`` is already one of the keys.
+    """
+    named = [] if detector is None else [F.lit(detector).alias("detector")]
     spans = buckets.groupBy(*keys, "incident_no").agg(
         F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"),
         F.sum("n").alias("total_count"), F.max("score").alias("peak_score"),
     )
     return spans.select(
-        *keys, F.lit(detector).alias("detector"), "incident_no",
+        *keys, *named, "incident_no",
         bucket_start(F.col("first_idx"), width_seconds).alias("start"),
         bucket_start(F.col("last_idx") + 1, width_seconds).alias("end"),
         (F.col("last_idx") - F.col("first_idx") + 1).alias("n_buckets"), "total_count", "peak_score",

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillwatch.functions.literals import sql_literal
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators rely on (UTC, AQE with skew splitting)."""
@@ -52,20 +54,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _literal(value: object) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (int, float)):
-        return repr(value) if isinstance(value, int) else f"{value!r}D"
-    if isinstance(value, (list, tuple)):
-        return "array(" + ", ".join(_literal(item) for item in value) + ")"
-    escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{escaped}'"
-
-
 def inline_table(spark: SparkSession, columns: Sequence[str], rows: Iterable[Sequence[object]]) -> DataFrame:
     """A literal dimension as a local relation: exact statistics, no Python row transfer."""
-    values = ", ".join("(" + ", ".join(_literal(value) for value in row) + ")" for row in rows)
+    values = ", ".join("(" + ", ".join(sql_literal(value) for value in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")

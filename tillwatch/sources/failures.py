@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillwatch import constants as K
 from tillwatch.functions import taxonomy as tx
+from tillwatch.functions.literals import literal_array, pick
 from tillwatch.functions.timegrid import scoped_bank
 from tillwatch.schemas import FAILURES, assert_schema
 from tillwatch.session import pin_utc
@@ -31,11 +32,6 @@ def row_classes() -> list[str | None]:
     return [classes[reason] for reason in unique_reasons()]
 
 
-def pick(values: list[str | None], position: Column) -> Column:
-    """Element of a literal list, counted from zero."""
-    return F.element_at(F.array(*[F.lit(value) for value in values]), position.cast("int") + 1)
-
-
 def hash_percent(key: Column) -> Column:
     """A stable value in 0..99 from the first 32 bits of the key's MD5."""
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(100))
@@ -72,7 +68,7 @@ def derive_failures(spark: SparkSession, events: DataFrame) -> DataFrame:
     )
     padded_user = F.lpad(F.col("user_id").cast("string"), 6, "0")
     scoped = F.when(F.col("method").isin(K.BANK_SCOPED_METHODS), F.col("bank_pos")).otherwise(F.lit(12))
-    method_pos = F.array_position(F.array(*[F.lit(name) for name, _ in METHOD_CUTS]), F.col("method"))
+    method_pos = F.array_position(literal_array([name for name, _ in METHOD_CUTS]), F.col("method"))
     day_number = F.datediff(F.to_date("created_at"), F.lit("1970-01-01").cast("date"))
     window_hit = (
         (F.pmod(day_number * 5 + scoped * 7 + method_pos * 3, F.lit(9)) == 0)
