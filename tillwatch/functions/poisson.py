@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,3 +69,23 @@ def poisson_tail(k: Column, rate: Column) -> Column:
     tail = F.when(k <= SMALL_COUNT, _small(k, rate)).otherwise(_large(k, rate))
     floored = F.transform(F.array(tail), lambda p: F.when(p < 1.1e-16, 0.0).otherwise(F.least(p, F.lit(1.0))))
     return F.when(k <= 0, 1.0).when(rate <= 0, 0.0).otherwise(floored[0])
+
+
+def poisson_tail_value(k: int, rate: float) -> float:
+    """The same tail for one pair of numbers, for stateful stream operators."""
+    if k <= 0:
+        return 1.0
+    if rate <= 0:
+        return 0.0
+    if k <= SMALL_COUNT:
+        tail = 1.0 - math.fsum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(k))
+    else:
+        peak = k - 1.0
+        spread, below = math.sqrt(peak), rate <= peak
+        edge = max(0.0, min(peak - 7.5 * spread, rate - 5 * spread)) if below else max(peak + 11.5 * spread, rate + 6 * spread)
+        half = (edge - rate) / 2
+        t = rate + half * (NODES + 1)
+        area = float(np.sum(WEIGHTS * np.exp(peak * np.log(t / peak) - (t - peak)))) * half
+        area *= math.exp(peak * math.log(peak) - peak - math.lgamma(k))
+        tail = -area if below else 1.0 - area
+    return 0.0 if tail < 1.1e-16 else min(1.0, tail)

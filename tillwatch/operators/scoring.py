@@ -105,7 +105,8 @@ def detector_report(
         F.col("l_detector").alias("detector"), F.col("l_window_id").alias("window_id")
     ).agg(F.count("*").alias("fragments"), F.min("r_start").alias("first_start"))
     judged = tagged_windows.join(per_window, ["detector", "window_id"], "left")
-    delay = F.greatest(F.lit(0.0), (micros(F.col("first_start")) - micros(F.col("start"))) / 60_000_000)
+    late = (micros(F.col("first_start")) - micros(F.col("start"))) / 60_000_000
+    delay = F.when(late.isNotNull(), F.greatest(F.lit(0.0), late))
     fragments = F.coalesce("fragments", F.lit(0))
     window_stats = judged.groupBy(*group).agg(
         F.count("*").alias("n_true_windows"), F.count("fragments").alias("n_true_positive_windows"),

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tillwatch import constants as K
 from tillwatch.functions.taxonomy import true_label
 from tillwatch.functions.text import mask_description
-from tillwatch.operators.clustering import CLUSTERERS
+from tillwatch.operators.clustering import CLUSTERERS, ROOT_CAUSE
 from tillwatch.operators.corpus import opaque_description, tag_outliers
 from tillwatch.operators.metrics import cluster_metrics, crossover_shares, noise_handling
+from tillwatch.session import checkpointed
 from tillwatch.sources.dimensions import reason_explanation
 
 GROUP = ["candidate", "arm", "stratum"]
@@ -22,24 +23,27 @@ def label_table(failures: DataFrame, candidates: tuple[str, ...] = tuple(CLUSTER
     """Long table (candidate, arm, stratum, true_label, pred_label, is_outlier).
 
     The structured grouping labels every failure; text clusterers only the catch-all stratum.
+    The masked texts and each candidate's labels are checkpointed: eight plans over one input
+    would otherwise be planned, and on a lost executor recomputed, as a single one.
     """
     tagged = tag_outliers(failures)
-    texts = {
-        "transparent": F.col("description"),
-        "opaque": opaque_description(tagged, {r: reason_explanation(r) for r in K.CATCH_ALL_REASONS}),
-    }
+    opaque = opaque_description(tagged, {r: reason_explanation(r) for r in K.CATCH_ALL_REASONS})
     stratum = F.when(F.col("latent_subcause_id").isNotNull(), "catchall").otherwise("narrow")
+    rows = checkpointed(tagged.select(
+        "payment_id", "created_at", *ROOT_CAUSE, "is_outlier", stratum.alias("stratum"), true_label().alias("true_label"),
+        mask_description(F.col("description")).alias("transparent"), mask_description(opaque).alias("opaque"),
+    ))
     parts = []
-    for arm, text in texts.items():
-        rows = tagged.withColumn("masked_description", mask_description(text)).withColumn("stratum", stratum)
-        truth = rows.select("payment_id", "stratum", true_label().alias("true_label"), "is_outlier")
+    for arm in ("transparent", "opaque"):
         for name in candidates:
             source = rows if name == "groupby_reason" else rows.filter(F.col("stratum") == "catchall")
-            parts.append(
-                source.transform(CLUSTERERS[name]).join(truth, "payment_id")
-                .select(F.lit(name).alias("candidate"), F.lit(arm).alias("arm"), "stratum", "true_label",
-                        "pred_label", "is_outlier")
-            )
+            labels = source.withColumn("masked_description", F.col(arm)).transform(CLUSTERERS[name])
+            parts.append(checkpointed(
+                labels.join(rows, "payment_id").select(
+                    F.lit(name).alias("candidate"), F.lit(arm).alias("arm"), "stratum", "true_label", "pred_label",
+                    "is_outlier",
+                )
+            ))
     return reduce(DataFrame.unionByName, parts)
 
 
