@@ -6,6 +6,8 @@ Invalid rows are kept apart with the reason instead of failing the job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,19 +32,27 @@ def parse_signals(payloads: DataFrame, column: str = "payload") -> DataFrame:
     The bare name wins when both are present. ``problem`` names the first violation: not an
     object, a missing key, a value outside its closed list, or an empty reason.
     """
-    parsed = payloads.withColumn("_p", F.from_json(column, SIGNAL_PAYLOAD))
-    merged = parsed.select(
-        *payloads.columns, F.col("_p").isNull().alias("_broken"),
-        *[F.coalesce(F.col(f"_p.{name}"), F.col(f"_p.error_{name}")).alias(name) for name in ALIASES],
-        F.col("_p.field").alias("field"), F.col("_p.metadata").alias("metadata"),
-    )
-    checks = [(F.col("_broken"), "not an object")]
-    checks += [(F.col(name).isNull(), f"missing {name}") for name in ALIASES]
-    checks += [
-        (~F.col("code").isin(K.ERROR_CODES), "unknown code"), (~F.col("source").isin(K.ERROR_SOURCES), "unknown source"),
-        (~F.col("step").isin(K.ERROR_STEPS), "unknown step"), (F.length("reason") == 0, "empty reason"),
-    ]
-    return merged.withColumn("problem", first_problem(checks)).drop("_broken")
+    def normalise(p: Column) -> Column:
+        merged = {name: F.coalesce(p[name], p[f"error_{name}"]) for name in ALIASES}
+        checks = [(p.isNull(), "not an object")]
+        checks += [(value.isNull(), f"missing {name}") for name, value in merged.items()]
+        checks += [
+            (~merged["code"].isin(K.ERROR_CODES), "unknown code"), (~merged["source"].isin(K.ERROR_SOURCES), "unknown source"),
+            (~merged["step"].isin(K.ERROR_STEPS), "unknown step"), (F.length(merged["reason"]) == 0, "empty reason"),
+        ]
+        return F.struct(
+            *[value.alias(name) for name, value in merged.items()], p["field"].alias("field"),
+            p["metadata"].alias("metadata"), first_problem(checks).alias("problem"),
+        )
+
+    return with_parsed(payloads, F.from_json(column, SIGNAL_PAYLOAD), normalise)
+
+
+def with_parsed(payloads: DataFrame, parsed: Column, build: Callable[[Column], Column]) -> DataFrame:
+    """Append the fields of ``build(parsed)``. The parsed value is bound once, so a later filter
+    on ``problem`` does not multiply the JSON parsing by the number of checks."""
+    row = F.transform(F.array(parsed), build)[0]
+    return payloads.withColumn("_row", row).select(*payloads.columns, "_row.*")
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:
@@ -53,47 +63,52 @@ def quarantined_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("problem").isNotNull())
 
 
-def _downtime_columns(entity: Column) -> list[Column]:
+def _downtime_fields(entity: Column) -> dict[str, Column]:
     def seconds(name: str) -> Column:
         return F.timestamp_seconds(entity[name]).cast("timestamp_ntz")
 
-    return [
-        entity["id"].alias("id"), entity["method"].alias("method"), entity["instrument"]["bank"].alias("bank"),
-        seconds("begin").alias("begin"), seconds("end").alias("end"), entity["status"].alias("status"),
-        entity["scheduled"].alias("scheduled"), entity["severity"].alias("severity"),
-        F.coalesce(entity["instrument"], F.create_map().cast("map<string,string>")).alias("instrument"),
-        entity["flow"].alias("flow"), seconds("created_at").alias("created_at"),
-        seconds("updated_at").alias("updated_at"),
-    ]
+    return {
+        "id": entity["id"], "method": entity["method"], "bank": entity["instrument"]["bank"], "begin": seconds("begin"),
+        "end": seconds("end"), "status": entity["status"], "scheduled": entity["scheduled"], "severity": entity["severity"],
+        "instrument": F.coalesce(entity["instrument"], F.create_map().cast("map<string,string>")),
+        "flow": entity["flow"], "created_at": seconds("created_at"), "updated_at": seconds("updated_at"),
+    }
 
 
-def _downtime_checks() -> list[tuple[Column, str]]:
+def _downtime_checks(fields: dict[str, Column]) -> list[tuple[Column, str]]:
     required = ["id", "begin", "scheduled", "created_at", "updated_at"]
-    return [(F.col(name).isNull(), f"missing {name}") for name in required] + [
-        (~F.col("method").isin(K.DOWNTIME_METHODS), "unsupported method"),
-        (~F.col("status").isin(K.DOWNTIME_STATUSES), "unknown status"),
-        (~F.col("severity").isin(K.DOWNTIME_SEVERITIES), "unknown severity"),
+    return [(fields[name].isNull(), f"missing {name}") for name in required] + [
+        (~fields["method"].isin(K.DOWNTIME_METHODS), "unsupported method"),
+        (~fields["status"].isin(K.DOWNTIME_STATUSES), "unknown status"),
+        (~fields["severity"].isin(K.DOWNTIME_SEVERITIES), "unknown severity"),
     ]
 
 
+def _as_row(fields: dict[str, Column], checks: list[tuple[Column, str]]) -> Column:
+    return F.struct(*[value.alias(name) for name, value in fields.items()], first_problem(checks).alias("problem"))
+
+
 def parse_downtimes(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Downtime snapshot rows; the bank is read from the instrument map."""
-    parsed = payloads.withColumn("_d", F.from_json(column, DOWNTIME))
-    rows = parsed.select(*payloads.columns, *_downtime_columns(F.col("_d")))
-    return rows.withColumn("problem", first_problem(_downtime_checks()))
+    def build(entity: Column) -> Column:
+        fields = _downtime_fields(entity)
+        return _as_row(fields, _downtime_checks(fields))
+
+    return with_parsed(payloads, F.from_json(column, DOWNTIME), build)
 
 
 def parse_downtime_webhooks(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Downtime lifecycle webhooks: the entity sits under the dotted key ``payment.downtime``."""
-    parsed = payloads.withColumn("_w", F.from_json(column, DOWNTIME_WEBHOOK))
-    entity = F.col("_w.payload").getField("payment.downtime").getField("entity")
-    rows = parsed.select(
-        *payloads.columns, F.col("_w.account_id").alias("account_id"), F.col("_w.event").alias("event"),
-        F.timestamp_seconds(F.col("_w.created_at")).cast("timestamp_ntz").alias("delivered_at"),
-        *_downtime_columns(entity),
-    )
-    checks = [(F.col("account_id").isNull(), "missing account_id"), (~F.col("event").isin(K.DOWNTIME_EVENTS), "unknown event")]
-    return rows.withColumn("problem", first_problem(checks + _downtime_checks()))
+    def build(webhook: Column) -> Column:
+        entity = webhook["payload"].getField("payment.downtime").getField("entity")
+        fields = {
+            "account_id": webhook["account_id"], "event": webhook["event"],
+            "delivered_at": F.timestamp_seconds(webhook["created_at"]).cast("timestamp_ntz"), **_downtime_fields(entity),
+        }
+        own = [(fields["account_id"].isNull(), "missing account_id"), (~fields["event"].isin(K.DOWNTIME_EVENTS), "unknown event")]
+        return _as_row(fields, own + _downtime_checks(fields))
+
+    return with_parsed(payloads, F.from_json(column, DOWNTIME_WEBHOOK), build)
 
 
 def latest_downtimes(rows: DataFrame) -> DataFrame:
