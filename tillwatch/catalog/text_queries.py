@@ -19,6 +19,7 @@ from tillwatch.operators import audit, calls, clustering, corpus, execution, met
 from tillwatch.operators.dedup import first_deliveries
 from tillwatch.operators.diagnosis import default_diagnoses
 from tillwatch.plans import bakeoff
+from tillwatch.session import checkpointed, spread
 from tillwatch.sources import payloads
 from tillwatch.sources.dimensions import reason_explanation
 from tillwatch.sources.failures import failures_from_tables
@@ -142,7 +143,7 @@ def masked_descriptions(spark, sf):
 
 @query("masked_documents", f"SELECT doc_id, {mask_sql('text')} AS masked FROM documents")
 def masked_documents(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", mask_description(F.col("text")).alias("masked"))
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).select("doc_id", mask_description(F.col("text")).alias("masked"))
 
 
 @query("normalised_templates", f"{MASKED} SELECT lower(regexp_replace(trim(masked), '\\s+', ' ', 'g')) AS template, count(*) AS n FROM mf GROUP BY 1")
@@ -405,7 +406,7 @@ def audit_log_query(spark, sf):
     "SELECT chain_id, count(*) AS n_records, true AS valid FROM c GROUP BY 1"
 ))
 def audit_verification(spark, sf):
-    return audit.verify_chains(audit_log(spark, sf)).select("chain_id", "n_records", "valid")
+    return audit.verify_chains(checkpointed(audit_log(spark, sf))).select("chain_id", "n_records", "valid")
 
 
 HEAD = "'{\"o_orderkey\":' || o_orderkey || ',\"prev_hash\":'"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.functions.text import mask_description, template_hash
 from tillwatch.functions.timegrid import micros
-from tillwatch.session import checkpointed
+from tillwatch.session import checkpointed, spread
 
 NOISE = -1
 ROOT_CAUSE = ["error_code", "error_source", "error_step", "error_reason"]
@@ -25,19 +25,21 @@ Clusterer = Callable[[DataFrame], DataFrame]
 
 
 def with_masked(failures: DataFrame) -> DataFrame:
-    return failures.withColumn("masked_description", mask_description(F.col("description")))
+    return spread(failures).withColumn("masked_description", mask_description(F.col("description")))
 
 
 def rank_by_first_seen(groups: DataFrame, start: int = 0) -> DataFrame:
     """Number groups by their ``first`` struct (created_at, payment_id) without a global sort.
 
     Groups are ranked inside time buckets; the offset of a bucket is the running count of the
-    buckets before it, a table of at most 1,024 rows.
+    buckets before it, a table of at most 1,024 rows. The groups are checkpointed: they are read
+    several times here, and the failures behind them should be read once.
     """
+    groups = checkpointed(groups)
     us = micros(F.col("first.created_at"))
-    low, high = groups.agg(F.min(us)).scalar(), groups.agg(F.max(us)).scalar()
-    width = F.call_function("div", high - low, F.lit(RANK_BUCKETS)) + 1
-    placed = groups.withColumn("_bucket", F.call_function("div", us - low, width))
+    range_ = groups.agg(F.struct(F.min(us).alias("low"), F.max(us).alias("high")).alias("r")).scalar()
+    width = F.call_function("div", range_["high"] - range_["low"], F.lit(RANK_BUCKETS)) + 1
+    placed = groups.withColumn("_bucket", F.call_function("div", us - range_["low"], width))
     sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     running = F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("_bucket", F.coalesce(running, F.lit(0)).alias("_offset"))
@@ -126,7 +128,7 @@ def mine_templates(templates: DataFrame, threshold: float = 0.4) -> DataFrame:
 
 def cluster_by_mined_template(failures: DataFrame) -> DataFrame:
     """Mined groups as labels, numbered from 1 in first-seen order."""
-    mined = mine_templates(distinct_templates(failures))
+    mined = checkpointed(mine_templates(checkpointed(distinct_templates(failures))))
     groups = mined.groupBy("leaf", "group_no").agg(F.min("first").alias("first"))
     labels = rank_by_first_seen(groups, start=1)
     by_text = mined.join(labels.select("leaf", "group_no", "label"), ["leaf", "group_no"])
@@ -215,7 +217,7 @@ def connected_texts(edges: DataFrame) -> DataFrame:
 
 def density_labels(failures: DataFrame, min_cluster_size: int = 5, max_features: int = 5000, cosine_cut: float = 0.7) -> DataFrame:
     """Density clusters over TF-IDF as ``(masked_description, n, pred_label)``, noise -1."""
-    templates = distinct_templates(failures)
+    templates = checkpointed(distinct_templates(failures))
     total = templates.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     min_size = F.least(F.lit(min_cluster_size), F.greatest(F.lit(2), F.call_function("div", total, F.lit(2))))
     vectors = checkpointed(tfidf_vectors(templates, max_features))

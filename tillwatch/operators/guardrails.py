@@ -120,12 +120,18 @@ def default_chain(config: PolicyConfig) -> list[Guardrail]:
     ]
 
 
-def _apply(rows: DataFrame, number: int, rule: Guardrail) -> DataFrame:
-    """Add the flag ``_b`` and the resulting action ``_a``; plain columns, so that the chain
-    stays a stack of small projections instead of one expression that doubles per step."""
-    before = F.col(f"_a{number - 1}")
-    rows = rows.withColumn(f"_b{number}", F.coalesce(rule.blocked, F.lit(False)))
-    return rows.withColumn(f"_a{number}", F.when(F.col(f"_b{number}"), rule.replacement).otherwise(before))
+def _apply(rows: DataFrame, chain: list[Guardrail], first: int) -> DataFrame:
+    """Add the flag ``_b`` and the resulting action ``_a`` of consecutive guardrails.
+
+    They are plain columns, each reading the one before by name, so that the chain stays a stack
+    of small projections instead of one expression that doubles per step.
+    """
+    columns = []
+    for number, rule in enumerate(chain, start=first):
+        columns.append(F.coalesce(rule.blocked, F.lit(False)).alias(f"_b{number}"))
+        result = F.when(F.col(f"_b{number}"), rule.replacement).otherwise(F.col(f"_a{number - 1}"))
+        columns.append(result.alias(f"_a{number}"))
+    return rows.select("*", *columns)
 
 
 def candidates(failures: DataFrame, diagnoses: DataFrame, config: PolicyConfig) -> DataFrame:
@@ -140,9 +146,7 @@ def candidates(failures: DataFrame, diagnoses: DataFrame, config: PolicyConfig)
         F.coalesce(F.element_at("rungs", rung), unknown.cast("string")),
     ).drop("rungs")
     rows = rows.withColumn("_a0", F.col("candidate_action"))
-    for number, rule in enumerate(default_chain(config)[:4], start=1):
-        rows = _apply(rows, number, rule)
-    return rows
+    return _apply(rows, default_chain(config)[:4], 1)
 
 
 def contact_rules(config: PolicyConfig) -> list[tuple[int, int]]:
@@ -212,8 +216,7 @@ def decide(
     log = accepted_contacts(requests, config, sizes, hot_rows)
     rows = with_contact_stats(rows, log, config)
     chain = default_chain(config)
-    for number, rule in enumerate(chain[4:], start=5):
-        rows = _apply(rows, number, rule)
+    rows = _apply(rows, chain[4:], 5)
     verdicts = [evaluation(number, rule, f"_a{number - 1}") for number, rule in enumerate(chain, start=1)]
     rows = rows.select("*", F.array(*verdicts).alias("guardrail_evaluations"), F.col("_a7").alias("final_action"))
     final, evaluations = F.col("final_action"), F.col("guardrail_evaluations")

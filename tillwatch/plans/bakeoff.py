@@ -13,7 +13,7 @@ from tillwatch.functions.text import mask_description
 from tillwatch.operators.clustering import CLUSTERERS, ROOT_CAUSE
 from tillwatch.operators.corpus import opaque_description, tag_outliers
 from tillwatch.operators.metrics import cluster_metrics, crossover_shares, noise_handling
-from tillwatch.session import checkpointed
+from tillwatch.session import checkpointed, spread
 from tillwatch.sources.dimensions import reason_explanation
 
 GROUP = ["candidate", "arm", "stratum"]
@@ -26,7 +26,7 @@ def label_table(failures: DataFrame, candidates: tuple[str, ...] = tuple(CLUSTER
     The masked texts and each candidate's labels are checkpointed: eight plans over one input
     would otherwise be planned, and on a lost executor recomputed, as a single one.
     """
-    tagged = tag_outliers(failures)
+    tagged = spread(tag_outliers(failures))
     opaque = opaque_description(tagged, {r: reason_explanation(r) for r in K.CATCH_ALL_REASONS})
     stratum = F.when(F.col("latent_subcause_id").isNotNull(), "catchall").otherwise("narrow")
     rows = checkpointed(tagged.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillwatch import constants as K
 from tillwatch.functions import taxonomy as tx
-from tillwatch.functions.literals import literal_array, pick
+from tillwatch.functions.literals import sql_literal
 from tillwatch.functions.timegrid import scoped_bank
 from tillwatch.schemas import FAILURES, assert_schema
 from tillwatch.session import pin_utc
@@ -44,81 +44,64 @@ def derive_failures(spark: SparkSession, events: DataFrame) -> DataFrame:
     does not read it pays for no shuffle.
     """
     pin_utc(spark)
-    k = F.get_json_object("props", "$.k").cast("int")
-    method = F.when(k < METHOD_CUTS[0][1], METHOD_CUTS[0][0])
-    for name, cut in METHOD_CUTS[1:-1]:
-        method = method.when(k < cut, name)
-    method = method.otherwise(METHOD_CUTS[-1][0])
-    bank_pos = F.pmod(F.col("user_id"), F.lit(len(K.BANK_NAMES)))
-    bank = pick(K.BANK_NAMES, bank_pos)
-    day = F.date_format("created_at", "yyyyMMdd")
-    base = events.select(
-        "event_id", "user_id",
-        F.concat(F.lit("pay_"), F.lpad(F.col("event_id").cast("string"), 14, "0")).alias("payment_id"),
-        F.concat(F.lit("cust_"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("customer_id"),
-        F.col("ts").cast("timestamp_ntz").alias("created_at"),
-        F.round(F.col("value") * 100).cast("long").alias("amount"),
-        method.alias("method"), bank.alias("bank"), bank_pos.alias("bank_pos"),
-        F.pmod(F.col("event_id") * 7, F.lit(len(unique_reasons()))).cast("int").alias("reason_pos"),
-    )
-    base = base.select(
-        "*", pick(unique_reasons(), F.col("reason_pos")).alias("error_reason"),
-        pick([reason_explanation(reason) for reason in unique_reasons()], F.col("reason_pos")).alias("explanation"),
-        pick(row_classes(), F.col("reason_pos")).alias("row_class"),
-    )
-    padded_user = F.lpad(F.col("user_id").cast("string"), 6, "0")
-    scoped = F.when(F.col("method").isin(K.BANK_SCOPED_METHODS), F.col("bank_pos")).otherwise(F.lit(12))
-    method_pos = F.array_position(literal_array([name for name, _ in METHOD_CUTS]), F.col("method"))
-    day_number = F.datediff(F.to_date("created_at"), F.lit("1970-01-01").cast("date"))
-    window_hit = (
-        (F.pmod(day_number * 5 + scoped * 7 + method_pos * 3, F.lit(9)) == 0)
-        & F.hour("created_at").between(10, 13)
-    )
-    base = base.select(
-        "*",
-        F.concat(
-            F.lit("order_"), F.substring(F.md5(F.concat_ws("|", "customer_id", "method", day)), 1, 14)
-        ).alias("order_id"),
-        F.when(F.col("method") == "upi", F.concat(F.lit("user"), padded_user, F.lit("@okbank"))).alias("vpa"),
-        F.when(F.col("method") == "card",
-               (F.lit(400000) + F.pmod(F.col("user_id"), F.lit(99999))).cast("string")).alias("card_bin"),
-        F.when(
-            F.col("error_reason").isin(K.CATCH_ALL_REASONS),
-            pick(SUBCAUSES, F.pmod(F.floor(F.col("event_id") / 110), F.lit(len(SUBCAUSES)))),
-        ).alias("subcause"),
-        F.when(window_hit, F.concat_ws("_", F.lit("win"), day, F.col("method"), scoped.cast("string")))
-        .alias("downtime_window_id"),
-        F.when(F.pmod(F.col("user_id"), F.lit(2)) == 0, "collect").otherwise("intent").alias("upi_flow"),
-    )
+    reasons = unique_reasons()
+    texts = sql_literal([reason_explanation(reason) for reason in reasons])
+    base = spark.sql(f"""
+        SELECT *, date_format(created_at, 'yyyyMMdd') AS day, user_id % 12 AS bank_pos,
+          element_at({sql_literal(K.BANK_NAMES)}, CAST(user_id % 12 AS INT) + 1) AS bank,
+          element_at({sql_literal(reasons)}, reason_pos + 1) AS error_reason,
+          element_at({texts}, reason_pos + 1) AS explanation,
+          element_at({sql_literal(row_classes())}, reason_pos + 1) AS row_class,
+          IF(user_id % 2 = 0, 'collect', 'intent') AS upi_flow,
+          IF(event_id % 5 = 0, 'paraphrase_wording', 'canonical') AS description_variant,
+          lpad(CAST(event_id * 37 AS STRING), 12, '0') AS rrn
+        FROM (
+          SELECT event_id, user_id, CAST(ts AS TIMESTAMP_NTZ) AS created_at, CAST(round(value * 100) AS BIGINT) AS amount,
+            concat('pay_', lpad(CAST(event_id AS STRING), 14, '0')) AS payment_id,
+            concat('cust_', lpad(CAST(user_id AS STRING), 8, '0')) AS customer_id,
+            CASE WHEN k < 64 THEN 'upi' WHEN k < 84 THEN 'card' WHEN k < 92 THEN 'netbanking' WHEN k < 97 THEN 'wallet'
+              WHEN k < 99 THEN 'cardless_emi' ELSE 'emandate' END AS method,
+            CAST((event_id * 7) % {len(reasons)} AS INT) AS reason_pos
+          FROM (SELECT *, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {{events}})
+        )""", events=events)
+    shaped = spark.sql(f"""
+        SELECT *, concat('order_', substring(md5(concat_ws('|', customer_id, method, day)), 1, 14)) AS order_id,
+          IF(method = 'upi', concat('user', lpad(CAST(user_id AS STRING), 6, '0'), '@okbank'), NULL) AS vpa,
+          IF(method = 'card', CAST(400000 + user_id % 99999 AS STRING), NULL) AS card_bin,
+          IF(error_reason IN {sql_tuple(K.CATCH_ALL_REASONS)},
+            element_at({sql_literal(SUBCAUSES)}, CAST((event_id div 110) % 4 AS INT) + 1), NULL) AS subcause,
+          IF(method IN {sql_tuple(K.BANK_SCOPED_METHODS)}, bank_pos, 12) AS scoped,
+          array_position({sql_literal([name for name, _ in METHOD_CUTS])}, method) AS method_pos
+        FROM {{base}}""", base=base)
+    labelled = spark.sql("""
+        SELECT *, IF(subcause IS NOT NULL, concat_ws('.', error_reason, subcause), NULL) AS latent_subcause_id,
+          IF((datediff(to_date(created_at), DATE'1970-01-01') * 5 + scoped * 7 + method_pos * 3) % 9 = 0
+              AND hour(created_at) BETWEEN 10 AND 13,
+            concat_ws('_', 'win', day, method, CAST(scoped AS STRING)), NULL) AS downtime_window_id
+        FROM {shaped}""", shaped=shaped)
     sentence = F.when(
         F.col("subcause").isNotNull(),
         F.concat(F.lit("Payment declined upstream: "), F.translate("subcause", "_", " "), F.lit(".")),
     ).otherwise(first_sentence(F.col("explanation")))
-    variant = F.when(F.pmod(F.col("event_id"), F.lit(5)) == 0, "paraphrase_wording").otherwise("canonical")
-    described = base.select(
-        "*",
-        F.when(F.col("subcause").isNotNull(), F.concat_ws(".", "error_reason", "subcause"))
-        .alias("latent_subcause_id"),
-        variant.alias("description_variant"),
-        F.concat(
-            F.when(variant == "canonical", sentence).otherwise(F.concat(F.lit("Notice: "), sentence)),
-            method_clause(F.lpad((F.col("event_id") * 37).cast("string"), 12, "0")),
-        ).alias("description"),
+    notice = F.when(F.col("description_variant") == "canonical", "").otherwise("Notice: ")
+    return labelled.select(
+        "payment_id", "order_id", "customer_id", "amount", "method", "created_at",
         F.row_number().over(W.partitionBy("order_id").orderBy("created_at", "payment_id")).alias("attempt_number"),
-    )
-    return described.select(
-        "payment_id", "order_id", "customer_id", "amount", "method", "created_at", "attempt_number",
         "bank", "vpa", "card_bin",
         tx.infer_error_code(F.col("error_reason"), F.col("explanation")).alias("error_code"),
         tx.infer_source(F.col("row_class"), F.col("method")).alias("error_source"),
         tx.infer_step(F.col("explanation"), F.col("method"), F.col("upi_flow")).alias("error_step"),
-        "error_reason", "description", "latent_subcause_id", "description_variant",
-        F.lit(False).alias("is_outlier"), "downtime_window_id",
+        "error_reason", F.concat(notice, sentence, method_clause(F.col("rrn"))).alias("description"),
+        "latent_subcause_id", "description_variant", F.lit(False).alias("is_outlier"), "downtime_window_id",
         F.when(hash_percent(F.coalesce("downtime_window_id", "payment_id")) < int(100 * K.TEST_FRACTION), "test")
         .otherwise("train").alias("split"),
     )
 
 
+def sql_tuple(values: list[str]) -> str:
+    return "(" + ", ".join(sql_literal(value) for value in values) + ")"
+
+
 def first_sentence(explanation: Column) -> Column:
     """Text up to the first sentence break, closed by one full stop."""
     return F.concat(F.regexp_replace(F.substring_index(explanation, ". ", 1), r"\.+$", ""), F.lit("."))
