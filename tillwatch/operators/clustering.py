@@ -155,12 +155,14 @@ def tfidf_vectors(templates: DataFrame, max_features: int = 5000) -> DataFrame:
     )
 
 
-def sketch_cells(vectors: DataFrame, bands: int = 4, bits: int = 6) -> DataFrame:
+def sketch_cells(vectors: DataFrame, bands: int = 8, bits: int = 6) -> DataFrame:
     """Cells ``(masked_description, n, cell)`` of signed projections, ``bands`` per text.
 
     The sign of a term on plane p is bit p of its MD5, so cells need no shared state.
     """
     planes = bands * bits
+    if planes > 48:
+        raise ValueError("a term's hash gives 48 signs")
     hashed = vectors.withColumn("_h", F.conv(F.substring(F.md5("term"), 1, 12), 16, 10).cast("long"))
 
     def sign(plane: int) -> Column:
