@@ -25,7 +25,11 @@ Clusterer = Callable[[DataFrame], DataFrame]
 
 
 def with_masked(failures: DataFrame) -> DataFrame:
-    return failures.withColumn("masked_description", mask_description(F.col("description")))
+    """Add ``masked_description``, never NULL: a join on it then infers no null filter, which
+    would be pushed down to the scan and run the masking a second time there."""
+    return failures.withColumn(
+        "masked_description", F.coalesce(mask_description(F.col("description")), F.lit(""))
+    )
 
 
 def rank_by_first_seen(groups: DataFrame, start: int = 0) -> DataFrame:
@@ -70,7 +74,7 @@ def group_by_root_cause(failures: DataFrame) -> DataFrame:
 
 
 def group_by_template(failures: DataFrame) -> DataFrame:
-    hashed = failures.withColumn("template", template_hash(F.col("masked_description")))
+    hashed = failures.withColumn("template", F.coalesce(template_hash(F.col("masked_description")), F.lit("")))
     return _labelled(hashed, first_seen_labels(hashed, ["template"]), ["template"])
 
 
