@@ -13,7 +13,8 @@ from tillwatch.functions.timegrid import ENTITY, bucket_index, micros
 from tillwatch.operators.detectors import DETECTORS
 from tillwatch.operators.incidents import incident_buckets, summarise_incidents
 from tillwatch.operators.intervals import confirmed_incidents, correlate_downtimes, overlap_join
-from tillwatch.operators.series import bucket_counts
+from tillwatch.operators.series import with_origin
+from tillwatch.session import checkpointed
 from tillwatch.sources.failures import with_entity
 
 
@@ -69,11 +70,10 @@ def cross_reason_summary(windows: DataFrame) -> DataFrame:
 
 
 def scored_detectors(
-    failures: DataFrame, keys: Sequence[str] = ENTITY, options: Mapping[str, dict] | None = None,
+    counts: DataFrame, keys: Sequence[str] = ENTITY, options: Mapping[str, dict] | None = None,
     names: Sequence[str] = tuple(DETECTORS), prefix: str = "",
 ) -> DataFrame:
-    """Incident buckets of several detectors over per-split grids, tagged ``detector``."""
-    counts = bucket_counts(failures, keys, ["split"])
+    """Incident buckets of several detectors over one series with per-split grids, tagged ``detector``."""
     result = None
     for name in names:
         scored = DETECTORS[name](counts, keys=["split", *keys], **(options or {}).get(name, {}))
@@ -91,13 +91,23 @@ def detector_report(
     """One row per detector and split: precision, recall, F1, time to detect, fragmentation,
     event attribution and background false positives.
 
-    After the per-entity bucket counts every input is bucket- or incident-sized.
+    The failures are read twice: for the counts per bucket and for the windows. Counts, windows
+    and detected buckets are checkpointed, because every figure below reads them again.
     """
-    buckets = scored_detectors(failures, keys, options, names, prefix)
+    truth = checkpointed(
+        with_entity(failures).groupBy("split", *keys, bucket_index(F.col("created_at")).alias("idx")).agg(
+            F.count("downtime_window_id").alias("labelled"),
+            F.count_if(F.col("downtime_window_id").isNull()).alias("background"),
+        )
+    )
+    counts = with_origin(
+        truth.select("split", *keys, "idx", (F.col("labelled") + F.col("background")).alias("n")), ["split"]
+    )
+    buckets = checkpointed(scored_detectors(counts, keys, options, names, prefix))
     group = ["detector", "split"]
     incidents = summarise_incidents(buckets, None, [*group, *keys])
     tags = literal_array([prefix + name for name in names])
-    windows = true_windows(failures).select("window_id", "split", "method", "bank", "start", "end")
+    windows = checkpointed(true_windows(failures).select("window_id", "split", "method", "bank", "start", "end"))
     tagged_windows = windows.select("*", F.explode(tags).alias("detector"))
     scope = ["detector", "split", "method", "bank"]
 
@@ -119,10 +129,6 @@ def detector_report(
     confirmed = confirmed_incidents(incidents, tagged_windows, scope).groupBy(*group).agg(
         F.count("*").alias("n_true_positive_incidents")
     )
-    truth = with_entity(failures).groupBy("split", *keys, bucket_index(F.col("created_at")).alias("idx")).agg(
-        F.count("downtime_window_id").alias("labelled"),
-        F.count_if(F.col("downtime_window_id").isNull()).alias("background"),
-    )
     totals = truth.groupBy("split").agg(F.sum("labelled").alias("labelled"), F.sum("background").alias("background"))
     inside = buckets.select("detector", "split", *[F.col(k).alias(f"m_{k}") for k in keys], F.col("idx").alias("m_idx"))
     on = (truth["split"] == inside["split"]) & (F.col("idx") == F.col("m_idx"))

@@ -35,6 +35,11 @@ def bucket_counts(
         .groupBy(*grid_keys, *keys, bucket_index(F.col("created_at"), width_seconds).alias("idx"))
         .agg(F.count("*").alias("n"))
     )
+    return with_origin(counts, grid_keys)
+
+
+def with_origin(counts: DataFrame, grid_keys: Sequence[str] = ()) -> DataFrame:
+    """Attach the first bucket of the grid to counts per bucket."""
     if not grid_keys:
         origin = counts.agg(F.min("idx").alias("origin")).scalar()
         return counts.withColumn("origin", origin)
