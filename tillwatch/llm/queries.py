@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.llm.lines import dedup_lines
+from tillwatch.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
@@ -39,5 +44,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropp
 FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op9_line_dedup": op9_line_dedup}
+QUERIES: dict[str, Query] = {"op7_minhash_near_dedup": op7_minhash_near_dedup, "op9_line_dedup": op9_line_dedup}
 SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
