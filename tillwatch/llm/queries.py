@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.llm.lines import dedup_lines
 from tillwatch.llm.minhash import near_duplicates
+from tillwatch.llm.substrings import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
@@ -44,5 +50,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropp
 FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op7_minhash_near_dedup": op7_minhash_near_dedup, "op9_line_dedup": op9_line_dedup}
-SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+OP8_SQL = r"""
+WITH word AS (
+  SELECT doc_id, unnest(parts) AS word, unnest(range(len(parts))) AS pos, len(parts) AS n
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS parts FROM documents WHERE text IS NOT NULL)
+), win AS (
+  SELECT doc_id, pos, word, n, string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM word
+), late AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1 AS late FROM win WHERE pos + 20 <= n
+), covered AS (
+  SELECT w.doc_id, w.pos, w.word, coalesce(max(l.late::INT) OVER (
+    PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+  FROM win w LEFT JOIN late l USING (doc_id, pos)
+), done AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM covered GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN done USING (doc_id)
+"""
+
+QUERIES: dict[str, Query] = {"op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_substring_dedup": op8_substring_dedup, "op9_line_dedup": op9_line_dedup}
+SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
