@@ -50,9 +50,9 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         low = high
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a block, and where each text's words begin (one more entry than texts)."""
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     before = np.empty_like(solid)
     before[:1] = False
     before[1:] = solid[:-1]
