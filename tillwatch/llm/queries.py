@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwatch.llm.decontamination import contaminated
+from tillwatch.llm.language import identify_languages
 from tillwatch.llm.lines import dedup_lines
 from tillwatch.llm.minhash import near_duplicates
 from tillwatch.llm.substrings import dedup_substrings
@@ -18,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropp
 FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id
 """
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "entropy", "accepted")
+
+
 OP8_SQL = r"""
 WITH word AS (
   SELECT doc_id, unnest(parts) AS word, unnest(range(len(parts))) AS pos, len(parts) AS n
@@ -71,5 +82,11 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN done USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {"op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_substring_dedup": op8_substring_dedup, "op9_line_dedup": op9_line_dedup}
+QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
+}
 SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
