@@ -6,10 +6,12 @@ Such a pair must share a posting even if every set leaves out its ``MATCHES - 1`
 those are skipped (prefix), which takes hot passages out of the lists; the other coordinates are looked up
 for the candidates only (skip). At similarity 0.75 the share of links lost is P(Bin(40, 0.75) < 17) < 1e-5.
 
-Copies of one set are one node. A list's members are first compared with two hubs of the list; after these
-links are joined into components, only members of a list that still lie in different components are paired.
-Near copies of one text therefore cost a few pairs each instead of all pairs, and no link between
-components is missed. Every link is confirmed on the full sets.
+Copies of one set are one node. A list's members are first compared with two hubs of the list and joined into
+components. What still lies apart is compared once more: sets that agree with one hub form its crowd, whose
+strays are held against the whole crowd in blocks, on full sets, inside tasks that return only links that tie
+components together; members of a list from different crowds and components are paired. Near copies of one
+text therefore never become all pairs, and no link between components is missed. Every link is confirmed on
+the full sets.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ COORDINATES, MATCHES = 40, 17
 WIDTH = 5
 #: Bits of the filter of wanted ids; fixed, so its broadcast has one size whatever the data.
 FILTER_BITS = 1 << 22
+#: Sets in a block of a crowd.
+CROWD_BLOCK = 800
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -147,23 +152,79 @@ class _Links:
         matches = self.matches
         return stored(both.mapInArrow(lambda x: _agreeing(x, matches), "a long, b long"), f"{self.folder}/agree-{name}")
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The texts of the documents in pairs, found through a filter of fixed size, meet pair by pair."""
-        spark = pairs.sparkSession
-        slots = (pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-                 .mapInArrow(_slots, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """doc, packed text of the documents in ids (and a few more), found through a filter of fixed size."""
+        spark = ids.sparkSession
+        slots = ids.mapInArrow(_slots, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
         wanted = np.zeros(FILTER_BITS // 64, np.int64)
         for row in slots.toLocalIterator():
             wanted[row.word] = row.bits
         shared = spark.sparkContext.broadcast(wanted.view(np.uint64))
-        texts = (self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-                 .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                 .mapInArrow(lambda x: _packed(x, shared.value), "doc long, packed binary"))
+        return (self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+                .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+                .mapInArrow(lambda x: _packed(x, shared.value), "doc long, packed binary"))
+
+    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("doc")))
         met = (pairs.join(texts.select(F.col("doc").alias("a"), F.col("packed").alias("pa")), "a")
                .join(texts.select(F.col("doc").alias("b"), F.col("packed").alias("pb")), "b"))
         percent = self.percent
         return stored(met.mapInArrow(lambda x: _confirmed(x, percent), "a long, b long"), f"{self.folder}/links-{name}")
 
+    def crowded(self, members: DataFrame, block: int = CROWD_BLOCK) -> DataFrame:
+        """members (doc, label, hub): links between members of one hub whose labels differ, enough to tie them."""
+        sizes = members.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("stray").alias("strays")).where("strays > 0")
+        parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
+        dealt = members.join(sizes.select("hub", parts("n").alias("blocks"), parts("strays").alias("chunks")), "hub")
+        ready = dealt.join(self.texts(dealt.select("doc")), "doc")
+        slot = F.xxhash64(F.lit(3), "doc")
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        data = ready.select("doc", "label", "packed", "hub", F.pmod(slot, F.col("blocks")).cast("int").alias("block"), upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
+        asks = ready.where("stray").select("doc", "label", "packed", "hub", upto("blocks").alias("block"), F.pmod(slot, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
+        percent = self.percent
+        met = data.unionByName(asks).groupBy("hub", "block", "chunk").applyInPandas(lambda x: _tied(x, percent), "a long, b long")
+        return stored(met, f"{self.folder}/links-crowds")
+
+
+def _sets_of(packed: pd.Series) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for low in range(0, len(packed), 256):
+        texts = pa.array([zlib.decompress(x).decode() for x in packed.iloc[low : low + 256]], pa.string())
+        for _, grams, begins in shingle_sets(texts):
+            out += [np.unique(grams[begins[r] : begins[r + 1]]) for r in range(len(begins) - 1)]
+    return out
+
+
+def _tied(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Each asking set against each set of the block by merged postings; a link is returned if it ties two labels."""
+    asks, data = frame[frame["asks"]], frame[~frame["asks"]]
+    found: list[tuple[int, int]] = []
+    if len(asks) and len(data):
+        own, names, labels = _sets_of(asks["packed"]), asks["doc"].to_numpy(), asks["label"].to_numpy()
+        sizes = np.array([len(x) for x in own])
+        grams = np.concatenate(own)
+        order = np.argsort(grams, kind="stable")
+        grams, who = grams[order], np.repeat(np.arange(len(own)), sizes)[order]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for doc, label, other in zip(data["doc"], data["label"], _sets_of(data["packed"])):
+            low, high = np.searchsorted(grams, other, "left"), np.searchsorted(grams, other, "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(who[at], minlength=len(own))
+            for i in np.flatnonzero((common > 0) & (100 * common >= percent * (sizes + len(other) - common))):
+                a, b = root(int(labels[i])), root(int(label))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((int(names[i]), int(doc)))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -212,14 +273,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORD
     labels = keeper(connected_components(found, keeper))
 
     label = F.coalesce("component", "doc").alias("label")
-    labelled = prefix.select("token", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", label)
-    mixed_lists = labelled.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token")
-    open_lists = stored(labelled.join(mixed_lists, "token"), f"{folder}/open")
-    left = open_lists.select("token", F.col("doc").alias("a"), F.col("label").alias("la"))
-    right = open_lists.select("token", F.col("doc").alias("b"), F.col("label").alias("lb"))
-    across = left.join(right, "token").where("a < b AND la <> lb").select("a", "b").distinct()
+    hub_of = compared.groupBy("b").agg(F.min("a").alias("hub")).withColumnRenamed("b", "doc")
+    placed = (signatures.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", label)
+              .join(hub_of, "doc", "left").select("doc", "label", F.coalesce("hub", "doc").alias("hub")))
+    placed = stored(placed, f"{folder}/placed")
+    heads = placed.select(F.col("doc").alias("hub"), F.col("label").alias("head"))
+    members_of = placed.unionByName(placed.where("hub <> doc").select(F.col("hub").alias("doc"), F.col("hub").alias("label"), "hub").distinct()
+                                    .join(heads, "hub").select("doc", F.col("head").alias("label"), "hub"))
+    crowd = stored(members_of.distinct().join(heads, "hub").select("doc", "label", "hub", (F.col("label") != F.col("head")).alias("stray")), f"{folder}/crowd")
+    in_crowds = check.crowded(crowd)
+
+    labelled = prefix.select("token", "doc").join(placed, "doc")
+    apart = labelled.groupBy("token").agg(
+        (F.min("label") < F.max("label")).alias("labels"), (F.min("hub") < F.max("hub")).alias("hubs")).where("labels AND hubs").select("token")
+    open_lists = stored(labelled.join(apart, "token"), f"{folder}/open")
+    left = open_lists.select("token", F.col("doc").alias("a"), F.col("label").alias("la"), F.col("hub").alias("ha"))
+    right = open_lists.select("token", F.col("doc").alias("b"), F.col("label").alias("lb"), F.col("hub").alias("hb"))
+    across = left.join(right, "token").where("a < b AND la <> lb AND ha <> hb").select("a", "b").distinct()
     rest = check.agreeing(across.join(compared, ["a", "b"], "left_anti"), "across")
-    links = found.unionByName(check.confirmed(rest, "across"))
+    links = found.unionByName(in_crowds).unionByName(check.confirmed(rest, "across"))
     copies = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     components = connected_components(links.unionByName(copies), keeper)
 
