@@ -13,6 +13,7 @@ from tillwatch.llm.lines import dedup_lines
 from tillwatch.llm.minhash import near_duplicates
 from tillwatch.llm.mixing import mix_by_source
 from tillwatch.llm.substrings import dedup_substrings
+from tillwatch.llm.vector_graph import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_by_source(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -89,6 +94,7 @@ FROM documents LEFT JOIN done USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_vector_near_dedup": op3_vector_near_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
