@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwatch.llm.archives import archived
 from tillwatch.llm.decontamination import contaminated
 from tillwatch.llm.language import identify_languages
 from tillwatch.llm.lines import dedup_lines
@@ -34,6 +35,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_by_source(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op3_vector_near_dedup": op3_vector_near_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_warc": op5_warc,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
