@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.llm.archives import archived
+from tillwatch.llm.chat import ORDER, as_events, format_chats, read_back
 from tillwatch.llm.decontamination import contaminated
 from tillwatch.llm.language import identify_languages
 from tillwatch.llm.lines import dedup_lines
 from tillwatch.llm.minhash import near_duplicates
 from tillwatch.llm.mixing import mix_by_source
 from tillwatch.llm.substrings import dedup_substrings
+from tillwatch.llm.token_counts import count_tokens, recount_tokens, revision
 from tillwatch.llm.vector_graph import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+#: A public rank file; a parameter of the operator, never part of the repository.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = count_tokens(table(spark, sf_dir, "documents"), RANKS)
+    edited = recount_tokens(trees, revision(F.col("text"), F.col("doc_id")), RANKS)
+    return edited.select("doc_id", "tokens_before", "tokens", F.size("leaf_ends").cast("long").alias("leaves"), "pieces_encoded",
+                         F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -39,6 +52,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return read_back(format_chats(as_events(rows.unionByName(more)), ORDER))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -99,9 +119,11 @@ FROM documents LEFT JOIN done USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_token_counts": op2_token_counts,
     "op3_vector_near_dedup": op3_vector_near_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_warc": op5_warc,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
