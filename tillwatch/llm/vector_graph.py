@@ -287,10 +287,10 @@ def audit_recall(embeddings: DataFrame, result: DataFrame, cosine: float = 0.95,
     """Links counted in result over links by brute force, of the ids divisible by ``every`` against all rows, in blocks."""
     fine = usable(embeddings).distinct()
     queries = fine.where(F.col("vec_id") % every == 0)
-    block = lambda df, n: df.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    block = lambda df, n: df.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
     left, right = block(queries, 8), block(fine, 16)
     a = left.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("g", "h", "vec_id", "vector", F.lit(True).alias("query"))
-    b = right.select(F.explode(F.sequence(F.lit(0), F.lit(7))).cast("long").alias("g"), F.col("g").cast("int").alias("h"), "vec_id", "vector", F.lit(False).alias("query"))
+    b = right.select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("g"), F.col("g").alias("h"), "vec_id", "vector", F.lit(False).alias("query"))
 
     def counted(frame: pd.DataFrame) -> pd.DataFrame:
         q, d = frame[frame["query"]], frame[~frame["query"]]
