@@ -11,6 +11,7 @@ from tillwatch import constants as K
 from tillwatch.functions.taxonomy import infer_error_code, infer_source, infer_step
 from tillwatch.functions.text import mask_description, normalise_template
 from tillwatch.operators import calls, clustering, corpus, metrics
+from tillwatch.operators.components import connected_components
 from tillwatch.plans import bakeoff
 
 START = dt.datetime(2026, 1, 1)
@@ -104,11 +105,25 @@ def test_density_edge_cases(spark):
     assert clustering.cluster_by_density(texts(spark, ["x y"]).filter("false")).count() == 0
 
 
-def test_connected_texts_chain(spark):
-    edges = [(f"t{i}", f"c{j}") for i in range(12) for j in (i, i + 1)] + [("z1", "z"), ("z2", "z")]
-    df = spark.createDataFrame(edges, "masked_description string, cell string")
-    roots = {r.masked_description: r.root for r in clustering.connected_texts(df).collect()}
-    assert {roots[f"t{i}"] for i in range(12)} == {"t0"} and roots["z1"] == roots["z2"] == "z1"
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 199)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}, 199: 199, 200: 199}
+    assert connected_components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("clusters", [20, 200, 2000])
+def test_noise_share_is_flat_in_the_number_of_clusters(spark, clusters):
+    """Six near copies per cluster, one word apart: none may become noise, none may merge."""
+    rng = random.Random(clusters)
+    values = []
+    for k in range(clusters):
+        base = [f"w{rng.randrange(20 * clusters)}" for _ in range(10)]
+        values += [" ".join(base + [f"u{k}x{v}"]) for v in range(6)]
+    got = labels_of(clustering.cluster_by_density(texts(spark, values)))
+    labels = [got[x] for x in sorted(got)]
+    assert labels == [k // 6 for k in range(len(values))]
 
 
 def naive_metrics(pairs):

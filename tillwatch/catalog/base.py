@@ -32,6 +32,15 @@ def rounded(*names: str) -> list[Column]:
     return [F.round(F.col(name).cast("double"), 6).alias(name) for name in names]
 
 
+def significant(name: str) -> Column:
+    """Seven significant digits: a score over a tiny deviation has no six decimals to compare."""
+    return F.format_string("%.6e", F.col(name).cast("double")).cast("double").alias(name)
+
+
+def sql_significant(name: str) -> str:
+    return f"printf('%.6e', {name}::DOUBLE)::DOUBLE AS {name}"
+
+
 def sql_stamp(expression: str, name: str) -> str:
     return f"strftime({expression}, '%Y-%m-%d %H:%M:%S.%f') AS {name}"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillwatch import constants as K
-from tillwatch.catalog.base import query, rounded, sql_rounded, sql_stamp, stamp
+from tillwatch.catalog.base import query, rounded, significant, sql_rounded, sql_significant, sql_stamp, stamp
 from tillwatch.catalog.sql_views import failures_cte, quoted, sql_list
 from tillwatch.functions.prompts import incident_evidence
 from tillwatch.functions.timegrid import (
@@ -92,7 +92,7 @@ INCIDENT_COLUMNS = ["method", "bank", "detector", "incident_no", "n_buckets", "t
 
 
 def incident_rows(incidents):
-    return incidents.select(*INCIDENT_COLUMNS, stamp("start"), stamp("end"), *rounded("peak_score"))
+    return incidents.select(*INCIDENT_COLUMNS, stamp("start"), stamp("end"), significant("peak_score"))
 
 
 def incident_sql(detector: str) -> str:
@@ -100,7 +100,7 @@ def incident_sql(detector: str) -> str:
         f"{FV}, {dense_cte()}, {scored_cte(detector)}, {islands_cte()} "
         f"SELECT method, ebank AS bank, '{detector}' AS detector, incident_no, n_buckets, total_count, "
         f"{sql_stamp('start_at', 'start')}, {sql_stamp('end_at', chr(34) + 'end' + chr(34))}, "
-        f"{sql_rounded('peak_score')} FROM inc"
+        f"{sql_significant('peak_score')} FROM inc"
     )
 
 
@@ -108,14 +108,14 @@ def _register_detectors() -> None:
     for name, detector in DETECTORS.items():
         def series(spark, sf, name=name, detector=detector):
             scored = detector(bucket_counts(failures_from_tables(spark, sf)), **OPTIONS.get(name, {}))
-            return scored.select("method", "bank", "idx", "n", "is_burst", *rounded("score"))
+            return scored.select("method", "bank", "idx", "n", "is_burst", significant("score"))
 
         def found(spark, sf, name=name, detector=detector):
             return incident_rows(I.detect_incidents(failures_from_tables(spark, sf), detector, **OPTIONS.get(name, {})))
 
         query(f"burst_scores_{name}", (
             f"{FV}, {dense_cte()}, {scored_cte(name)} SELECT method, ebank AS bank, idx, n::BIGINT AS n, is_burst, "
-            f"{sql_rounded('score')} FROM scored WHERE n > 0"
+            f"{sql_significant('score')} FROM scored WHERE n > 0"
         ))(series)
         query(f"incidents_{name}", incident_sql(name))(found)
 
@@ -126,11 +126,11 @@ _register_detectors()
 @query("incidents_reason_scoped", (
     f"{FV}, {dense_cte(reason=True)}, {scored_cte('fixed_threshold', reason=True, threshold=0)}, {islands_cte(reason=True)} "
     f"SELECT method, ebank AS bank, error_reason, incident_no, n_buckets, total_count, "
-    f"{sql_stamp('start_at', 'start')}, {sql_rounded('peak_score')} FROM inc"
+    f"{sql_stamp('start_at', 'start')}, {sql_significant('peak_score')} FROM inc"
 ))
 def incidents_reason_scoped(spark, sf):
     found = I.detect_incidents(failures_from_tables(spark, sf), fixed_threshold, REASON_ENTITY, threshold=0)
-    return found.select(*REASON_ENTITY, "incident_no", "n_buckets", "total_count", stamp("start"), *rounded("peak_score"))
+    return found.select(*REASON_ENTITY, "incident_no", "n_buckets", "total_count", stamp("start"), significant("peak_score"))
 
 
 @query("failures_scan", (

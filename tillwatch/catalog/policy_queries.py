@@ -50,8 +50,8 @@ kl AS (SELECT customer_id, list_reduce(list(us ORDER BY us), lambda acc, x: CASE
     THEN list_append(acc, x) ELSE acc END, []::BIGINT[]) AS kept FROM rq GROUP BY 1),
 ku AS (SELECT customer_id, unnest(kept) AS us FROM kl),
 log AS (SELECT ku.customer_id, ku.us, rq.pid FROM ku JOIN rq USING (customer_id, us)),
-st AS (SELECT k.payment_id, count(l.us) AS contacts_in_window, max(l.us) AS last_us FROM k4a k LEFT JOIN log l ON l.customer_id = k.customer_id
-  AND l.us >= k.us - 86400000000 AND (l.us < k.us OR (l.us = k.us AND l.pid < k.payment_id)) GROUP BY 1),
+st AS (SELECT k.payment_id, count(l.us) FILTER (l.us >= k.us - 86400000000) AS contacts_in_window, max(l.us) AS last_us FROM k4a k LEFT JOIN log l ON l.customer_id = k.customer_id
+  AND (l.us < k.us OR (l.us = k.us AND l.pid < k.payment_id)) GROUP BY 1),
 k5 AS (SELECT k.*, contacts_in_window, (us - last_us) / 1000000.0 AS since, contacts_in_window >= 3 AND a4 IN ({CHASE}) AS b5 FROM k4a k JOIN st USING (payment_id)),
 k5a AS (SELECT *, CASE WHEN b5 THEN 'no_action' ELSE a4 END AS a5 FROM k5),
 k6 AS (SELECT *, coalesce(since < 14400, false) AND a5 IN ({CHASE}) AS b6 FROM k5a),

@@ -19,7 +19,7 @@ from tillwatch.operators import audit, calls, clustering, corpus, execution, met
 from tillwatch.operators.dedup import first_deliveries
 from tillwatch.operators.diagnosis import default_diagnoses
 from tillwatch.plans import bakeoff
-from tillwatch.session import checkpointed, spread
+from tillwatch.session import checkpointed
 from tillwatch.sources import payloads
 from tillwatch.sources.dimensions import reason_explanation
 from tillwatch.sources.failures import failures_from_tables
@@ -143,7 +143,7 @@ def masked_descriptions(spark, sf):
 
 @query("masked_documents", f"SELECT doc_id, {mask_sql('text')} AS masked FROM documents")
 def masked_documents(spark, sf):
-    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).select("doc_id", mask_description(F.col("text")).alias("masked"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", mask_description(F.col("text")).alias("masked"))
 
 
 @query("normalised_templates", f"{MASKED} SELECT lower(regexp_replace(trim(masked), '\\s+', ' ', 'g')) AS template, count(*) AS n FROM mf GROUP BY 1")
@@ -183,7 +183,24 @@ def mined_templates(spark, sf):
     return clustering.cluster_by_mined_template(clustering.with_masked(failures_from_tables(spark, sf, True)))
 
 
-@query("density_clusters")
+DENSITY_SQL = f"""{MASKED}, tp AS (SELECT masked, count(*) AS n, min((us, payment_id)) AS first FROM mf GROUP BY 1),
+ti AS (SELECT *, row_number() OVER (ORDER BY first) AS id FROM tp),
+tk AS (SELECT id, n, unnest(regexp_extract_all(lower(masked), '[a-z0-9_]+')) AS term FROM ti),
+tf AS (SELECT id, n, term, count(*) AS tf FROM tk WHERE length(term) >= 2 GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM tf GROUP BY 1),
+raw AS (SELECT id, n, tf.term, tf * (ln((1 + (SELECT sum(n) FROM tp)) / (1 + df)::DOUBLE) + 1) AS raw FROM tf JOIN df USING (term)),
+vec AS (SELECT id, n, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM raw),
+near AS (SELECT x.id AS a, y.id AS b FROM vec x JOIN vec y USING (term) WHERE x.id <> y.id GROUP BY ALL HAVING round(sum(x.w * y.w), 9) >= 0.7),
+sizes AS (SELECT DISTINCT id, n FROM vec),
+core AS (SELECT s.id FROM sizes s LEFT JOIN near ON near.a = s.id LEFT JOIN sizes o ON o.id = near.b GROUP BY s.id, s.n
+  HAVING s.n + coalesce(sum(o.n), 0) >= least(5, greatest(2, (SELECT sum(n) FROM tp) // 2))),
+links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (WITH RECURSIVE r(id, root) AS (SELECT id, id FROM core UNION SELECT links.b, r.root FROM r JOIN links ON links.a = r.id WHERE r.root < links.b) SELECT id, min(root) AS root FROM r GROUP BY 1),
+placed AS (SELECT * FROM reach UNION ALL SELECT near.a, min(reach.root) FROM near JOIN reach ON reach.id = near.b WHERE near.a NOT IN (SELECT id FROM core) GROUP BY 1),
+ranked AS (SELECT root, row_number() OVER (ORDER BY min(id)) - 1 AS label FROM placed GROUP BY 1)"""
+
+
+@query("density_clusters", f"{DENSITY_SQL} SELECT payment_id, coalesce(label, -1) AS pred_label FROM mf JOIN ti USING (masked) LEFT JOIN placed USING (id) LEFT JOIN ranked USING (root)")
 def density_clusters(spark, sf):
     return clustering.cluster_by_density(clustering.with_masked(failures_from_tables(spark, sf, True)))
 
@@ -192,7 +209,7 @@ def density_clusters(spark, sf):
     f"{MASKED}, tp AS (SELECT masked, count(*) AS n FROM mf GROUP BY 1), "
     "tk AS (SELECT masked, n, unnest(regexp_extract_all(lower(masked), '[a-z0-9_]+')) AS term FROM tp), "
     "tf AS (SELECT masked, n, term, count(*) AS tf FROM tk WHERE length(term) >= 2 GROUP BY ALL), "
-    "df AS (SELECT term, sum(n) AS df, sum(tf * n) AS uses FROM tf GROUP BY 1 ORDER BY uses DESC, term LIMIT 5000), "
+    "df AS (SELECT term, sum(n) AS df, sum(tf * n) AS uses FROM tf GROUP BY 1), "
     "w AS (SELECT masked, tf.term, tf * (ln((1 + (SELECT sum(n) FROM tp)) / (1 + df)::DOUBLE) + 1) AS raw FROM tf JOIN df USING (term)) "
     "SELECT masked AS masked_description, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY masked)), 6) AS weight FROM w"
 ))
@@ -277,8 +294,7 @@ def clusterer_bakeoff(spark, sf):
 
 @query("bakeoff_crossovers")
 def bakeoff_crossovers(spark, sf):
-    table = bakeoff.label_table(failures_from_tables(spark, sf, True), ("groupby_reason", "template_hash", "template_mining"))
-    return bakeoff.bakeoff_crossovers(bakeoff.bakeoff_metrics(table))
+    return bakeoff.bakeoff_crossovers(bakeoff.bakeoff_metrics(bakeoff.label_table(failures_from_tables(spark, sf, True))))
 
 
 OPAQUE = " ".join(f"WHEN {quoted(r)} THEN {quoted(reason_explanation(r).split('. ')[0] + '.')}" for r in K.CATCH_ALL_REASONS)
@@ -389,10 +405,10 @@ def outbound_replays(spark, sf):
     return reduce(DataFrame.unionByName, parts).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def audit_log(spark, sf, rows_per_chain: int = 100) -> DataFrame:
+def audit_log(spark, sf, shards_per_day: int = 4) -> DataFrame:
     executed = execution.execution_records(decisions(spark, sf))
     rows = audit.audit_rows(executed, failures_from_tables(spark, sf), default_diagnoses(spark), "2024-03-01T00:00:00Z")
-    return audit.build_chain(rows, rows_per_chain)
+    return audit.build_chain(rows, shards_per_day)
 
 
 @query("audit_log")
@@ -401,8 +417,8 @@ def audit_log_query(spark, sf):
 
 
 @query("audit_verification", (
-    f"{FV}, d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, payment_id FROM failures), s AS (SELECT day, ceil(count(*) / 100.0)::BIGINT AS k FROM d GROUP BY 1), "
-    "c AS (SELECT day || '/' || lpad((('0x' || substr(md5(payment_id), 1, 8))::BIGINT % k)::VARCHAR, 5, '0') AS chain_id FROM d JOIN s USING (day)) "
+    f"{FV}, d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, payment_id FROM failures), "
+    "c AS (SELECT day || '/' || lpad((('0x' || substr(md5(payment_id), 1, 8))::BIGINT % 4)::VARCHAR, 5, '0') AS chain_id FROM d) "
     "SELECT chain_id, count(*) AS n_records, true AS valid FROM c GROUP BY 1"
 ))
 def audit_verification(spark, sf):

@@ -1,7 +1,8 @@
 """Hash-chained decision log: assembly, chaining and verification.
 
 A hash chain is sequential, so there is one chain per day and shard, never one for the table.
-The shards of a day follow from its row count, so that no chain outgrows a task.
+The number of shards per day is a fixed parameter of the log: a payment's chain then does not depend
+on how its rows are batched. Choose it so that a day's rows over the shards fit a task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from tillwatch import constants as K
 
-ROWS_PER_CHAIN = 50_000
+SHARDS_PER_DAY = 64
 EVALUATION_FIELDS = ["action_after", "action_before", "blocked", "name", "reason"]
 BEFORE_LINK = [
     "amount", "attempt_number", "bank", "base_action", "candidate_action", "created_at", "customer_id",
@@ -40,7 +41,7 @@ def audit_rows(
     evaluations = F.transform(
         "guardrail_evaluations", lambda e: F.struct(*[e[name].alias(name) for name in EVALUATION_FIELDS])
     )
-    joined = decisions.join(codes, "payment_id").join(F.broadcast(reasons), "error_reason", "left")
+    joined = decisions.join(codes, "payment_id").join(reasons, "error_reason", "left")
     return joined.withColumns({
         "guardrail_evaluations": evaluations,
         "chain_day": F.date_format("created_at", "yyyy-MM-dd"),
@@ -49,18 +50,13 @@ def audit_rows(
     }).select(*BEFORE_LINK, "recorded_at", "remediation_class", "schema_version", "chain_day")
 
 
-def assign_chains(rows: DataFrame, rows_per_chain: int = ROWS_PER_CHAIN, tips: DataFrame | None = None) -> DataFrame:
+def assign_chains(rows: DataFrame, shards_per_day: int = SHARDS_PER_DAY, tips: DataFrame | None = None) -> DataFrame:
     """Add ``chain_id``, ``sequence`` and the hash to continue from.
 
     ``tips`` (chain_id, last_sequence, last_hash) resumes existing chains, see ``chain_tips``.
     """
-    sizes = rows.groupBy("chain_day").agg(
-        F.ceil(F.count("*") / F.lit(rows_per_chain)).cast("long").alias("_shards")
-    )
-    shard = F.pmod(F.conv(F.substring(F.md5("payment_id"), 1, 8), 16, 10).cast("long"), F.col("_shards"))
-    sharded = rows.join(sizes, "chain_day").withColumn(
-        "chain_id", F.concat_ws("/", "chain_day", F.lpad(shard.cast("string"), 5, "0"))
-    ).drop("_shards")
+    shard = F.pmod(F.conv(F.substring(F.md5("payment_id"), 1, 8), 16, 10).cast("long"), F.lit(shards_per_day))
+    sharded = rows.withColumn("chain_id", F.concat_ws("/", "chain_day", F.lpad(shard.cast("string"), 5, "0")))
     order = W.partitionBy("chain_id").orderBy("created_at", "payment_id")
     numbered = sharded.withColumn("sequence", (F.row_number().over(order) - 1).cast("long"))
     if tips is None:
@@ -122,9 +118,9 @@ def chain_rows(numbered: DataFrame, head: Column, tail: Column) -> DataFrame:
     return ordered.mapInArrow(walk, schema)
 
 
-def build_chain(rows: DataFrame, rows_per_chain: int = ROWS_PER_CHAIN, tips: DataFrame | None = None) -> DataFrame:
+def build_chain(rows: DataFrame, shards_per_day: int = SHARDS_PER_DAY, tips: DataFrame | None = None) -> DataFrame:
     head, tail = canonical_parts()
-    return chain_rows(assign_chains(rows, rows_per_chain, tips), head, tail)
+    return chain_rows(assign_chains(rows, shards_per_day, tips), head, tail)
 
 
 def chain_tips(log: DataFrame) -> DataFrame:
@@ -156,9 +152,15 @@ def verify_chains(log: DataFrame, head: Column | None = None, tail: Column | Non
     )
 
 
-def records_for_payment(log: DataFrame, payment_id: str) -> DataFrame:
-    """Audit rows of one payment in log order; an unknown payment is an error."""
+def records_for_payment(log: DataFrame, payment_id: str, day: str | None = None) -> DataFrame:
+    """Audit rows of one payment in log order; an unknown payment is an error when the rows are read.
+
+    ``day`` (yyyy-MM-dd) prunes the log to one partition.
+    """
+    if day is not None:
+        log = log.filter(F.col("chain_day") == day)
     found = log.filter(F.col("payment_id") == payment_id)
-    if found.isEmpty():
-        raise ValueError(f"no audit record for payment {payment_id}")
-    return found.orderBy("chain_id", "sequence")
+    unknown = F.raise_error(F.lit(f"no audit record for payment {payment_id}"))
+    present = log.sparkSession.range(1).join(found, F.lit(True), "left").drop("id")
+    checked = present.withColumn("payment_id", F.coalesce("payment_id", unknown.cast("string")))
+    return checked.orderBy("chain_id", "sequence")

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwatch.functions.text import mask_description, template_hash
 from tillwatch.functions.timegrid import micros
+from tillwatch.operators.components import connected_components
 from tillwatch.session import checkpointed
 
 NOISE = -1
@@ -139,15 +140,17 @@ def cluster_by_mined_template(failures: DataFrame) -> DataFrame:
     return _labelled(failures, by_text, ["masked_description"])
 
 
-def tfidf_vectors(templates: DataFrame, max_features: int = 5000) -> DataFrame:
+def tfidf_vectors(templates: DataFrame, max_features: int | None = None) -> DataFrame:
     """Unit TF-IDF weights ``(masked_description, n, term, weight)``: words of two or more
-    letters, smoothed idf, documents counted with their multiplicity."""
+    letters, smoothed idf, documents counted with their multiplicity. All terms count unless
+    ``max_features`` asks for the most used ones."""
     words = F.filter(F.split(F.lower("masked_description"), r"(?U)\W+"), lambda w: F.length(w) >= 2)
     terms = templates.select("masked_description", "n", F.explode(words).alias("term")).groupBy(
         "masked_description", "n", "term"
     ).agg(F.count("*").alias("tf"))
-    usage = terms.groupBy("term").agg(F.sum(F.col("tf") * F.col("n")).alias("uses"), F.sum("n").alias("df"))
-    vocabulary = usage.orderBy(F.col("uses").desc(), "term").limit(max_features)
+    vocabulary = terms.groupBy("term").agg(F.sum(F.col("tf") * F.col("n")).alias("uses"), F.sum("n").alias("df"))
+    if max_features is not None:
+        vocabulary = vocabulary.orderBy(F.col("uses").desc(), "term").limit(max_features)
     total = templates.agg(F.sum("n")).scalar()
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1
     weighted = terms.join(vocabulary, "term").select(
@@ -159,76 +162,64 @@ def tfidf_vectors(templates: DataFrame, max_features: int = 5000) -> DataFrame:
     )
 
 
-def sketch_cells(vectors: DataFrame, bands: int = 8, bits: int = 6) -> DataFrame:
-    """Cells ``(masked_description, n, cell)`` of signed projections, ``bands`` per text.
+def close_pairs(vectors: DataFrame, cosine_cut: float) -> DataFrame:
+    """Pairs ``(a, b)`` with a < b of unit vectors ``(id, term, weight)`` at or above the cut, all of them.
 
-    The sign of a term on plane p is bit p of its MD5, so cells need no shared state.
+    Terms are put in one order, rarest first, and each vector keeps the shortest prefix after which
+    what is left is shorter than the cut. Two vectors without a common prefix term have all their
+    common terms in one of the rests, so their cosine is below the cut (Cauchy-Schwarz): joining on
+    prefix terms loses no pair, and the frequent words of all texts are never joined on.
     """
-    planes = bands * bits
-    if planes > 48:
-        raise ValueError("a term's hash gives 48 signs")
-    hashed = vectors.withColumn("_h", F.conv(F.substring(F.md5("term"), 1, 12), 16, 10).cast("long"))
-
-    def sign(plane: int) -> Column:
-        return 1 - 2 * F.shiftright("_h", plane).bitwiseAND(F.lit(1))
-
-    sums = hashed.groupBy("masked_description", "n").agg(
-        *[F.sum(F.col("weight") * sign(p)).alias(f"p{p}") for p in range(planes)]
+    usage = vectors.groupBy("term").agg(F.count("*").alias("texts"))
+    rest = W.partitionBy("id").orderBy(F.col("texts").desc(), F.col("term").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    prefix = (
+        vectors.join(usage, "term")
+        .withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(rest))
+        .filter(F.col("left") >= cosine_cut * cosine_cut - 1e-9).select("id", "term")
     )
-    codes = [
-        F.concat_ws(":", F.lit(str(band)), *[
-            F.when(F.col(f"p{p}") >= 0, "1").otherwise("0") for p in range(band * bits, (band + 1) * bits)
-        ]) for band in range(bands)
-    ]
-    return sums.select("masked_description", "n", F.explode(F.array(*codes)).alias("cell"))
-
-
-def dense_edges(vectors: DataFrame, cells: DataFrame, cosine_cut: float, min_size: Column) -> DataFrame:
-    """Edges text - cell where the text lies near the cell's centre and the cell is dense.
-
-    Work is linear in texts times bands: centres are sums per (cell, term), texts are compared
-    with centres, never with each other.
-    """
-    members = cells.join(vectors.drop("n"), "masked_description")
-    centre = members.groupBy("cell", "term").agg(F.sum(F.col("weight") * F.col("n")).alias("mass"))
-    length = centre.groupBy("cell").agg(F.sqrt(F.sum(F.col("mass") * F.col("mass"))).alias("length"))
-    near = (
-        members.join(centre, ["cell", "term"]).groupBy("masked_description", "n", "cell")
-        .agg(F.sum(F.col("weight") * F.col("mass")).alias("dot"))
-        .join(length, "cell").filter(F.col("dot") >= cosine_cut * F.col("length"))
+    candidates = (
+        prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), "term")
+        .filter("a < b").select("a", "b").distinct()
+    )
+    left = vectors.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
+    right = vectors.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
+    dots = candidates.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(
+        F.sum(F.col("wa") * F.col("wb")).alias("cosine")
     )
-    dense = near.groupBy("cell").agg(F.sum("n").alias("size")).filter(F.col("size") >= min_size)
-    return near.join(dense, "cell").select("masked_description", "cell")
+    return dots.filter(F.round("cosine", 9) >= cosine_cut).select("a", "b")
 
 
-def connected_texts(edges: DataFrame) -> DataFrame:
-    """Smallest text reachable from each text over shared cells: ``(masked_description, root)``.
+def density_labels(failures: DataFrame, min_cluster_size: int = 5, max_features: int | None = None, cosine_cut: float = 0.7) -> DataFrame:
+    """Density clusters over TF-IDF as ``(masked_description, n, label)``, noise -1.
 
-    Labels travel text -> cell -> text by grouped minima until nothing changes; every round is
-    checkpointed so that a lost executor replays one round only.
+    A text is core when it and its neighbours (cosine at or above the cut) stand for at least
+    ``min_cluster_size`` rows; core texts that are neighbours share a cluster, other texts join the
+    first-seen cluster among their core neighbours. The minimum shrinks to half the rows (at least
+    2) when there are fewer than twice as many. Clusters are numbered in first-seen order.
     """
-    edges = checkpointed(edges)
-    labels = edges.groupBy("masked_description").agg(F.min("masked_description").alias("root"))
-    while True:
-        per_cell = edges.join(labels, "masked_description").groupBy("cell").agg(F.min("root").alias("root"))
-        reached = edges.join(per_cell, "cell").groupBy("masked_description").agg(F.min("root").alias("reached"))
-        step = checkpointed(labels.join(reached, "masked_description").select(
-            "masked_description", F.least("root", "reached").alias("root"),
-            (F.col("reached") < F.col("root")).alias("moved"),
-        ))
-        labels = step.select("masked_description", "root")
-        if step.filter("moved").isEmpty():
-            return labels
-
-
-def density_labels(failures: DataFrame, min_cluster_size: int = 5, max_features: int = 5000, cosine_cut: float = 0.7) -> DataFrame:
-    """Density clusters over TF-IDF as ``(masked_description, n, pred_label)``, noise -1."""
-    templates = checkpointed(distinct_templates(failures))
+    templates = checkpointed(rank_by_first_seen(distinct_templates(failures)).withColumnRenamed("label", "id"))
     total = templates.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     min_size = F.least(F.lit(min_cluster_size), F.greatest(F.lit(2), F.call_function("div", total, F.lit(2))))
-    vectors = checkpointed(tfidf_vectors(templates, max_features))
-    roots = connected_texts(dense_edges(vectors, sketch_cells(vectors), cosine_cut, min_size))
-    placed = templates.join(roots, "masked_description", "left")
+    vectors = checkpointed(
+        tfidf_vectors(templates.select("masked_description", "n"), max_features)
+        .join(templates.select("masked_description", "id"), "masked_description").select("id", "n", "term", "weight")
+    )
+    pairs = checkpointed(close_pairs(vectors, cosine_cut))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sizes = vectors.select("id", "n").distinct()
+    around = both.join(sizes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("around"))
+    core = checkpointed(
+        sizes.join(around.withColumnRenamed("a", "id"), "id", "left")
+        .filter(F.col("n") + F.coalesce("around", F.lit(0)) >= min_size).select("id")
+    )
+    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
+    joined = core.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left")
+    rooted = joined.select("id", F.coalesce("component", "id").alias("root"))
+    border = (
+        both.join(rooted.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root"))
+        .withColumnRenamed("a", "id").join(core, "id", "left_anti")
+    )
+    placed = templates.join(rooted.unionByName(border), "id", "left")
     clusters = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("first"))
     labels = rank_by_first_seen(clusters).select("root", "label")
     return placed.join(labels, "root", "left").select(

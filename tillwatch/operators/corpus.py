@@ -24,11 +24,9 @@ def outlier_keys(failures: DataFrame, max_count: int = K.OUTLIER_MAX_COUNT) -> D
 
 def tag_outliers(failures: DataFrame, max_count: int = K.OUTLIER_MAX_COUNT) -> DataFrame:
     """Set ``is_outlier`` by the rare pairs; outage failures with such a pair inherit the flag.
-
-    The key table is bounded by methods times reason codes (660), so it is broadcast.
     """
     keys = outlier_keys(failures, max_count).select("method", "error_reason", F.lit(True).alias("_rare"))
-    joined = failures.join(F.broadcast(keys), ["method", "error_reason"], "left")
+    joined = failures.join(keys, ["method", "error_reason"], "left")
     flagged = joined.withColumn("is_outlier", F.coalesce("_rare", F.lit(False)))
     return flagged.select(*[c for c in failures.columns if c != "is_outlier"], "is_outlier")
 

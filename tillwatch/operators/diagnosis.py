@@ -82,13 +82,13 @@ def default_diagnoses(spark: SparkSession) -> DataFrame:
 
 
 def attach_by_reason(failures: DataFrame, diagnoses: DataFrame) -> DataFrame:
-    """Left join on the reason. The diagnosis table has one row per known reason code, a
-    closed list of 110, so it is broadcast."""
+    """Left join on the reason. Any caller may pass diagnoses, so Spark decides by their measured
+    size whether to broadcast them."""
     renamed = {
         "reason": "error_reason", "tier": "diagnosis_tier", "confidence": "diagnosis_confidence",
         "rationale": "diagnosis_rationale",
     }
-    return failures.join(F.broadcast(diagnoses.withColumnsRenamed(renamed)), "error_reason", "left")
+    return failures.join(diagnoses.withColumnsRenamed(renamed), "error_reason", "left")
 
 
 def diagnose(failures: DataFrame, diagnoses: DataFrame) -> DataFrame:

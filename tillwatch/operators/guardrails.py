@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwatch import constants as K
@@ -171,8 +172,9 @@ def with_contact_stats(rows: DataFrame, log: DataFrame, config: PolicyConfig) ->
     """Add ``contacts_in_window`` and ``seconds_since_last_contact`` from the contact log.
 
     Contacts are looked up by customer and lookback-sized time bin (own and previous), where
-    only a handful can lie. A contact older than the lookback reads as none. The join spreads
-    one customer over its bins; AQE splits a bin that is still too large.
+    only a handful can lie. Behind these the last moment of all earlier bins is carried forward
+    over the customer's bins, one row per bin, so recency has no horizon. The join spreads one
+    customer over its bins; AQE splits a bin that is still too large.
     """
     lookback = max(config.contact_window_seconds, config.cooldown_seconds) * 1_000_000
     window = config.contact_window_seconds * 1_000_000
@@ -181,11 +183,18 @@ def with_contact_stats(rows: DataFrame, log: DataFrame, config: PolicyConfig) ->
         F.explode(F.array(F.floor(F.col("us") / lookback), F.floor(F.col("us") / lookback) + 1)).alias("_bin"),
     ).groupBy("customer_id", "_bin").agg(F.collect_list("contact").alias("_contacts"))
     placed = rows.withColumn("_us", micros(F.col("created_at"))).withColumn("_bin", F.floor(F.col("_us") / lookback))
-    joined = placed.join(bins, ["customer_id", "_bin"], "left")
+    forward = W.partitionBy("customer_id").orderBy("_bin")
+    ends = log.groupBy("customer_id", F.floor(F.col("us") / lookback).alias("_bin")).agg(F.max("us").alias("_end"))
+    asked = placed.select("customer_id", "_bin").distinct()
+    carried = asked.join(ends, ["customer_id", "_bin"], "full").select(
+        "customer_id", "_bin",
+        F.last("_end", ignorenulls=True).over(forward.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+    )
+    joined = placed.join(bins, ["customer_id", "_bin"], "left").join(carried, ["customer_id", "_bin"], "left")
     here = F.struct(F.col("_us").alias("us"), F.col("payment_id").alias("id"))
     earlier = F.filter("_contacts", lambda c: (c < here) & (c["us"] >= F.col("_us") - lookback))
     with_earlier = joined.withColumn("_earlier", earlier)
-    last = F.array_max(F.transform("_earlier", lambda c: c["us"]))
+    last = F.coalesce(F.array_max(F.transform("_earlier", lambda c: c["us"])), F.col("_before"))
     return with_earlier.select(
         *rows.columns,
         F.greatest(F.size(F.filter("_earlier", lambda c: c["us"] >= F.col("_us") - window)), F.lit(0))

@@ -69,17 +69,24 @@ def fragments_per_window(
 
 def correlate_downtimes(detected: DataFrame, downtimes: DataFrame, incident_key: Sequence[str]) -> DataFrame:
     """Nearest declared downtime per incident: same method, overlapping, banks equal where both
-    are known; an open downtime runs for ten years. Ties go to the earlier declared position.
+    are known; an open downtime runs for ten years. Ties go to the earlier declared position. A
+    downtime is cut at the end of the last incident, so none takes more bins than the incidents
+    span, and the bank is a join key wherever both sides have one.
 
     ``downtimes`` carries (id, method, bank, begin, end, ordinal). ``lead_minutes`` is negative
     when the incident was detected before the downtime began.
     """
-    spans = downtimes.select(
-        "id", "method", "bank", "begin", "ordinal",
-        F.coalesce("end", F.col("begin") + F.expr(f"INTERVAL {K.OPEN_ENDED_DAYS} DAYS")).alias("until"),
-    )
-    agree = F.col("l_bank").isNull() | F.col("r_bank").isNull() | (F.col("l_bank") == F.col("r_bank"))
-    pairs = overlap_join(detected, spans, ["method"], right_span=("begin", "until"), condition=agree)
+    last = detected.agg(F.max("end").alias("last")).scalar()
+    until = F.coalesce("end", F.col("begin") + F.expr(f"INTERVAL {K.OPEN_ENDED_DAYS} DAYS"))
+    spans = downtimes.select("id", "method", "bank", "begin", "ordinal", until.alias("until"))
+    spans = spans.filter(F.col("begin") < last).withColumn("until", F.least("until", last))
+    known, anywhere = detected.filter(F.col("bank").isNotNull()), detected.filter(F.col("bank").isNull())
+    parts = [
+        overlap_join(known, spans.filter(F.col("bank").isNotNull()), ["method", "bank"], right_span=("begin", "until")),
+        overlap_join(known, spans.filter(F.col("bank").isNull()), ["method"], right_span=("begin", "until")),
+        overlap_join(anywhere, spans, ["method"], right_span=("begin", "until")),
+    ]
+    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2])
     distance = F.abs(micros(F.col("r_begin")) - micros(F.col("l_start")))
     nearest = pairs.groupBy(*[F.col(f"l_{k}").alias(k) for k in incident_key]).agg(
         F.min_by(F.struct(F.col("r_id").alias("id"), F.col("r_begin").alias("begin")), F.struct(distance, "r_ordinal")).alias("match")

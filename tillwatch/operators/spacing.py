@@ -133,7 +133,10 @@ def select_spaced(
     ``sizes`` (keys, count) is an upper bound of the rows per key, taken from a cheap scan when
     ``rows`` itself is expensive; it decides which keys are hot.
     """
-    if any(gap <= 0 for back, gap in rules if back == 1) or not any(back == 1 for back, _ in rules):
+    rules = [(back, gap) for back, gap in rules if gap > 0]
+    if not rules:
+        return rows.select(*keys, "us", "id")
+    if not any(back == 1 for back, _ in rules):
         return fold_spaced(rows, keys, rules)
     counted = sizes if sizes is not None else rows.groupBy(*keys).count()
     hot = counted.filter(F.col("count") > hot_rows).select(*keys)

@@ -65,11 +65,11 @@ def simulation_report(failures: DataFrame, diagnoses: DataFrame, config: PolicyC
 
 
 def execution_report(
-    failures: DataFrame, diagnoses: DataFrame, recorded_at: str, head: int | None = 500,
+    failures: DataFrame, diagnoses: DataFrame, recorded_at: str, head: int | None = None,
     config: PolicyConfig = PolicyConfig(),
 ) -> dict[str, DataFrame]:
-    """Dry-run outcomes, key audit, and a verified log of a representative sample (``head=None``
-    logs every decision)."""
+    """Dry-run outcomes, key audit, and a verified log of every decision (``head`` asks for a
+    representative sample with so many first rows instead)."""
     decisions = checkpointed(execution.execution_records(decide_batch(failures, diagnoses, config)))
     chosen = decisions
     if head is not None:

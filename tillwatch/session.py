@@ -55,14 +55,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than half the cores (a small file in one row group) before
-    CPU-heavy row work; a scan of a large table has splits enough and stays as it is. Apply it to
-    the scan itself: the split count of a plan with shuffles is not known before it runs."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def inline_table(spark: SparkSession, columns: Sequence[str], rows: Iterable[Sequence[object]]) -> DataFrame:
     """A literal dimension as a local relation: exact statistics, no Python row transfer."""
     values = ", ".join("(" + ", ".join(sql_literal(value) for value in row) + ")" for row in rows)

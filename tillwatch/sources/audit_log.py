@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillwatch.operators.audit import ROWS_PER_CHAIN, build_chain, chain_tips
+from tillwatch.operators.audit import SHARDS_PER_DAY, build_chain, chain_tips
 
 
-def append_audit(rows: DataFrame, path: str, rows_per_chain: int = ROWS_PER_CHAIN) -> None:
+def append_audit(
+    rows: DataFrame, path: str, shards_per_day: int = SHARDS_PER_DAY, batch_id: str | None = None,
+) -> None:
     """Chain the rows onto the log at ``path`` and append them; new chains start where none is.
 
-    Tips are read from the days at hand only (partition pruning), then joined by chain.
+    The days of the batch are read first and given to the scan as literals, so that only their
+    partitions are read whatever the plan of ``rows``. With a ``batch_id`` a batch that the log
+    holds already is not appended again, so a retry changes nothing.
     """
-    spark = rows.sparkSession
-    existing = read_audit(spark, path)
+    days = [r.chain_day for r in rows.select("chain_day").distinct().toLocalIterator()]
+    existing = read_audit(rows.sparkSession, path)
     tips = None
     if existing is not None:
-        days = rows.select("chain_day").distinct()
-        tips = chain_tips(existing.join(days, "chain_day", "left_semi"))
-    build_chain(rows, rows_per_chain, tips).write.mode("append").partitionBy("chain_day").parquet(path)
+        there = existing.filter(F.col("chain_day").isin(days))
+        if batch_id is not None and not there.filter(F.col("batch_id") == batch_id).isEmpty():
+            return
+        tips = chain_tips(there)
+    chained = build_chain(rows, shards_per_day, tips).withColumn("batch_id", F.lit(batch_id).cast("string"))
+    chained.write.mode("append").partitionBy("chain_day").parquet(path)
+
+
+def append_stream(rows: DataFrame, path: str, checkpoint: str, shards_per_day: int = SHARDS_PER_DAY):
+    """Append a stream of audit rows batch by batch; a replayed batch is recognised by its number."""
+    def append(batch: DataFrame, number: int) -> None:
+        append_audit(batch, path, shards_per_day, f"{checkpoint}#{number}")
+
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame | None:
-    """The log, or None before its first append. Order comes from ``sequence``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
-        return None
-    log = spark.read.parquet(path)
-    return log.withColumn("chain_day", F.date_format(F.to_date(F.col("chain_day").cast("string")), "yyyy-MM-dd"))
+    """The log, or None before its first append. Order comes from ``sequence``; the day stays text."""
+    try:
+        found = spark.read.parquet(path).schema
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    days = [T.StructField(f.name, T.StringType()) if f.name == "chain_day" else f for f in found.fields]
+    return spark.read.schema(T.StructType(days)).parquet(path)
 
 
 def export_audit_json(log: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from tillwatch.functions import taxonomy as tx
 from tillwatch.functions.literals import sql_literal
 from tillwatch.functions.timegrid import scoped_bank
 from tillwatch.schemas import FAILURES, assert_schema
-from tillwatch.session import pin_utc, spread
+from tillwatch.session import pin_utc
 from tillwatch.sources.dimensions import class_table_rows, reason_explanation, unique_reasons
 
 METHOD_CUTS = [("upi", 64), ("card", 84), ("netbanking", 92), ("wallet", 97), ("cardless_emi", 99), ("emandate", 100)]
@@ -134,7 +134,7 @@ def rupees(paise: Column) -> Column:
 def failures_from_tables(spark: SparkSession, sf_dir: str, heavy_rows: bool = False) -> DataFrame:
     """Failures over the ``events`` table; ``heavy_rows`` announces CPU-heavy row work."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return derive_failures(spark, spread(events) if heavy_rows else events)
+    return derive_failures(spark, events)
 
 
 def with_entity(failures: DataFrame) -> DataFrame:
