@@ -25,7 +25,7 @@ MAX_LANGUAGES = 256
 REJECT_AT = 6.0
 #: Least deviation between documents of a language, in nats: mixed pages and passages of other languages
 #: stay well inside, runs of random letters do not.
-LEAST_SPREAD = 0.25
+LEAST_SPREAD = 0.4
 #: Characters' worth of evidence that the score weighs.
 SCORE_LENGTH = 20.0
 
@@ -194,7 +194,7 @@ def identify_languages(docs: DataFrame, order: int = ORDER, reject_at: float = R
     alone. lang_pred has the lowest cross-entropy per character, "und" (score 0) where text is null or has no
     letter. score weighs the entropies of all languages to a share between 0 and 1. A row is accepted unless it
     is "und" or its entropy lies more than ``reject_at`` deviations above its language's mean, the deviation
-    being calibrated on the training rows: spread between documents, and spread between characters over the
+    being calibrated on the training rows that are told right: spread between documents, and spread between characters over the
     length. Without any labelled row nothing can be told: "und" for all, and all with a letter are accepted.
     """
     spark = docs.sparkSession
@@ -203,17 +203,17 @@ def identify_languages(docs: DataFrame, order: int = ORDER, reject_at: float = R
     shared = spark.sparkContext.broadcast(models)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = stored(
-        known.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash"), "text")
+        known.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash"), "lang", "text")
         .mapInArrow(lambda x: _scored(x, shared.value),
-                    f"doc_id {kind}, held_out boolean, text_hash long, lang_pred string, score double, entropy double, spread double, size long"),
+                    f"doc_id {kind}, held_out boolean, text_hash long, lang string, lang_pred string, score double, entropy double, spread double, size long"),
         f"{shared_folder(spark)}/scored")
-    learned = scored.where("doc_id IS NOT NULL AND NOT held_out AND size > 0 AND lang_pred <> 'und'")
+    learned = scored.where("doc_id IS NOT NULL AND NOT held_out AND size > 0 AND lang = lang_pred")
     mean = learned.groupBy("lang_pred").agg(
         (F.sum(F.col("entropy") * F.col("size")) / F.sum("size")).alias("mean"),
         (F.sum(F.col("entropy") ** 2 * F.col("size")) / F.sum("size")).alias("square"),
         (F.sum(F.col("spread") * F.col("size")) / F.sum("size")).alias("within"))
     usual = {r["lang_pred"]: (r["mean"], max(r["square"] - r["mean"] ** 2, LEAST_SPREAD**2), r["within"]) for r in mean.toLocalIterator()}
-    accepted = F.col("size") > 0 if not usual else F.lit(False)
+    accepted = F.col("size") > 0
     for lang, (centre, between, within) in usual.items():
         limit = F.lit(centre) + reject_at * F.sqrt(F.lit(between) + F.lit(within) / F.col("size"))
         accepted = F.when(F.col("lang_pred") == lang, (F.col("size") > 0) & (F.col("entropy") <= limit)).otherwise(accepted)
