@@ -70,8 +70,8 @@ def robust_prune(vectors: np.ndarray, degree: int, candidates: int, strangers: i
     n = len(vectors)
     random = np.random.Generator(np.random.PCG64(seed))
     out: list[np.ndarray] = []
-    for low in range(0, n, 500):
-        near = vectors[low : low + 500] @ vectors.T
+    for low in range(0, n, 250):
+        near = vectors[low : low + 250] @ vectors.T
         near[np.arange(len(near)), np.arange(low, low + len(near))] = -2
         k = min(candidates, n - 1)
         best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else np.zeros((len(near), 0), int)
@@ -115,6 +115,14 @@ def _adjacency(ids: np.ndarray, near: list) -> np.ndarray:
     return table
 
 
+def _dots(a: np.ndarray, rows: np.ndarray, b: np.ndarray, others: np.ndarray, step: int = 30_000) -> np.ndarray:
+    """Products of the named rows pair by pair, a bounded number at a time."""
+    out = np.empty(len(rows))
+    for low in range(0, len(rows), step):
+        out[low : low + step] = np.einsum("kd,kd->k", a[rows[low : low + step]], b[others[low : low + step]])
+    return out
+
+
 def range_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs with at least the cosine that greedy search reaches; own: the query's row or -1."""
     q, n = len(queries), len(vectors)
@@ -139,8 +147,9 @@ def range_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ow
         done[active, spot] = True
         ahead = links[best[active, spot]]
         fresh = (ahead >= 0) & ~seen[active[:, None], ahead]
-        value = np.where(fresh, np.einsum("qkd,qd->qk", vectors[ahead], queries[active]), -np.inf)
         a, b = np.nonzero(fresh)
+        value = np.full(ahead.shape, -np.inf)
+        value[a, b] = _dots(vectors, ahead[a, b], queries, active[a])
         seen[active[a], ahead[a, b]] = True
         ids = np.concatenate([best[active], ahead], 1)
         scores = np.concatenate([score[active], value], 1)
@@ -154,15 +163,16 @@ def range_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ow
     reached = np.zeros((q, n), bool)
     reached[who, what] = True
     while len(who):
-        ahead = links[what]
-        fresh = ahead >= 0
-        key = np.unique((who[:, None] * n + ahead)[fresh])
+        parts = []
+        for low in range(0, len(who), 5000):
+            ahead = links[what[low : low + 5000]]
+            parts.append(np.unique((who[low : low + 5000, None] * n + ahead)[ahead >= 0]))
+        key = np.unique(np.concatenate(parts))
         who, what = key // n, key % n
         new = ~reached[who, what]
         who, what = who[new], what[new]
         reached[who, what] = True
-        close = np.concatenate([np.zeros(0, bool)] + [
-            np.einsum("kd,kd->k", vectors[what[x : x + 200_000]], queries[who[x : x + 200_000]]) >= cosine for x in range(0, len(who), 200_000)])
+        close = _dots(vectors, what, queries, who) >= cosine
         who, what = who[close], what[close]
         found_q.append(who)
         found_v.append(what)
@@ -191,11 +201,11 @@ def _searched(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    for low in range(0, len(names), 500):
-        who, what = range_search(vectors, links, queries[low : low + 500], own[low : low + 500], cosine)
+    for low in range(0, len(names), 250):
+        who, what = range_search(vectors, links, queries[low : low + 250], own[low : low + 250], cosine)
         who = who + low
         other = names[who] != ids[what]
-        exact = np.einsum("kd,kd->k", queries[who], vectors[what]) >= cosine
+        exact = _dots(queries, who, vectors, what) >= cosine
         who, what = who[other & exact], what[other & exact]
         np.add.at(counts, who, weight[what])
         for a, b in zip(names[who].tolist(), ids[what].tolist()):
