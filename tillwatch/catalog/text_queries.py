@@ -463,13 +463,6 @@ def tampered_chain_check(spark, sf):
     return audit.verify_chains(touched, *audit.canonical_parts(["o_orderkey"], ["sequence"]))
 
 
-@query("payment_audit_lookup")
-def payment_audit_lookup(spark, sf):
-    log = audit_log(spark, sf)
-    newest = failures_from_tables(spark, sf).agg(F.max_by("payment_id", F.struct("created_at", "payment_id"))).scalar()
-    return log.filter(F.col("payment_id") == newest).select("payment_id", "chain_id", "sequence", "final_action", "record_hash")
-
-
 @query("report_rows", (
     f"{DECIDED} SELECT 'terminal_states' AS section, '{{\"ladder_terminal_state\":\"' || ladder_terminal_state || '\",\"n\":' || count(*) || '}}' AS row FROM dd GROUP BY ladder_terminal_state "
     "UNION ALL SELECT 'waiting', '{\"wait_bank_recovery_count\":' || count(*) || '}' FROM dd WHERE final_action = 'wait_bank_recovery'"
