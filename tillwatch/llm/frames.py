@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwatch.session import shared_folder
+
+__all__ = ["ascii_lower", "null_safe", "shared_folder", "shuffle_partitions", "stored"]
+
 #: What separates words in every contract of this package: blank and the controls 09 to 0D.
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    A local session without that setting (tests) gets one of its own; a cluster must have it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tillwatch-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write a table once and go on from its files: lineage is cut and a lost executor loses nothing."""
     df.write.parquet(path, partitionBy=list(partition_by) or None)

@@ -20,7 +20,8 @@ from tillwatch.llm.frames import null_safe, shared_folder, stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges of the seeded hash per pattern; only the range that holds the quota is ordered row by row.
 RANGES = 4096
-#: Patterns beyond this number are an error; they are the one thing that the driver holds.
+#: Patterns beyond this number are an error; they are the one thing that the driver holds, and what is broadcast
+#: (one row per pattern or source) cannot outgrow them.
 MAX_PATTERNS = 100_000
 
 
@@ -152,10 +153,10 @@ def mix_sources(docs: DataFrame, sources: Column, weights: Sequence[float] = (3,
 
     for step in range(2):
         gaps = chosen.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
-        free = chosen.where("more = 0 AND size > 0").join(gaps, "pattern").where("abs(gap - size) < abs(gap)")
+        free = chosen.where("more = 0 AND size > 0").join(F.broadcast(gaps), "pattern").where("abs(gap - size) < abs(gap)")
         last = free.groupBy("pattern").agg(F.min_by("u", F.struct(F.abs(F.col("gap") - F.col("size")), "u")).alias("last"))
         chosen = stored(
-            chosen.join(last, "pattern", "left").withColumn("more", F.when(F.col("u") == F.col("last"), 1).otherwise(F.col("more"))).drop("last"),
+            chosen.join(F.broadcast(last), "pattern", "left").withColumn("more", F.when(F.col("u") == F.col("last"), 1).otherwise(F.col("more"))).drop("last"),
             f"{folder}/closed-{step}")
     copies = F.col("base") + F.col("more")
     rows = chosen.select("doc_id", "text_hash", "pattern", "size", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
@@ -168,4 +169,4 @@ def mix_by_source(docs: DataFrame, **settings: object) -> DataFrame:
     spark = docs.sparkSession
     facts = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "source string, source_size long, target double")
     named = rows.withColumn("source", F.from_json("pattern", "array<string>")[0]).drop("pattern")
-    return null_safe(named, facts, ["source"]).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "text_hash")
+    return null_safe(named, F.broadcast(facts), ["source"]).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "text_hash")
