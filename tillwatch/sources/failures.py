@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tillwatch import constants as K
 from tillwatch.functions import taxonomy as tx
-from tillwatch.functions.literals import sql_literal
+from tillwatch.functions.literals import literal_array, sql_literal
 from tillwatch.functions.timegrid import scoped_bank
 from tillwatch.schemas import FAILURES, assert_schema
-from tillwatch.session import pin_utc
+from tillwatch.session import inline_table, pin_utc
 from tillwatch.sources.dimensions import class_table_rows, reason_explanation, unique_reasons
 
 METHOD_CUTS = [("upi", 64), ("card", 84), ("netbanking", 92), ("wallet", 97), ("cardless_emi", 99), ("emandate", 100)]
@@ -37,6 +37,24 @@ def hash_percent(key: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(100))
 
 
+def root_causes(spark: SparkSession) -> DataFrame:
+    """Code, source, step and first sentence per (reason, method, flow): a closed table of 1,320 rows,
+    so the texts are searched there and not once per failure."""
+    reasons = unique_reasons()
+    rows = [(i, reason, reason_explanation(reason), row_class) for i, (reason, row_class) in enumerate(zip(reasons, row_classes(), strict=True))]
+    table = inline_table(spark, ["reason_pos", "reason", "explanation", "row_class"], rows)
+    every = table.withColumn("method", F.explode(literal_array([name for name, _ in METHOD_CUTS]))).withColumn(
+        "upi_flow", F.explode(literal_array(["collect", "intent"]))
+    )
+    return every.select(
+        "reason_pos", "method", "upi_flow",
+        tx.infer_error_code(F.col("reason"), F.col("explanation")).alias("error_code"),
+        tx.infer_source(F.col("row_class"), F.col("method")).alias("error_source"),
+        tx.infer_step(F.col("explanation"), F.col("method"), F.col("upi_flow")).alias("error_step"),
+        first_sentence(F.col("explanation")).alias("sentence"),
+    )
+
+
 def derive_failures(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Map raw events (event_id, ts, user_id, value, props) onto failed payments.
 
@@ -45,13 +63,10 @@ def derive_failures(spark: SparkSession, events: DataFrame) -> DataFrame:
     """
     pin_utc(spark)
     reasons = unique_reasons()
-    texts = sql_literal([reason_explanation(reason) for reason in reasons])
     base = spark.sql(f"""
         SELECT *, date_format(created_at, 'yyyyMMdd') AS day, user_id % 12 AS bank_pos,
           element_at({sql_literal(K.BANK_NAMES)}, CAST(user_id % 12 AS INT) + 1) AS bank,
           element_at({sql_literal(reasons)}, reason_pos + 1) AS error_reason,
-          element_at({texts}, reason_pos + 1) AS explanation,
-          element_at({sql_literal(row_classes())}, reason_pos + 1) AS row_class,
           IF(user_id % 2 = 0, 'collect', 'intent') AS upi_flow,
           IF(event_id % 5 = 0, 'paraphrase_wording', 'canonical') AS description_variant,
           lpad(CAST(event_id * 37 AS STRING), 12, '0') AS rrn
@@ -82,15 +97,14 @@ def derive_failures(spark: SparkSession, events: DataFrame) -> DataFrame:
     sentence = F.when(
         F.col("subcause").isNotNull(),
         F.concat(F.lit("Payment declined upstream: "), F.translate("subcause", "_", " "), F.lit(".")),
-    ).otherwise(first_sentence(F.col("explanation")))
+    ).otherwise(F.col("sentence"))
     notice = F.when(F.col("description_variant") == "canonical", "").otherwise("Notice: ")
-    return labelled.select(
+    typed = labelled.join(F.broadcast(root_causes(spark)), ["reason_pos", "method", "upi_flow"])
+    return typed.select(
         "payment_id", "order_id", "customer_id", "amount", "method", "created_at",
         F.row_number().over(W.partitionBy("order_id").orderBy("created_at", "payment_id")).alias("attempt_number"),
         "bank", "vpa", "card_bin",
-        tx.infer_error_code(F.col("error_reason"), F.col("explanation")).alias("error_code"),
-        tx.infer_source(F.col("row_class"), F.col("method")).alias("error_source"),
-        tx.infer_step(F.col("explanation"), F.col("method"), F.col("upi_flow")).alias("error_step"),
+        "error_code", "error_source", "error_step",
         "error_reason", F.concat(notice, sentence, method_clause(F.col("rrn"))).alias("description"),
         "latent_subcause_id", "description_variant", F.lit(False).alias("is_outlier"), "downtime_window_id",
         F.when(hash_percent(F.coalesce("downtime_window_id", "payment_id")) < int(100 * K.TEST_FRACTION), "test")
