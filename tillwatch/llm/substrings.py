@@ -10,7 +10,10 @@ stretches differ (the ends of passages, edited copies) are extended window by wi
 stretch of the seed. Adjoining matches merge, which gives the maximal repeats.
 
 Equal rows of one Arrow batch are settled before the shuffle, so a passage that a third of all documents
-share is a few rows per batch, and settled rows are dealt out by document. No group is gathered.
+share is a few rows per batch, and settled rows are dealt out by document. The seeds at the ends of such a
+passage have as many stretches as documents: seeds found often in a sample of documents are dealt out by
+stretch, and taken to have several, which only sends their windows on to be compared. The sample steers the
+dealing alone; the result is the same without it.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from tillwatch.llm.hashing import mixed, sequences, signed, text_blocks, words_o
 LENGTH, ANCHOR = 20, 6
 LAST = (1 << 63) - 1
 SHIFT = 40
-ROWS = "k long, sigma long, doc long, at long, n int"
+ROWS = "k long, sigma long, doc long, at long, n int, many boolean"
+#: One document in SAMPLE shows which seeds are frequent: in at least FREQUENT documents of it and this share.
+SAMPLE, FREQUENT, FREQUENT_SHARE = 64, 8, 0.002
 _STEP = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 4 * LENGTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -44,10 +49,10 @@ def _fingerprints(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return (mixed(sums) >> np.uint64(SHIFT + 1)).astype(np.int64) << SHIFT
 
 
-def _settled(k: np.ndarray, sigma: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _settled(k: np.ndarray, sigma: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
     """One row of each (k, sigma), the earliest; later ones become settled rows (n < 0), runs of them merged."""
     order = np.lexsort((at, doc, sigma, k))
-    k, sigma, doc, at, n = (x[order] for x in (k, sigma, doc, at, n))
+    k, sigma, doc, at, n, many = (x[order] for x in (k, sigma, doc, at, n, many))
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (sigma[1:] != sigma[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
@@ -63,13 +68,14 @@ def _settled(k: np.ndarray, sigma: np.ndarray, doc: np.ndarray, at: np.ndarray,
     d, a = d[head], a[head]
     out = [np.concatenate(x) for x in (
         (k[new], mixed(d.view(np.uint64) + np.uint64(1))), (sigma[new], np.zeros(len(d), np.uint64)),
-        (doc[new], d), (at[new], a), (n[new].astype(np.int64), -total))]
+        (doc[new], d), (at[new], a), (n[new].astype(np.int64), -total), (many[new], np.zeros(len(d), bool)))]
     return pa.RecordBatch.from_arrays(
-        [signed(out[0]), signed(out[1]), pa.array(out[2]), pa.array(out[3]), pa.array(out[4].astype(np.int32))],
-        ["k", "sigma", "doc", "at", "n"])
+        [signed(out[0]), signed(out[1]), pa.array(out[2]), pa.array(out[3]), pa.array(out[4].astype(np.int32)), pa.array(out[5])],
+        ["k", "sigma", "doc", "at", "n", "many"])
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _seeds(batches: Iterator[pa.RecordBatch], length: int, anchor: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """frequent: sorted hashes of the seeds whose rows are dealt out by stretch."""
     reach = length - anchor + 1
     for batch in batches:
         ids = batch.column("doc").to_numpy(zero_copy_only=False)
@@ -98,11 +104,25 @@ def _seeds(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Itera
             sigma = mixed(sigma + (n * 64 + where - s1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             text = row[heads]
             at = _fingerprints(words, begins)[text] + s1 - begins[:-1][text]
-            parts.append((grams[where], sigma, ids[low + text], at, n))
+            k, many = grams[where], np.zeros(len(where), bool)
+            if len(frequent):
+                many = frequent[np.minimum(np.searchsorted(frequent, k), len(frequent) - 1)] == k
+                k = np.where(many, mixed(k + sigma), k)
+            parts.append((k, sigma, ids[low + text], at, n, many))
         if parts:
             yield _settled(*(np.concatenate(x) for x in zip(*parts)))
 
 
+def _frequent_seeds(keyed: DataFrame, length: int, anchor: int) -> np.ndarray:
+    """Seeds of many documents in the sample; at most (seeds of a document) / FREQUENT_SHARE of them."""
+    part = keyed.where(F.pmod(F.xxhash64(F.lit(13), "doc"), F.lit(SAMPLE)) == 0).select("doc", "text")
+    nothing = np.zeros(0, np.uint64)
+    held = part.mapInArrow(lambda x: _seeds(x, length, anchor, nothing), ROWS).where("n > 0")
+    least = max(FREQUENT, FREQUENT_SHARE * part.count())
+    seen = held.groupBy("k").agg(F.count_distinct("sigma").alias("n")).where(F.col("n") >= least).select("k")
+    return np.sort(np.array([r.k for r in seen.toLocalIterator()], np.int64).view(np.uint64))
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every open window of the documents: two hashes of its words."""
     for batch in batches:
@@ -122,7 +142,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 at, n = at[own], n[own].astype(np.int64)
                 every = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 where = every - marks[row] + begins[row]
-                parts.append((one[where], two[where], np.full(len(every), ids[low + row]), every, np.ones(len(every), np.int64)))
+                parts.append((one[where], two[where], np.full(len(every), ids[low + row]), every, np.ones(len(every), np.int64), np.zeros(len(every), bool)))
         if parts:
             yield _settled(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -142,7 +162,7 @@ def _judged(rows: DataFrame) -> DataFrame:
     alike = Window.partitionBy("k", "settled", "sigma").orderBy("doc", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = ordered.select(
         "doc", "at", F.abs("n").alias("n"), "settled",
-        (F.first("sigma").over(whole) != F.last("sigma").over(whole)).alias("several"),
+        (F.col("many") | (F.first("sigma").over(whole) != F.last("sigma").over(whole))).alias("several"),
         ((F.first("doc").over(alike) != F.col("doc")) | (F.first("at").over(alike) != F.col("at"))).alias("late"))
     state = F.when(F.col("settled") | F.col("late"), 1).when(F.col("several"), 2).otherwise(0)
     return seen.select("doc", "at", "n", state.alias("state"))
@@ -199,7 +219,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     folder = shared_folder(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = source.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "doc_id", "text")
-    rows = keyed.where("text IS NOT NULL").select("doc", "text").mapInArrow(lambda x: _seeds(x, length, anchor), ROWS)
+    filled = keyed.where("text IS NOT NULL").select("doc", "text")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent_seeds(filled, length, anchor))
+    rows = filled.mapInArrow(lambda x: _seeds(x, length, anchor, frequent.value), ROWS)
     judged = stored(_judged(rows).where("state > 0"), f"{folder}/judged")
 
     packed = keyed.mapInArrow(_packed, "doc long, doc_id long, packed binary")
