@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tillwatch.session import checkpointed
 
+#: Links per partition of an intermediate table; each round knows the number of links of the one before.
+LINKS_PER_PARTITION = 500_000
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One star step: every node's (large: larger, else: smaller) neighbours are tied to its least one.
@@ -42,7 +45,8 @@ def connected_components(links: DataFrame, keep: Callable[[DataFrame], DataFrame
         if state == mark or state[0] == 0:
             break
         mark = state
-        current = keep(_star(_star(current, True), False))
+        parts = 1 + state[0] // LINKS_PER_PARTITION
+        current = keep(_star(_star(current, True), False).coalesce(parts))
     roots = current.groupBy("b").agg(F.min("a").alias("component"))
     ends = roots.select(F.col("b").alias("node"), "component")
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
