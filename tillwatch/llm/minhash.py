@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.llm.frames import shared_folder, stored
+from tillwatch.llm.frames import shared_folder, shuffle_partitions, stored
 from tillwatch.llm.hashing import mixed, sequences, signed, text_blocks, words_of
 from tillwatch.operators.components import connected_components
 
@@ -182,7 +182,8 @@ class _Links:
         data = ready.select("doc", "label", "packed", "hub", F.pmod(slot, F.col("blocks")).cast("int").alias("block"), upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
         asks = ready.where("stray").select("doc", "label", "packed", "hub", upto("blocks").alias("block"), F.pmod(slot, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
         percent = self.percent
-        met = data.unionByName(asks).groupBy("hub", "block", "chunk").applyInPandas(lambda x: _tied(x, percent), "a long, b long")
+        tasks = data.unionByName(asks).repartition(shuffle_partitions(members.sparkSession), "hub", "block", "chunk")
+        met = tasks.groupBy("hub", "block", "chunk").applyInPandas(lambda x: _tied(x, percent), "a long, b long")
         return stored(met, f"{self.folder}/links-crowds")
 
 
