@@ -456,9 +456,8 @@ def detector_report_reason_scoped(spark, sf):
 
 def _members(spark, sf, labelled: bool):
     f = failures_from_tables(spark, sf)
-    inside = I.flag_members(f, I.member_buckets(f, DETECTORS["rolling_zscore"])).filter("in_active_incident").select("payment_id")
-    known = f.filter(F.col("downtime_window_id").isNotNull() if labelled else F.col("downtime_window_id").isNull())
-    return known.select("payment_id").join(inside, "payment_id", "left_semi")
+    flagged = I.flag_members(f, I.member_buckets(f, DETECTORS["rolling_zscore"])).filter("in_active_incident")
+    return flagged.filter(F.col("downtime_window_id").isNotNull() if labelled else F.col("downtime_window_id").isNull()).select("payment_id")
 
 
 MEMBERS = f"{FV}, {LOW_INC} SELECT DISTINCT payment_id FROM failures f {ACTIVE_JOIN.replace('LEFT JOIN', 'JOIN')}"
