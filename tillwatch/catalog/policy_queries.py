@@ -18,7 +18,7 @@ from tillwatch.operators.incidents import flag_active_incidents
 from tillwatch.sources.dimensions import default_answers, default_reasons, first_row_per_reason, reviewed_classes
 from tillwatch.sources.failures import failures_from_tables
 
-ANSWER_ROWS = [line.split("|") for line in K.EXTERNAL_ANSWER_TABLE.strip().splitlines()]
+ANSWER_ROWS = K.EXTERNAL_ANSWER_TABLE
 DIAG = f"""{reason_rows_cte()},
 answers(reason, remediation_class, confidence, rationale) AS (SELECT * FROM (VALUES {', '.join(
     f"({quoted(r)}, {quoted(c)}, {quoted(f)}, {quoted('stored answer for ' + r)})" for r, c, f in ANSWER_ROWS)}) v),

@@ -94,142 +94,142 @@ SOURCE_BY_CLASS = {
 }
 
 # --- reason classes (fixed values): reason | candidate classes | reviewed-defect flag ---
-REASON_CLASS_TABLE = """
-amount_less_than_minimum_amount|merchant_action|
-authentication_failed|customer_fix|
-authorisation_declined_by_psp|customer_fix,different_instrument|
-bank_account_invalid|different_instrument_or_method|
-bank_account_validation_failed|customer_fix|
-bank_cutoff_in_progress|retry_same|
-bank_not_available|retry_same|
-bank_not_enabled|merchant_contact_razorpay|
-bank_technical_error|different_instrument_or_method|
-beneficiary_account_does_not_exist|merchant_contact_razorpay|
-beneficiary_account_dormant|merchant_contact_razorpay|
-capture_failed|retry_same|
-card_declined|customer_contact_issuer_bank|
-card_expired|different_instrument_or_method|
-card_network_not_enabled|merchant_contact_razorpay|
-card_not_enrolled|customer_fix,different_instrument_or_method|
-card_number_invalid|customer_fix|
-card_type_invalid|customer_fix|
-collect_on_mcc_blocked|different_method|
-collect_request_pending|customer_fix|
-compliance_violation|customer_contact_issuer_bank,merchant_contact_razorpay|
-credit_limit_exceeded|different_method|
-credit_limit_expired|different_method|
-credit_limit_inactive|customer_fix,different_method|
-credit_limit_not_approved|different_method|
-credit_not_permitted|customer_fix|
-credit_failed|customer_fix|
-debit_declined|customer_contact_issuer_bank|
-deemed_transaction|wait|
-debit_instrument_blocked|different_instrument_or_method|
-debit_instrument_inactive|different_instrument_or_method|
-duplicate_refund_id|merchant_action|
-duplicate_request|merchant_action|
-duplicate_rrn_found|retry_same|
-emi_greater_than_max_amount|different_instrument_or_method|
-emi_plan_unavailable|different_instrument_or_method|
-funds_blocked_by_mandate|customer_fix|
-funds_blocked_by_mandate|customer_fix|
-gateway_technical_error|different_method,wait|
-incorrect_atm_pin|customer_fix|
-incorrect_card_details|customer_fix|
-incorrect_card_expiry_date|customer_fix|
-incorrect_cardholder_name|customer_fix|
-incorrect_cvv|customer_fix|
-incorrect_otp|customer_fix|
-incorrect_pin|customer_fix|
-input_validation_failed|merchant_action,merchant_contact_razorpay|
-insufficient_funds|different_instrument_or_method|
-international_transaction_not_allowed|merchant_contact_razorpay|
-invalid_amount|merchant_action|
-invalid_currency|merchant_contact_razorpay|
-invalid_device|customer_fix|
-invalid_email|customer_fix|
-invalid_mobile_number|customer_fix|
-invalid_order_id|merchant_action|
-invalid_response_from_gateway|customer_fix|defect
-invalid_request|merchant_action|
-invalid_user_details|customer_fix|
-invalid_vpa|customer_fix|
-issuer_technical_error|different_method,wait|
-issuer_technical_error|retry_same|
-live_mode_not_enabled|merchant_action|
-mandate_creation_declined|retry_same|
-mandate_creation_expired|retry_same|
-mandate_creation_failed|retry_same|
-mandate_creation_timeout|retry_same|
-mcc_amount_limit_exceeded|merchant_contact_razorpay|
-merchant_not_activated|merchant_contact_razorpay|
-mismatch_in_transaction_details|merchant_contact_razorpay|defect
-mobile_number_invalid|customer_contact_issuer_bank,customer_fix|
-order_already_paid|merchant_action|
-order_payment_method_mismatch|merchant_action|
-order_amount_mismatch|merchant_action|
-otp_attempts_exceeded|different_instrument_or_method|
-otp_expired|customer_fix|
-payment_amount_tampered|customer_fix|
-payment_cancelled|retry_same|
-payment_collect_request_expired|retry_same|
-payment_declined|customer_contact_issuer_bank|
-payment_declined_due_to_high_traffic|retry_same|
-payment_failed|different_method|
-payment_method_not_enabled|merchant_contact_razorpay|
-payment_method_not_enabled|merchant_action|
-payment_pending|wait|
-payment_pending_approval|merchant_action|
-payment_risk_check_failed|different_instrument_or_method|
-payment_session_expired|retry_same|
-payment_timed_out|retry_same|
-pin_attempts_exceeded|different_instrument_or_method|
-pin_not_set|customer_fix|
-psp_app_ not_available|different_instrument|
-psp_app_not_supported|different_instrument|
-psp_not_available|different_instrument|
-psp_not_available|different_instrument|
-psp_not_registered|different_instrument|
-record_not_found|retry_same|
-recurring_payment_not_enabled|merchant_contact_razorpay|
-refund_limit_crossed|merchant_action|
-reqauth_mandate_not_acknowledged|retry_same|
-request_timed_out|retry_same|
-server_error|merchant_contact_razorpay,wait|
-transaction_daily_count_exceeded|different_instrument_or_method,wait|
-transaction_daily_limit_exceeded|different_instrument,wait|
-transaction_limit_exceeded|different_instrument_or_method|
-transaction_frequency_limit_exceeded|different_method|
-transaction_on_vpa_restricted|different_instrument|
-upi_app_technical_error|different_instrument,retry_same|
-upi_autopay_not_supported_on_psp|different_instrument|
-upi_collect_not_enabled|merchant_action|
-upi_intent_not_enabled|merchant_action|
-user_not_eligible|different_method|
-user_not_registered_for_netbanking|customer_contact_issuer_bank|
-vpa_resolution_failed|different_instrument_or_method|
-verification_failed|retry_same|
-"""
+REASON_CLASS_TABLE = [
+    ("amount_less_than_minimum_amount", ("merchant_action",), None),
+    ("authentication_failed", ("customer_fix",), None),
+    ("authorisation_declined_by_psp", ("customer_fix", "different_instrument"), None),
+    ("bank_account_invalid", ("different_instrument_or_method",), None),
+    ("bank_account_validation_failed", ("customer_fix",), None),
+    ("bank_cutoff_in_progress", ("retry_same",), None),
+    ("bank_not_available", ("retry_same",), None),
+    ("bank_not_enabled", ("merchant_contact_razorpay",), None),
+    ("bank_technical_error", ("different_instrument_or_method",), None),
+    ("beneficiary_account_does_not_exist", ("merchant_contact_razorpay",), None),
+    ("beneficiary_account_dormant", ("merchant_contact_razorpay",), None),
+    ("capture_failed", ("retry_same",), None),
+    ("card_declined", ("customer_contact_issuer_bank",), None),
+    ("card_expired", ("different_instrument_or_method",), None),
+    ("card_network_not_enabled", ("merchant_contact_razorpay",), None),
+    ("card_not_enrolled", ("customer_fix", "different_instrument_or_method"), None),
+    ("card_number_invalid", ("customer_fix",), None),
+    ("card_type_invalid", ("customer_fix",), None),
+    ("collect_on_mcc_blocked", ("different_method",), None),
+    ("collect_request_pending", ("customer_fix",), None),
+    ("compliance_violation", ("customer_contact_issuer_bank", "merchant_contact_razorpay"), None),
+    ("credit_limit_exceeded", ("different_method",), None),
+    ("credit_limit_expired", ("different_method",), None),
+    ("credit_limit_inactive", ("customer_fix", "different_method"), None),
+    ("credit_limit_not_approved", ("different_method",), None),
+    ("credit_not_permitted", ("customer_fix",), None),
+    ("credit_failed", ("customer_fix",), None),
+    ("debit_declined", ("customer_contact_issuer_bank",), None),
+    ("deemed_transaction", ("wait",), None),
+    ("debit_instrument_blocked", ("different_instrument_or_method",), None),
+    ("debit_instrument_inactive", ("different_instrument_or_method",), None),
+    ("duplicate_refund_id", ("merchant_action",), None),
+    ("duplicate_request", ("merchant_action",), None),
+    ("duplicate_rrn_found", ("retry_same",), None),
+    ("emi_greater_than_max_amount", ("different_instrument_or_method",), None),
+    ("emi_plan_unavailable", ("different_instrument_or_method",), None),
+    ("funds_blocked_by_mandate", ("customer_fix",), None),
+    ("funds_blocked_by_mandate", ("customer_fix",), None),
+    ("gateway_technical_error", ("different_method", "wait"), None),
+    ("incorrect_atm_pin", ("customer_fix",), None),
+    ("incorrect_card_details", ("customer_fix",), None),
+    ("incorrect_card_expiry_date", ("customer_fix",), None),
+    ("incorrect_cardholder_name", ("customer_fix",), None),
+    ("incorrect_cvv", ("customer_fix",), None),
+    ("incorrect_otp", ("customer_fix",), None),
+    ("incorrect_pin", ("customer_fix",), None),
+    ("input_validation_failed", ("merchant_action", "merchant_contact_razorpay"), None),
+    ("insufficient_funds", ("different_instrument_or_method",), None),
+    ("international_transaction_not_allowed", ("merchant_contact_razorpay",), None),
+    ("invalid_amount", ("merchant_action",), None),
+    ("invalid_currency", ("merchant_contact_razorpay",), None),
+    ("invalid_device", ("customer_fix",), None),
+    ("invalid_email", ("customer_fix",), None),
+    ("invalid_mobile_number", ("customer_fix",), None),
+    ("invalid_order_id", ("merchant_action",), None),
+    ("invalid_response_from_gateway", ("customer_fix",), "defect"),
+    ("invalid_request", ("merchant_action",), None),
+    ("invalid_user_details", ("customer_fix",), None),
+    ("invalid_vpa", ("customer_fix",), None),
+    ("issuer_technical_error", ("different_method", "wait"), None),
+    ("issuer_technical_error", ("retry_same",), None),
+    ("live_mode_not_enabled", ("merchant_action",), None),
+    ("mandate_creation_declined", ("retry_same",), None),
+    ("mandate_creation_expired", ("retry_same",), None),
+    ("mandate_creation_failed", ("retry_same",), None),
+    ("mandate_creation_timeout", ("retry_same",), None),
+    ("mcc_amount_limit_exceeded", ("merchant_contact_razorpay",), None),
+    ("merchant_not_activated", ("merchant_contact_razorpay",), None),
+    ("mismatch_in_transaction_details", ("merchant_contact_razorpay",), "defect"),
+    ("mobile_number_invalid", ("customer_contact_issuer_bank", "customer_fix"), None),
+    ("order_already_paid", ("merchant_action",), None),
+    ("order_payment_method_mismatch", ("merchant_action",), None),
+    ("order_amount_mismatch", ("merchant_action",), None),
+    ("otp_attempts_exceeded", ("different_instrument_or_method",), None),
+    ("otp_expired", ("customer_fix",), None),
+    ("payment_amount_tampered", ("customer_fix",), None),
+    ("payment_cancelled", ("retry_same",), None),
+    ("payment_collect_request_expired", ("retry_same",), None),
+    ("payment_declined", ("customer_contact_issuer_bank",), None),
+    ("payment_declined_due_to_high_traffic", ("retry_same",), None),
+    ("payment_failed", ("different_method",), None),
+    ("payment_method_not_enabled", ("merchant_contact_razorpay",), None),
+    ("payment_method_not_enabled", ("merchant_action",), None),
+    ("payment_pending", ("wait",), None),
+    ("payment_pending_approval", ("merchant_action",), None),
+    ("payment_risk_check_failed", ("different_instrument_or_method",), None),
+    ("payment_session_expired", ("retry_same",), None),
+    ("payment_timed_out", ("retry_same",), None),
+    ("pin_attempts_exceeded", ("different_instrument_or_method",), None),
+    ("pin_not_set", ("customer_fix",), None),
+    ("psp_app_ not_available", ("different_instrument",), None),
+    ("psp_app_not_supported", ("different_instrument",), None),
+    ("psp_not_available", ("different_instrument",), None),
+    ("psp_not_available", ("different_instrument",), None),
+    ("psp_not_registered", ("different_instrument",), None),
+    ("record_not_found", ("retry_same",), None),
+    ("recurring_payment_not_enabled", ("merchant_contact_razorpay",), None),
+    ("refund_limit_crossed", ("merchant_action",), None),
+    ("reqauth_mandate_not_acknowledged", ("retry_same",), None),
+    ("request_timed_out", ("retry_same",), None),
+    ("server_error", ("merchant_contact_razorpay", "wait"), None),
+    ("transaction_daily_count_exceeded", ("different_instrument_or_method", "wait"), None),
+    ("transaction_daily_limit_exceeded", ("different_instrument", "wait"), None),
+    ("transaction_limit_exceeded", ("different_instrument_or_method",), None),
+    ("transaction_frequency_limit_exceeded", ("different_method",), None),
+    ("transaction_on_vpa_restricted", ("different_instrument",), None),
+    ("upi_app_technical_error", ("different_instrument", "retry_same"), None),
+    ("upi_autopay_not_supported_on_psp", ("different_instrument",), None),
+    ("upi_collect_not_enabled", ("merchant_action",), None),
+    ("upi_intent_not_enabled", ("merchant_action",), None),
+    ("user_not_eligible", ("different_method",), None),
+    ("user_not_registered_for_netbanking", ("customer_contact_issuer_bank",), None),
+    ("vpa_resolution_failed", ("different_instrument_or_method",), None),
+    ("verification_failed", ("retry_same",), None),
+]
 
 # Stored answers for the reasons the table cannot settle (fixed values):
 # reason | remediation class | confidence
-EXTERNAL_ANSWER_TABLE = """
-authorisation_declined_by_psp|customer_fix|high
-card_not_enrolled|customer_fix|high
-compliance_violation|merchant_contact_razorpay|low
-credit_limit_inactive|customer_fix|high
-gateway_technical_error|different_method|medium
-input_validation_failed|merchant_action|high
-invalid_response_from_gateway|retry_same|low
-issuer_technical_error|different_method|medium
-mismatch_in_transaction_details|merchant_action|high
-mobile_number_invalid|customer_fix|high
-payment_method_not_enabled|merchant_contact_razorpay|high
-server_error|wait|high
-transaction_daily_count_exceeded|different_instrument_or_method|high
-transaction_daily_limit_exceeded|different_instrument_or_method|medium
-upi_app_technical_error|retry_same|low
-"""
+EXTERNAL_ANSWER_TABLE = [
+    ("authorisation_declined_by_psp", "customer_fix", "high"),
+    ("card_not_enrolled", "customer_fix", "high"),
+    ("compliance_violation", "merchant_contact_razorpay", "low"),
+    ("credit_limit_inactive", "customer_fix", "high"),
+    ("gateway_technical_error", "different_method", "medium"),
+    ("input_validation_failed", "merchant_action", "high"),
+    ("invalid_response_from_gateway", "retry_same", "low"),
+    ("issuer_technical_error", "different_method", "medium"),
+    ("mismatch_in_transaction_details", "merchant_action", "high"),
+    ("mobile_number_invalid", "customer_fix", "high"),
+    ("payment_method_not_enabled", "merchant_contact_razorpay", "high"),
+    ("server_error", "wait", "high"),
+    ("transaction_daily_count_exceeded", "different_instrument_or_method", "high"),
+    ("transaction_daily_limit_exceeded", "different_instrument_or_method", "medium"),
+    ("upi_app_technical_error", "retry_same", "low"),
+]
 
 # Coarse reasons that hide several mechanisms (fixed values).
 CATCH_ALL_REASONS = [

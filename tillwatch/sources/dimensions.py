@@ -12,10 +12,9 @@ from tillwatch.session import inline_table
 
 def class_table_rows() -> list[tuple[int, str, list[str], str | None]]:
     rows = []
-    for index, line in enumerate(K.REASON_CLASS_TABLE.strip().splitlines()):
-        reason, classes, flag = line.split("|")
+    for index, (reason, classes, flag) in enumerate(K.REASON_CLASS_TABLE):
         note = "next steps contradict the explanation" if flag == "defect" else None
-        rows.append((index, reason, sorted(classes.split(",")), note))
+        rows.append((index, reason, sorted(classes), note))
     return rows
 
 
@@ -48,10 +47,9 @@ def reviewed_classes(spark: SparkSession) -> DataFrame:
 
 def default_answers(spark: SparkSession) -> DataFrame:
     """Stored answers for the escalated reasons, with a short rationale."""
-    rows = [tuple(line.split("|")) for line in K.EXTERNAL_ANSWER_TABLE.strip().splitlines()]
     return inline_table(
         spark, ["reason", "remediation_class", "confidence", "rationale"],
-        [(r, c, conf, f"stored answer for {r}") for r, c, conf in rows],
+        [(r, c, conf, f"stored answer for {r}") for r, c, conf in K.EXTERNAL_ANSWER_TABLE],
     )
 
 
