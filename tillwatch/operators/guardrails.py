@@ -168,13 +168,16 @@ def accepted_contacts(
     return select_spaced(rows, ["customer_id"], contact_rules(config), sizes, hot_rows)
 
 
-def with_contact_stats(rows: DataFrame, log: DataFrame, config: PolicyConfig) -> DataFrame:
+def with_contact_stats(
+    rows: DataFrame, log: DataFrame, config: PolicyConfig, moments: DataFrame | None = None
+) -> DataFrame:
     """Add ``contacts_in_window`` and ``seconds_since_last_contact`` from the contact log.
 
     Contacts are looked up by customer and lookback-sized time bin (own and previous), where
     only a handful can lie. Behind these the last moment of all earlier bins is carried forward
     over the customer's bins, one row per bin, so recency has no horizon. The join spreads one
-    customer over its bins; AQE splits a bin that is still too large.
+    customer over its bins; AQE splits a bin that is still too large. ``moments`` is a table with at
+    least the customers and moments of ``rows`` that is cheaper to scan.
     """
     lookback = max(config.contact_window_seconds, config.cooldown_seconds) * 1_000_000
     window = config.contact_window_seconds * 1_000_000
@@ -185,7 +188,8 @@ def with_contact_stats(rows: DataFrame, log: DataFrame, config: PolicyConfig) ->
     placed = rows.withColumn("_us", micros(F.col("created_at"))).withColumn("_bin", F.floor(F.col("_us") / lookback))
     forward = W.partitionBy("customer_id").orderBy("_bin")
     ends = log.groupBy("customer_id", F.floor(F.col("us") / lookback).alias("_bin")).agg(F.max("us").alias("_end"))
-    asked = placed.select("customer_id", "_bin").distinct()
+    times = (rows if moments is None else moments).select("customer_id", micros(F.col("created_at")).alias("_us"))
+    asked = times.select("customer_id", F.floor(F.col("_us") / lookback).alias("_bin")).distinct()
     carried = asked.join(ends, ["customer_id", "_bin"], "full").select(
         "customer_id", "_bin",
         F.last("_end", ignorenulls=True).over(forward.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
@@ -223,7 +227,7 @@ def decide(
     requests = rows.filter(P.is_chase(F.col("_a4"))).select("customer_id", "created_at", "payment_id")
     sizes = (flagged if sizes_from is None else sizes_from).groupBy("customer_id").count()
     log = accepted_contacts(requests, config, sizes, hot_rows)
-    rows = with_contact_stats(rows, log, config)
+    rows = with_contact_stats(rows, log, config, sizes_from)
     chain = default_chain(config)
     rows = _apply(rows, chain[4:], 5)
     verdicts = [evaluation(number, rule, f"_a{number - 1}") for number, rule in enumerate(chain, start=1)]
