@@ -7,9 +7,9 @@ those are skipped (prefix), which takes hot passages out of the lists; the other
 for the candidates only (skip). At similarity 0.75 the share of links lost is P(Bin(40, 0.75) < 17) < 1e-5.
 
 Copies of one set are one node. A list's members are first compared with two hubs of the list and joined into
-components. What still lies apart is compared once more: sets that agree with one hub form its crowd, whose
-strays are held against the whole crowd in blocks, on full sets, inside tasks that return only links that tie
-components together; members of a list from different crowds and components are paired. Near copies of one
+components. What still lies apart is compared once more: sets tied by agreeing with hubs form a crowd, whose
+strays (all but its largest component) are held against the whole crowd in blocks, on full sets, inside tasks
+that return only links that tie components together; members of a list from different crowds are paired. Near copies of one
 text therefore never become all pairs, and no link between components is missed. Every link is confirmed on
 the full sets.
 """
@@ -274,14 +274,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORD
     labels = keeper(connected_components(found, keeper))
 
     label = F.coalesce("component", "doc").alias("label")
-    hub_of = compared.groupBy("b").agg(F.min("a").alias("hub")).withColumnRenamed("b", "doc")
-    placed = (signatures.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", label)
-              .join(hub_of, "doc", "left").select("doc", "label", F.coalesce("hub", "doc").alias("hub")))
-    placed = stored(placed, f"{folder}/placed")
-    heads = placed.select(F.col("doc").alias("hub"), F.col("label").alias("head"))
-    members_of = placed.unionByName(placed.where("hub <> doc").select(F.col("hub").alias("doc"), F.col("hub").alias("label"), "hub").distinct()
-                                    .join(heads, "hub").select("doc", F.col("head").alias("label"), "hub"))
-    crowd = stored(members_of.distinct().join(heads, "hub").select("doc", "label", "hub", (F.col("label") != F.col("head")).alias("stray")), f"{folder}/crowd")
+    crowds = keeper(connected_components(compared, keeper)).select(F.col("node").alias("doc"), F.col("component").alias("hub"))
+    placed = stored(
+        signatures.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", label)
+        .join(crowds, "doc", "left").select("doc", "label", F.coalesce("hub", "doc").alias("hub"), F.col("hub").isNotNull().alias("crowded")),
+        f"{folder}/placed")
+    members_of = placed.where("crowded").select("doc", "label", "hub")
+    per_label = members_of.groupBy("hub", "label").agg(F.count("*").alias("n"))
+    heads = per_label.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.count("*").alias("labels")).where("labels > 1")
+    crowd = stored(members_of.join(heads, "hub").select("doc", "label", "hub", (F.col("label") != F.col("head")).alias("stray")), f"{folder}/crowd")
     in_crowds = check.crowded(crowd)
 
     labelled = prefix.select("token", "doc").join(placed, "doc")
