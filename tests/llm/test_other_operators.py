@@ -8,6 +8,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,17 @@ def test_recall_of_the_table(spark):
     assert audit_recall(table, near_vectors(table)) >= 0.99
 
 
+def test_recall_in_a_large_group(spark):
+    """A third of the rows are distinct near copies, more than the shards that one vector visits can hold."""
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(30_000, 32)).astype(np.float32)
+    rows[::3] = rows[0] + 0.15 * rng.normal(size=(10_000, 32))
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(30_000), "embedding": list(rows)}), "vec_id long, embedding array<float>").repartition(8)
+    result = near_vectors(table).cache()
+    assert audit_recall(table, result, every=50) >= 0.97
+    assert result.where("n_links > 0").agg(F.count_distinct("component_id")).first()[0] == 1
+
+
 # mixing
 
 

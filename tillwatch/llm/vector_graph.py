@@ -1,7 +1,9 @@
 """Near-duplicate vectors through a pruned neighbour graph.
 
 Centroids of a bounded sample cut the vectors into overlapping shards: a vector is at home with its nearest
-centroid and a guest with the next ones. Each shard block builds a robust-pruned graph of its rows, the
+centroid and a guest with the next ones. Centroids within the cosine of one another are one, so a group of near
+copies has one shard however large the table; how many shards a vector visits follows from links of the sample
+that the centroids did not see. Each shard block builds a robust-pruned graph of its rows, the
 adjacency lists of a vector's blocks are united, and every home row searches its shard: greedily from the
 block's medoid and from itself, then, once inside the range, on to all neighbours in range. What the search
 finds is verified by the cosine in double precision.
@@ -26,9 +28,11 @@ from tillwatch.operators.components import connected_components
 
 #: Rows that fit the centroids; their number bounds the training, whatever the table.
 SAMPLE_ROWS = 20_000
-#: Home rows a shard should have, most centroids (they are broadcast), rows of a block, shards per vector.
+#: Home rows a shard should have, most centroids (they are broadcast), rows of a block, least shards per vector.
 SHARD_ROWS, MAX_SHARDS, BLOCK_ROWS, OVERLAP = 400, 4096, 2000, 3
 DEGREE, CANDIDATES, STRANGERS, ALPHA, BEAM = 24, 48, 12, 1.2, 16
+#: Share of the sample's links whose ends must meet in a shard, and rows whose links are looked at.
+PLACED, AUDIT_ROWS = 0.98, 2000
 
 
 def unit_rows(vectors: list[np.ndarray | None], width: int) -> np.ndarray:
@@ -53,6 +57,41 @@ def centroids_of(sample: np.ndarray, count: int, rounds: int = 6) -> np.ndarray:
     return centres
 
 
+def merged_centres(centres: np.ndarray, cosine: float) -> np.ndarray:
+    """Centroids with more than the cosine's distance between them: the one with most others within it stands for them."""
+    close = centres @ centres.T >= cosine
+    np.fill_diagonal(close, True)
+    left, kept = np.ones(len(centres), bool), []
+    degree = close.sum(1)
+    while left.any():
+        lead = int(np.where(left, degree, -1).argmax())
+        gone = close[lead] & left
+        kept.append(lead)
+        left &= ~gone
+        degree -= close[:, gone].sum(1)
+    return centres[np.sort(kept)]
+
+
+def overlap_needed(sample: np.ndarray, centres: np.ndarray, cosine: float, least: int) -> int:
+    """Shards per vector, least or more, with which PLACED of the sample's links meet, over all links and by row."""
+    k, asking = len(centres), sample[:AUDIT_ROWS]
+    order = np.argsort(-(sample @ centres.T), axis=1, kind="stable").astype(np.int32)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(k, dtype=np.int32)[None, :], 1)
+    links, rows = np.zeros(k), np.zeros(k)
+    for low in range(0, len(asking), 250):
+        close = asking[low : low + 250] @ sample.T >= cosine
+        close[np.arange(len(close)), np.arange(low, low + len(close))] = False
+        for i in np.flatnonzero(close.any(1)):
+            met = np.bincount(rank[close[i], order[low + i, 0]], minlength=k)
+            links += met
+            rows += met / met.sum()
+    if not rows.sum():
+        return min(least, k)
+    enough = [int(np.searchsorted(np.cumsum(x) / x.sum(), PLACED - 1e-9)) + 1 for x in (links, rows)]
+    return min(k, max(least, *enough))
+
+
 def _placed(batches: Iterator[pa.RecordBatch], centres: np.ndarray, overlap: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = unit_rows([x.values.to_numpy(zero_copy_only=False) for x in batch.column("vector")], centres.shape[1])
@@ -163,14 +202,10 @@ def range_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ow
     reached = np.zeros((q, n), bool)
     reached[who, what] = True
     while len(who):
-        parts = []
+        ahead_of = np.zeros((q, n + 1), bool)
         for low in range(0, len(who), 5000):
-            ahead = links[what[low : low + 5000]]
-            parts.append(np.unique((who[low : low + 5000, None] * n + ahead)[ahead >= 0]))
-        key = np.unique(np.concatenate(parts))
-        who, what = key // n, key % n
-        new = ~reached[who, what]
-        who, what = who[new], what[new]
+            ahead_of[who[low : low + 5000, None], links[what[low : low + 5000]]] = True
+        who, what = np.nonzero(ahead_of[:, :n] & ~reached)
         reached[who, what] = True
         close = _dots(vectors, what, queries, who) >= cosine
         who, what = who[close], what[close]
@@ -180,6 +215,17 @@ def range_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, ow
     return pairs // n, pairs % n
 
 
+def _hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of a and b pair by pair; parent holds roots before and after."""
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent[:] = up
+
+
 def _searched(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
     data = frame[frame["data"]].sort_values("vec_id")
     asking = frame[frame["query"]].sort_values("vec_id")
@@ -193,13 +239,9 @@ def _searched(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
     at = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
     own = np.where(ids[at] == names, at, -1)
     counts = np.zeros(len(names), np.int64)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    nodes = np.union1d(names, ids)
+    parent = np.arange(len(nodes))
+    ask, have = np.searchsorted(nodes, names), np.searchsorted(nodes, ids)
 
     for low in range(0, len(names), 250):
         who, what = range_search(vectors, links, queries[low : low + 250], own[low : low + 250], cosine)
@@ -208,15 +250,12 @@ def _searched(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
         exact = _dots(queries, who, vectors, what) >= cosine
         who, what = who[other & exact], what[other & exact]
         np.add.at(counts, who, weight[what])
-        for a, b in zip(names[who].tolist(), ids[what].tolist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
+        _hook(parent, ask[who], have[what])
+    tied = np.flatnonzero(parent != np.arange(len(nodes)))
     return pd.DataFrame({
-        "vec_id": np.concatenate([names, np.array(nodes, np.int64)]),
-        "found": np.concatenate([counts, np.zeros(len(nodes), np.int64)]),
-        "root": np.concatenate([names, np.array([root(x) for x in nodes], np.int64)])})
+        "vec_id": np.concatenate([names, nodes[tied]]),
+        "found": np.concatenate([counts, np.zeros(len(tied), np.int64)]),
+        "root": np.concatenate([names, nodes[parent[tied]]])})
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -274,7 +313,12 @@ def _linked(spark: SparkSession, nodes: DataFrame, rows: int, folder: str, cosin
     sample = nodes.where(F.pmod(F.xxhash64(F.lit(23), "vec_id"), F.lit(1 << 20)) < int(part * (1 << 20))).select("vector").limit(2 * SAMPLE_ROWS)
     drawn = [np.asarray(r["vector"]) for r in sample.toLocalIterator()] or [np.asarray(nodes.first()["vector"])]
     count = int(np.clip(rows // shard_rows, 1, min(MAX_SHARDS, len(drawn))))
-    shared = spark.sparkContext.broadcast(centroids_of(unit_rows(drawn, len(drawn[0])), count))
+    drawn = unit_rows(drawn, len(drawn[0]))
+    # A larger table's rows are mostly strange to the centroids: so must be the rows that tell the overlap.
+    seen, strange = (drawn, drawn) if rows <= SAMPLE_ROWS else (drawn[::2], drawn[1::2])
+    centres = merged_centres(centroids_of(seen, min(count, len(seen))), cosine)
+    overlap = overlap_needed(strange, centres, cosine, overlap)
+    shared = spark.sparkContext.broadcast(centres)
     placed = stored(
         nodes.mapInArrow(lambda x: _placed(x, shared.value, overlap), "vec_id long, weight long, vector array<double>, shard int, home boolean"), f"{folder}/placed")
 
