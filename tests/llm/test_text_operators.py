@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -152,6 +153,29 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
     assert contaminated(docs.limit(0), benchmark).count() == contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_clustered_substitutions_equal_brute_force(spark):
+    """Whatever the pattern of equal and replaced tokens, an overlap is any stretch that meets the rule."""
+    rng = random.Random(3)
+    patterns = [(12, 4, 12), (10, 4, 10), (12, 5, 12), (6, 2, 6, 2, 6), (12, 4, 12, 4, 12), (12, 4) * 8, (9, 4, 9), (8, 8, 8), (7, 5, 7, 5, 7)]
+    patterns += [tuple(rng.randrange(1, 12) if k % 2 == 0 else rng.randrange(1, 6) for k in range(rng.choice([3, 5, 7]))) for _ in range(60)]
+    items, docs, expected = [], [], set()
+    for i, pattern in enumerate(patterns):
+        same = [k % 2 == 0 for k, n in enumerate(pattern) for _ in range(n)]
+        if not any(n >= 6 for n in pattern[::2]):
+            continue
+        words = [f"i{i}w{k}" for k in range(len(same))]
+        items.append((i, " ".join(words)))
+        docs.append((i, "before it " + " ".join(w if x else f"x{w}" for w, x in zip(words, same)) + " and after"))
+        least = min(13, math.ceil(0.8 * len(same)))
+        if any(sum(same[a:b]) >= max(least, 0.75 * (b - a)) for a in range(len(same)) for b in range(a + 1, len(same) + 1)):
+            expected.add((i, i))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = contaminated(docs, items).collect()
+    assert {0, 1, 2, 3, 4, 5} <= {i for i, _ in expected} and len(expected) < items.count()
+    assert {(r.doc_id, r.item_id) for r in got} == expected
+    assert all(r.n_matched >= 0.75 * (r.end_token - r.first_token) for r in got)
+
+
 def test_contaminated_query_finds_every_verbatim_item(spark):
     norm = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
     items = [norm(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -137,6 +137,17 @@ def _best(same: np.ndarray) -> tuple[int, int, int]:
     return int(same[first:end].sum()), first, end
 
 
+def _most(same: np.ndarray, identity: float) -> tuple[int, int, int]:
+    """(matches, first, end) of the stretch with most matches among those with at least this share of matches."""
+    matches = np.concatenate([[0], np.cumsum(same)])
+    score = matches - identity * np.arange(len(matches))
+    low = np.minimum.accumulate(score)
+    first = np.searchsorted(-low, -(score + 1e-9))
+    end = int((matches - matches[first]).argmax())
+    n = int(matches[end] - matches[first[end]])
+    return n, int(np.searchsorted(matches, matches[first[end]], "right")) - 1 if n else end, end
+
+
 def _verified(batches: Iterator[pa.RecordBatch], overlap: int, share: float, identity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, matched, first, end = [], [], [], []
@@ -146,8 +157,12 @@ def _verified(batches: Iterator[pa.RecordBatch], overlap: int, share: float, ide
             low, high = max(0, -shift), min(len(item), len(region) - shift)
             if high <= low:
                 continue
-            n, a, b = _best(item[low:high] == region[low + shift : high + shift])
-            if n >= min(overlap, int(np.ceil(share * len(item)))) and n >= identity * (b - a):
+            same = item[low:high] == region[low + shift : high + shift]
+            needed = min(overlap, int(np.ceil(share * len(item))))
+            n, a, b = _best(same)
+            if n < needed or n < identity * (b - a):
+                n, a, b = _most(same, identity)
+            if n >= needed:
                 keep.append(i)
                 matched.append(n)
                 first.append(starts[i] + shift + low + a)
@@ -160,7 +175,8 @@ def _verified(batches: Iterator[pa.RecordBatch], overlap: int, share: float, ide
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, item_share: float = ITEM_SHARE, identity: float = IDENTITY) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, text_hash, item_id, item_tokens, n_matched,
-    first_token, end_token (the best stretch's range in the document's tokens).
+    first_token, end_token (the best stretch's range in the document's tokens: the one with most matches over
+    mismatches, or, where that is no overlap, the overlap with most matches).
 
     docs has doc_id and text, benchmark item_id and text. Tokens are runs of letters and digits, lower-cased.
     An overlap is a stretch along one diagonal with at least min(overlap, item_share * item tokens) equal
