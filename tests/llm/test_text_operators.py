@@ -209,6 +209,18 @@ def test_languages_held_out_accuracy(spark):
     assert found.where("score < 0 OR score > 1").count() == 0
 
 
+@pytest.mark.parametrize("left_out", ["en", "es"])
+def test_a_language_never_learned_is_rejected_and_the_others_stay(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.when(F.col("lang") != left_out, F.col("lang")).alias("lang"))
+    secret = spark.createDataFrame([(-2, "password=101a821562d3999d51 Und der die das.", None)], "doc_id long, text string, lang string")
+    got = identify_languages(docs.unionByName(secret)).join(docs.select("doc_id", "lang"), "doc_id", "left")
+    shares = {(r.own, r.accepted): r["count"] for r in got.groupBy((F.col("lang").isNotNull() | (F.col("doc_id") < 0)).alias("own"), "accepted").count().collect()}
+    strange = shares.get((False, True), 0), shares[(False, False)]
+    assert strange[0] <= 0.02 * sum(strange)
+    assert shares.get((True, False), 0) <= 0.02 * shares[(True, True)]
+    assert got.where("doc_id = -2").first().accepted
+
+
 def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     docs = spark.createDataFrame(
         [(k, f"{'the cat sat on the mat and ran ' if k % 2 else 'der hund lief in den wald hinein '}{k}", "en" if k % 2 else "de") for k in range(60)]

@@ -23,11 +23,14 @@ ORDER, SYMBOLS = 3, 64
 MAX_LANGUAGES = 256
 #: Deviations from a language's usual cross-entropy beyond which a document is rejected.
 REJECT_AT = 6.0
-#: Least deviation between documents of a language, in nats: mixed pages and passages of other languages
-#: stay well inside, runs of random letters do not.
-LEAST_SPREAD = 0.4
+#: Symbols like no language that any document may hold (a secret, a name): little in a long text, much in a short one.
+STRANGE = 16
+#: Held-back documents of a language from which on its deviation stands alone.
+ENOUGH = 30
 #: Characters' worth of evidence that the score weighs.
 SCORE_LENGTH = 20.0
+#: Symbols of a piece. Pieces are told each on its own, so a page that mixes known languages is as usual as they are.
+PIECE = 64
 
 
 @lru_cache(1)
@@ -130,18 +133,25 @@ class LanguageModels:
         return np.where(known, self.logs[:, at], backed)
 
 
-def train(docs: DataFrame, order: int = ORDER) -> LanguageModels:
-    """Count the n-grams of every row with text and lang; a language's counts are at most SYMBOLS ** order rows."""
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+def train(docs: DataFrame, order: int = ORDER, held_back: Column | None = None) -> tuple[LanguageModels, LanguageModels]:
+    """Models of every row with text and lang, and models of those not held back.
+
+    A language's counts are at most twice SYMBOLS ** order rows.
+    """
+    fold = F.when(F.lit(False) if held_back is None else held_back, "1").otherwise("0")
+    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.concat(fold, F.col("lang").cast("string")).alias("lang"))
     counts = labelled.mapInArrow(lambda x: _counted(x, order), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    tables: dict[str, np.ndarray] = {}
+    every: dict[str, np.ndarray] = {}
+    rest: dict[str, np.ndarray] = {}
     for row in counts.toLocalIterator():
-        if row.lang not in tables:
-            if len(tables) == MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages")
-            tables[row.lang] = np.zeros(SYMBOLS**order, np.int64)
-        tables[row.lang][row.code] = row.n
-    return LanguageModels(tables, order)
+        lang = row.lang[1:]
+        for tables in (every, rest) if row.lang[0] == "0" else (every,):
+            if lang not in tables:
+                if len(tables) == MAX_LANGUAGES:
+                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                tables[lang] = np.zeros(SYMBOLS**order, np.int64)
+            tables[lang][row.code] += row.n
+    return LanguageModels(every, order), LanguageModels(rest, order)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], models: LanguageModels) -> Iterator[pa.RecordBatch]:
@@ -149,7 +159,8 @@ def _scored(batches: Iterator[pa.RecordBatch], models: LanguageModels) -> Iterat
     for batch in batches:
         n = batch.num_rows
         best, score = np.full(n, -1), np.zeros(n)
-        size, entropy, spread = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        size, n_pieces = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        entropy, pieced, square_of = np.zeros(n), np.zeros(n), np.zeros(n)
         for low, codes, sizes in _codes(batch.column("text"), models.order):
             letters = np.add.reduceat(np.append(codes % SYMBOLS > 0, False), np.minimum(np.cumsum(sizes) - sizes, len(codes))) * (sizes > 0)
             rows = np.flatnonzero((sizes > 0) & (letters > 0))
@@ -163,23 +174,32 @@ def _scored(batches: Iterator[pa.RecordBatch], models: LanguageModels) -> Iterat
             place[distinct] = np.arange(len(distinct))
             at, logs = place[codes], models.table(distinct)
             sums = np.zeros((count, len(sizes)))
-            squares = np.zeros((count, len(sizes)))
-            for lang in range(count):
-                own = logs[lang][at].astype(np.float64)
-                sums[lang, filled] = np.add.reduceat(own, begins)
-                squares[lang, filled] = np.add.reduceat(own * own, begins)
+            pieces = np.maximum(sizes[filled] // PIECE, 1)
+            first = np.cumsum(pieces) - pieces
+            which = np.arange(pieces.sum()) - np.repeat(first, pieces)
+            cuts = np.repeat(begins, pieces) + which * np.repeat(sizes[filled], pieces) // np.repeat(pieces, pieces)
+            lengths = np.diff(np.append(cuts, len(codes)))
+            bits = np.stack([np.add.reduceat(logs[lang][at].astype(np.float64), cuts) for lang in range(count)])
+            sums[:, filled] = np.add.reduceat(bits, first, axis=1)
+            told = -bits.max(0)
+            whole, square = np.zeros(len(sizes)), np.zeros(len(sizes))
+            whole[filled] = np.add.reduceat(told, first)
+            square[filled] = np.add.reduceat(told * told / lengths, first)
             each = -sums[:, rows] / sizes[rows]
             pick = each.argmin(0)
             least = each[pick, np.arange(len(rows))]
             best[low + rows], entropy[low + rows] = pick, least
             score[low + rows] = 1 / np.exp(-SCORE_LENGTH * (each - least)).sum(0)
-            spread[low + rows] = np.maximum(squares[pick, rows] / sizes[rows] - least**2, 0)
+            pieced[low + rows], square_of[low + rows] = whole[rows] / sizes[rows], square[rows]
+            parts = np.zeros(len(sizes), np.int64)
+            parts[filled] = pieces
+            n_pieces[low + rows] = parts[rows]
             size[low : low + len(sizes)] = np.where(letters > 0, sizes, 0)
         names = pa.array([models.languages[k] if k >= 0 else "und" for k in best], pa.string())
         rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
         yield pa.RecordBatch.from_arrays(
-            [*rest, names, pa.array(score), pa.array(entropy), pa.array(spread), pa.array(size)],
-            [*[x for x in batch.schema.names if x != "text"], "lang_pred", "score", "entropy", "spread", "size"])
+            [*rest, names, pa.array(score), pa.array(entropy), pa.array(pieced), pa.array(square_of), pa.array(n_pieces), pa.array(size)],
+            [*[x for x in batch.schema.names if x != "text"], "lang_pred", "score", "entropy", "pieced", "squares", "pieces", "size"])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -187,34 +207,67 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def held_back(doc_id: str = "doc_id") -> Column:
+    """Another fifth of the ids, learned from, and told by models without them to calibrate the rejection."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 1, F.lit(False))
+
+
+def _usual(told: DataFrame) -> dict[str, tuple[float, float, float, int]]:
+    """Of rows told right: language to mean, variance between documents, variance of a symbol's share in pieces, documents."""
+    size = F.col("size")
+    sums = told.where("size > 0 AND lang = lang_pred").groupBy("lang_pred").agg(
+        F.sum(size).alias("n"), F.sum(F.col("pieced") * size).alias("one"), F.sum(F.col("pieced") ** 2 * size).alias("two"),
+        F.sum("squares").alias("squares"), F.sum("pieces").alias("pieces"), F.count("*").alias("docs"))
+    out = {}
+    for r in sums.toLocalIterator():
+        mean = r["one"] / r["n"]
+        out[r["lang_pred"]] = (mean, max(r["two"] / r["n"] - mean**2, 0.0), max(r["squares"] - mean**2 * r["n"], 0.0) / r["pieces"], r["docs"])
+    return out
+
+
+def _limits(held: dict, seen: dict) -> dict[str, tuple[float, float, float]]:
+    """Language to mean, variance between documents, variance within: as held back, and at least as in training.
+
+    A language with few documents held back deviates at least as the languages do on average.
+    """
+    docs = sum(x[3] for x in held.values())
+    usual = [sum(x[k] * x[3] for x in held.values()) / docs if docs else 0.0 for k in (1, 2)]
+    out = {}
+    for lang in seen.keys() | held.keys():
+        both = [x[lang] for x in (held, seen) if lang in x]
+        few = lang not in held or held[lang][3] < ENOUGH
+        between, within = (max([x[k] for x in both] + [usual[k - 1]] * few) for k in (1, 2))
+        out[lang] = (both[0][0], between, within)
+    return out
+
+
 def identify_languages(docs: DataFrame, order: int = ORDER, reject_at: float = REJECT_AT) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, accepted (and text_hash) for every row of docs.
 
     Models are learned from text and lang of rows with an id that is not held out; a prediction sees the text
     alone. lang_pred has the lowest cross-entropy per character, "und" (score 0) where text is null or has no
     letter. score weighs the entropies of all languages to a share between 0 and 1. A row is accepted unless it
-    is "und" or its entropy lies more than ``reject_at`` deviations above its language's mean, the deviation
-    being calibrated on the training rows that are told right: spread between documents, and spread between characters over the
-    length. Without any labelled row nothing can be told: "und" for all, and all with a letter are accepted.
+    is "und" or its piecewise entropy (each piece told on its own) lies more than ``reject_at`` deviations above
+    its language's mean, besides what STRANGE symbols of any kind add. Mean and deviation (between documents, and
+    between pieces over the length) are measured on training rows held back from the models that tell them, where
+    a language has such rows told right. Without any labelled row nothing can be told: "und" for all, and all with
+    a letter are accepted.
     """
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held_out().alias("held_out"))
-    models = train(known.where("doc_id IS NOT NULL AND NOT held_out"), order)
-    shared = spark.sparkContext.broadcast(models)
+    learned = known.where("doc_id IS NOT NULL AND NOT held_out")
+    models, others = (spark.sparkContext.broadcast(x) for x in train(learned, order, held_back()))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    told = "lang_pred string, score double, entropy double, pieced double, squares double, pieces long, size long"
     scored = stored(
         known.select("doc_id", "held_out", F.xxhash64("text").alias("text_hash"), "lang", "text")
-        .mapInArrow(lambda x: _scored(x, shared.value),
-                    f"doc_id {kind}, held_out boolean, text_hash long, lang string, lang_pred string, score double, entropy double, spread double, size long"),
+        .mapInArrow(lambda x: _scored(x, models.value), f"doc_id {kind}, held_out boolean, text_hash long, lang string, {told}"),
         f"{shared_folder(spark)}/scored")
-    learned = scored.where("doc_id IS NOT NULL AND NOT held_out AND size > 0 AND lang = lang_pred")
-    mean = learned.groupBy("lang_pred").agg(
-        (F.sum(F.col("entropy") * F.col("size")) / F.sum("size")).alias("mean"),
-        (F.sum(F.col("entropy") ** 2 * F.col("size")) / F.sum("size")).alias("square"),
-        (F.sum(F.col("spread") * F.col("size")) / F.sum("size")).alias("within"))
-    usual = {r["lang_pred"]: (r["mean"], max(r["square"] - r["mean"] ** 2, LEAST_SPREAD**2), r["within"]) for r in mean.toLocalIterator()}
+    aside = learned.where(held_back()).select("lang", "text").mapInArrow(lambda x: _scored(x, others.value), f"lang string, {told}")
+    limits = _limits(_usual(aside), _usual(scored.where("doc_id IS NOT NULL AND NOT held_out")))
     accepted = F.col("size") > 0
-    for lang, (centre, between, within) in usual.items():
-        limit = F.lit(centre) + reject_at * F.sqrt(F.lit(between) + F.lit(within) / F.col("size"))
-        accepted = F.when(F.col("lang_pred") == lang, (F.col("size") > 0) & (F.col("entropy") <= limit)).otherwise(accepted)
+    for lang, (centre, between, within) in limits.items():
+        limit = (F.lit(centre) + reject_at * F.sqrt(F.lit(between) + F.lit(within) / F.col("size"))
+                 + F.least(F.lit(STRANGE), F.col("size")) / F.col("size") * max(float(np.log(SYMBOLS)) - centre, 0.0))
+        accepted = F.when(F.col("lang_pred") == lang, (F.col("size") > 0) & (F.col("pieced") <= limit)).otherwise(accepted)
     return scored.select("doc_id", "held_out", "lang_pred", "score", "entropy", accepted.alias("accepted"), "text_hash")
