@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tillwatch.session import build_session
@@ -27,16 +28,23 @@ def main() -> None:
     spark.sparkContext.setLogLevel("OFF")
     from tillwatch.catalog import QUERIES
 
-    seconds = {}
+    seconds, failed = {}, {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        except Exception as problem:  # one failing query must not cost the figures of the others
+            failed[name] = f"{type(problem).__name__}: {problem}".splitlines()[0][:200]
+            continue
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(os.path.normpath(folder)).removeprefix("sf"),
+        **({"failed": failed} if failed else {}),
     }))
     spark.stop()
+    if failed:
+        sys.exit(1)
 
 
 if __name__ == "__main__":

@@ -171,6 +171,34 @@ def test_closest_downtime_wins_and_banks_are_wildcards(spark):
     assert rows["card"].downtime_id is None and rows["card"].lead_minutes is None
 
 
+def test_correlation_equals_brute_force_over_nested_open_and_repeated_downtimes(spark):
+    rng = random.Random(9)
+    banks, found, down = ["Axis Bank", "HDFC Bank", None], [], []
+    for k in range(150):
+        s = START + dt.timedelta(minutes=15 * rng.randrange(0, 3000))
+        found.append((rng.choice(["upi", "card"]), rng.choice(banks), k, s, s + dt.timedelta(minutes=rng.choice([15, 90, 4000]))))
+    for k in range(200):
+        s = START + dt.timedelta(minutes=5 * rng.randrange(-500, 9000))
+        e = None if k % 9 == 0 else s + dt.timedelta(minutes=rng.choice([0, 1, 20, 60, 700, 30_000, 900_000]))
+        down.append((f"d{k:03}", rng.choice(["upi", "card", "wallet"]), rng.choice(banks), s, e, rng.randrange(20) * 1000 + k))
+    incidents = spark.createDataFrame(found, "method string, bank string, incident_no long, start timestamp_ntz, end timestamp_ntz")
+    declared = spark.createDataFrame(down, "id string, method string, bank string, begin timestamp_ntz, end timestamp_ntz, ordinal long")
+    got = {r.incident_no: (r.downtime_id, r.lead_minutes) for r in intervals.correlate_downtimes(incidents, declared, ["method", "bank", "incident_no"]).collect()}
+    for method, bank, no, start, end in found:
+        near = [
+            (abs((b - start).total_seconds()), o, i, (start - b).total_seconds() / 60) for i, m, k, b, e, o in down
+            if m == method and (bank is None or k is None or bank == k) and b < end and start < (e or b + dt.timedelta(days=3650))
+        ]
+        best = min(near, default=None)
+        assert got[no] == ((best[2], best[3]) if best else (None, None))
+
+
+def test_an_open_downtime_takes_few_bins(spark):
+    row = spark.sql("SELECT unix_micros(timestamp'2024-02-01') AS a, unix_micros(timestamp'2034-01-29') AS b")
+    sizes = row.select(F.size(intervals.at_home(F.col("a"), F.col("b"))), F.size(intervals.at_all_levels(F.col("a"), F.col("b")))).first()
+    assert sizes[0] <= 2 and sizes[1] < 10
+
+
 def test_overlap_join_reports_each_pair_once(spark):
     rng = random.Random(5)
     def spans(n):
