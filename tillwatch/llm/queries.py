@@ -14,6 +14,7 @@ from tillwatch.llm.language import identify_languages
 from tillwatch.llm.lines import dedup_lines
 from tillwatch.llm.minhash import near_duplicates
 from tillwatch.llm.mixing import mix_by_source
+from tillwatch.llm.runs import longest_run, periodic_runs, runs_text
 from tillwatch.llm.substrings import dedup_substrings
 from tillwatch.llm.token_counts import count_tokens, recount_tokens, revision
 from tillwatch.llm.vector_graph import near_vectors
@@ -117,6 +118,29 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN done USING (doc_id)
 """
 
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """docs where a tenth of the texts, told by the id alone, repeat themselves from some word on."""
+    parts = F.split("text", "[ \\t\\n\\x0B\\f\\r]+")
+    chosen = docs.withColumn("__h", F.crc32(F.col("doc_id").cast("string"))).withColumn(
+        "__words", F.when(F.col("__h") % 10 == 0, F.filter(parts, lambda w: w != "")))
+    g, n = F.call_function("div", F.col("__h"), F.lit(10)), F.size("__words")
+    placed = chosen.withColumn("__a", F.when(n > 0, g % n)).withColumn(
+        "__p", F.call_function("div", n - F.col("__a"), F.lit(3) + g % 8) + 1)
+    at = lambda i: F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p"))
+    again = F.concat_ws(" ", F.transform("__words", lambda w, i: F.element_at("__words", (at(i) + 1).cast("int"))))
+    return placed.withColumn("text", F.when(F.col("__a").isNotNull(), again).otherwise(F.col("text"))).drop("__h", "__words", "__a", "__p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = found.withColumn("best", longest_run())
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs_text(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -128,5 +152,6 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
