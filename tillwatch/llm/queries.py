@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.llm.archives import archived
 from tillwatch.llm.chat import ORDER, as_events, format_chats, read_back
+from tillwatch.llm.collocations import collocations
 from tillwatch.llm.decontamination import contaminated
 from tillwatch.llm.language import identify_languages
 from tillwatch.llm.lines import dedup_lines
@@ -141,6 +142,49 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(runs_text(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), piece AS (
+  SELECT d, lang, unnest(parts) AS piece, unnest(range(len(parts))) AS p
+  FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?
+-]') AS parts FROM doc)
+), word AS (
+  SELECT d, lang, p, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT *, regexp_extract_all(piece, '[^ 	]+') AS ws FROM piece)
+), tok AS (
+  SELECT lang, w AS w1, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM word WINDOW x AS (PARTITION BY d, p ORDER BY i)
+), n AS (SELECT lang, count(*) AS n FROM tok GROUP BY lang),
+c1 AS (SELECT lang, w1, count(*) AS a FROM tok GROUP BY ALL),
+c2 AS (SELECT lang, w1, w2, count(*) AS a FROM tok WHERE w2 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT lang, w1, w2, w3, count(*) AS a FROM tok WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (
+  SELECT lang, u, v, max(a) AS f FROM (SELECT lang, w1 AS u, w2 AS v, a FROM c3 UNION ALL SELECT lang, w2, w3, a FROM c3) GROUP BY ALL
+), cut AS (
+  SELECT c2.lang, c2.w1 || ' ' || c2.w2 AS phrase, c2.a, 1 AS k, x.a AS l, y.a AS r
+  FROM c2 JOIN c1 x ON x.lang = c2.lang AND x.w1 = c2.w1 JOIN c1 y ON y.lang = c2.lang AND y.w1 = c2.w2
+  LEFT JOIN longer ON longer.lang = c2.lang AND u = c2.w1 AND v = c2.w2 WHERE c2.a >= 10 AND NOT coalesce(100 * f >= 50 * c2.a, false)
+  UNION ALL
+  SELECT c3.lang, c3.w1 || ' ' || c3.w2 || ' ' || c3.w3, c3.a, 1, x.a, y.a
+  FROM c3 JOIN c1 x ON x.lang = c3.lang AND x.w1 = c3.w1 JOIN c2 y ON y.lang = c3.lang AND y.w1 = c3.w2 AND y.w2 = c3.w3
+  UNION ALL
+  SELECT c3.lang, c3.w1 || ' ' || c3.w2 || ' ' || c3.w3, c3.a, 2, x.a, y.a
+  FROM c3 JOIN c2 x ON x.lang = c3.lang AND x.w1 = c3.w1 AND x.w2 = c3.w2 JOIN c1 y ON y.lang = c3.lang AND y.w1 = c3.w3
+), scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cut
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -153,5 +197,6 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
-SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_phrase_collocations": OP12_SQL}
