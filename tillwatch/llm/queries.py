@@ -149,14 +149,14 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13),
+      'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9)) AS t FROM documents
 ), piece AS (
   SELECT d, lang, unnest(parts) AS piece, unnest(range(len(parts))) AS p
-  FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?
--]') AS parts FROM doc)
+  FROM (SELECT d, lang, string_split(t, chr(10)) AS parts FROM doc)
 ), word AS (
   SELECT d, lang, p, unnest(ws) AS w, unnest(range(len(ws))) AS i
-  FROM (SELECT *, regexp_extract_all(piece, '[^ 	]+') AS ws FROM piece)
+  FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM piece)
 ), tok AS (
   SELECT lang, w AS w1, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM word WINDOW x AS (PARTITION BY d, p ORDER BY i)
 ), n AS (SELECT lang, count(*) AS n FROM tok GROUP BY lang),
