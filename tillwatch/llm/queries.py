@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.llm.archives import archived
 from tillwatch.llm.chat import ORDER, as_events, format_chats, read_back
+from tillwatch.llm.cluster_tree import nearest_vectors
 from tillwatch.llm.collocations import collocations
 from tillwatch.llm.decontamination import contaminated
 from tillwatch.llm.language import identify_languages
@@ -185,6 +186,10 @@ longer AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -198,5 +203,6 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 SQL: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_phrase_collocations": OP12_SQL}
