@@ -64,6 +64,24 @@ def test_crowd_of_near_copies_that_do_not_all_link(spark):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in got) == components(rows)
 
 
+@pytest.mark.parametrize("block", [4, 800])
+def test_lists_that_join_several_crowds(spark, block):
+    """Families of near copies around one passage: close enough to be candidates of one another, not to link but for a few."""
+    rng = random.Random(11)
+    passage, rows = [f"p{k}" for k in range(100)], []
+    for family in range(12):
+        own = [f"f{family}x{k}" for k in range((60, 45, 20)[family % 3])]
+        for _ in range(7):
+            text = passage + own
+            for _ in range(rng.randrange(4)):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(9000)}"
+            rows.append((len(rows), " ".join(text)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    want = components(rows)
+    assert 2 < len({r[2] for r in want}) < 30
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in got) == want
+
+
 def brute_repeats(rows, length=20):
     seen, order = {}, sorted({(i, t) for i, t in rows if i is not None}, key=lambda x: x[0])
     removed = {}

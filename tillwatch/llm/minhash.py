@@ -6,12 +6,13 @@ Such a pair must share a posting even if every set leaves out its ``MATCHES - 1`
 those are skipped (prefix), which takes hot passages out of the lists; the other coordinates are looked up
 for the candidates only (skip). At similarity 0.75 the share of links lost is P(Bin(40, 0.75) < 17) < 1e-5.
 
-Copies of one set are one node. A list's members are first compared with two hubs of the list and joined into
-components. What still lies apart is compared once more: sets tied by agreeing with hubs form a crowd, whose
-strays (all but its largest component) are held against the whole crowd in blocks, on full sets, inside tasks
-that return only links that tie components together; members of a list from different crowds are paired. Near copies of one
-text therefore never become all pairs, and no link between components is missed. Every link is confirmed on
-the full sets.
+Copies of one set are one node. A list's members are first compared with two hubs of the list; sets tied by agreeing
+with hubs form a crowd. Lists that hold members of several crowds are compared by signature inside tasks, those outside
+the list's largest crowd against all, in blocks; a task returns only what ties crowds together, never pairs. In
+each crowd so merged the strays (all but its largest component of confirmed links) are held against the whole crowd, on
+full sets, again in blocks inside tasks that return only links that tie components. Near copies of one text, or texts
+around one passage, therefore never become pairs, and no link between components is missed. Every link is confirmed
+on the full sets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.llm.frames import shared_folder, shuffle_partitions, stored
@@ -138,6 +139,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _parts(rows: str, size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / size)).cast("int")
+
+
+def _upto(count: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+
 class _Links:
     """Candidate pairs to confirmed links: coordinates first, then the full sets."""
 
@@ -171,22 +180,80 @@ class _Links:
         percent = self.percent
         return stored(met.mapInArrow(lambda x: _confirmed(x, percent), "a long, b long"), f"{self.folder}/links-{name}")
 
-    def crowded(self, members: DataFrame, block: int = CROWD_BLOCK) -> DataFrame:
+    def merging(self, lists: DataFrame, block: int) -> DataFrame:
+        """lists (token, doc, hub): pairs of hubs that tie all hubs of a list whose members agree."""
+        per_hub = lists.groupBy("token", "hub").agg(F.count("*").alias("n"))
+        sizes = per_hub.groupBy("token").agg(
+            F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("strays"), F.max_by("hub", F.struct("n", "hub")).alias("head"))
+        dealt = lists.join(sizes.select("token", "head", _parts("all", block).alias("blocks"), _parts("strays", block).alias("chunks")), "token")
+        ready = dealt.join(self.signatures, "doc")
+        slot = F.xxhash64(F.lit(4), "doc")
+        data = ready.select("token", "hub", "signature", F.pmod(slot, F.col("blocks")).cast("int").alias("block"), _upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
+        asks = ready.where("hub <> head").select("token", "hub", "signature", _upto("blocks").alias("block"), F.pmod(slot, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
+        group, matches = ["token", "block", "chunk"], self.matches
+        tasks = data.unionByName(asks).repartition(shuffle_partitions(lists.sparkSession), *group).sortWithinPartitions(*group)
+        return stored(tasks.mapInArrow(lambda x: _hubs_met(x, matches), "a long, b long").distinct(), f"{self.folder}/merging")
+
+    def crowded(self, members: DataFrame, block: int) -> DataFrame:
         """members (doc, label, hub): links between members of one hub whose labels differ, enough to tie them."""
         sizes = members.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("stray").alias("strays")).where("strays > 0")
-        parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
-        dealt = members.join(sizes.select("hub", parts("n").alias("blocks"), parts("strays").alias("chunks")), "hub")
+        dealt = members.join(sizes.select("hub", _parts("n", block).alias("blocks"), _parts("strays", block).alias("chunks")), "hub")
         ready = dealt.join(self.texts(dealt.select("doc")), "doc")
         slot = F.xxhash64(F.lit(3), "doc")
-        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        data = ready.select("doc", "label", "packed", "hub", F.pmod(slot, F.col("blocks")).cast("int").alias("block"), upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
-        asks = ready.where("stray").select("doc", "label", "packed", "hub", upto("blocks").alias("block"), F.pmod(slot, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
+        data = ready.select("doc", "label", "packed", "hub", F.pmod(slot, F.col("blocks")).cast("int").alias("block"), _upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
+        asks = ready.where("stray").select("doc", "label", "packed", "hub", _upto("blocks").alias("block"), F.pmod(slot, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
         percent = self.percent
         tasks = data.unionByName(asks).repartition(shuffle_partitions(members.sparkSession), "hub", "block", "chunk")
         met = tasks.groupBy("hub", "block", "chunk").applyInPandas(lambda x: _tied(x, percent), "a long, b long")
         return stored(met, f"{self.folder}/links-crowds")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Rows of each group of a partition sorted by columns; at most one group and one batch are held."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        turns = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        for low, high in zip([0, *turns], [*turns, batch.num_rows]):
+            key = tuple(k[low] for k in keys)
+            if held and key != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _hubs_met(batches: Iterator[pa.RecordBatch], matches: int) -> Iterator[pa.RecordBatch]:
+    """Per group the pairs of hubs that tie all those with agreeing members on both sides."""
+    for rows in _groups(batches, ["token", "block", "chunk"]):
+        asking = rows.column("asks").to_numpy(zero_copy_only=False)
+        if asking.all() or not asking.any():
+            continue
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(asking), -1)
+        hub = rows.column("hub").to_numpy(zero_copy_only=False)
+        own, other = hub[asking].copy(), hub[~asking].copy()
+        mine, theirs = signature[asking], np.ascontiguousarray(signature[~asking].T)
+        left, right = [], []
+        for i in range(len(own)):
+            if (other == own[i]).all():
+                continue
+            agree = (theirs == mine[i][:, None]).sum(0) >= matches
+            while (apart := np.flatnonzero(agree & (other != own[i]))).size:
+                gone = other[apart[0]]
+                left.append(own[i])
+                right.append(gone)
+                other[other == gone] = own[i]
+                own[own == gone] = own[i]
+        if left:
+            ends = np.array([left, right], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(0)), pa.array(ends.max(0))], ["a", "b"])
+
+
 def _sets_of(packed: pd.Series) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for low in range(0, len(packed), 256):
@@ -236,7 +303,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), signed(words[at])], ["word", "bits"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = CROWD_BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (columns doc_id and text are read).
 
     Documents link when 100 * intersection >= percent * union of their sets of distinct five-word shingles
@@ -279,21 +346,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORD
         signatures.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", label)
         .join(crowds, "doc", "left").select("doc", "label", F.coalesce("hub", "doc").alias("hub"), F.col("hub").isNotNull().alias("crowded")),
         f"{folder}/placed")
-    members_of = placed.where("crowded").select("doc", "label", "hub")
+    labelled = prefix.select("token", "doc").join(placed.select("doc", "hub"), "doc")
+    apart = labelled.groupBy("token").agg((F.min("hub") < F.max("hub")).alias("apart")).where("apart").select("token")
+    met = check.merging(labelled.join(apart, "token"), block)
+    merged = keeper(connected_components(met, keeper)).select(F.col("node").alias("hub"), "component")
+    joined_hubs = placed.join(merged, "hub", "left").where("crowded OR component IS NOT NULL")
+    members_of = joined_hubs.select("doc", "label", F.coalesce("component", "hub").alias("hub"))
     per_label = members_of.groupBy("hub", "label").agg(F.count("*").alias("n"))
     heads = per_label.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.count("*").alias("labels")).where("labels > 1")
     crowd = stored(members_of.join(heads, "hub").select("doc", "label", "hub", (F.col("label") != F.col("head")).alias("stray")), f"{folder}/crowd")
-    in_crowds = check.crowded(crowd)
-
-    labelled = prefix.select("token", "doc").join(placed, "doc")
-    apart = labelled.groupBy("token").agg(
-        (F.min("label") < F.max("label")).alias("labels"), (F.min("hub") < F.max("hub")).alias("hubs")).where("labels AND hubs").select("token")
-    open_lists = stored(labelled.join(apart, "token"), f"{folder}/open")
-    left = open_lists.select("token", F.col("doc").alias("a"), F.col("label").alias("la"), F.col("hub").alias("ha"))
-    right = open_lists.select("token", F.col("doc").alias("b"), F.col("label").alias("lb"), F.col("hub").alias("hb"))
-    across = left.join(right, "token").where("a < b AND la <> lb AND ha <> hb").select("a", "b").distinct()
-    rest = check.agreeing(across.join(compared, ["a", "b"], "left_anti"), "across")
-    links = found.unionByName(in_crowds).unionByName(check.confirmed(rest, "across"))
+    links = found.unionByName(check.crowded(crowd, block))
     copies = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     components = connected_components(links.unionByName(copies), keeper)
 
