@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch import constants as K
 from tillwatch.catalog.base import SQL, query, significant, sql_stamp, stamp
-from tillwatch.catalog.incident_queries import FV
+from tillwatch.catalog.incident_queries import FV, incident_rows
 from tillwatch.catalog.policy_queries import DECIDED, DF
 from tillwatch.catalog.text_queries import DOWN, downtime_webhooks
 from tillwatch.functions.policy import PolicyConfig
 from tillwatch.operators import audit, execution, guardrails
 from tillwatch.operators import diagnosis as D
 from tillwatch.operators.incidents import flag_active_incidents
-from tillwatch.operators.series import bucket_counts
 from tillwatch.session import shared_folder
 from tillwatch.sources.audit_log import append_audit, read_audit
 from tillwatch.sources.dimensions import default_answers, default_reasons, load_external_answers, load_reasons
@@ -39,7 +38,7 @@ def stream_deduplicated_webhooks(spark, sf):
         F.concat(F.lit("evt_"), F.col("user_id"), F.lit("_"), F.col("event_type")).alias("event_id"),
         F.col("ts").cast("timestamp").alias("received_at"),
     )
-    return replayed(deliveries.coalesce(1), S.first_sightings).select("event_id", stamp("received_at"))
+    return replayed(deliveries, S.first_sightings, order=F.col("received_at")).select("event_id", stamp("received_at"))
 
 
 @query("stream_bucket_counts", (
@@ -49,25 +48,50 @@ def stream_deduplicated_webhooks(spark, sf):
 ))
 def stream_bucket_counts(spark, sf):
     rows = timed(failures_from_tables(spark, sf).select("method", "bank", "created_at"), "created_at")
-    return replayed(rows, S.tumbling_counts).select("method", "bank", stamp("bucket_start"), "n")
+    return replayed(rows, S.tumbling_counts, order=F.col("created_at")).select("method", "bank", stamp("bucket_start"), "n")
 
 
-@query("stream_burst_calls", SQL["burst_scores_poisson_surprise"])
+#: Failures arrive out of order by less than this, and buckets close that much later.
+LATE_SECONDS = 1800
+WATERMARK_US = f"((SELECT max(us) FROM failures) // 1000 * 1000 - {LATE_SECONDS}000000)"
+
+
+def arriving(moment: str, key: str, seconds: int) -> Column:
+    """Arrival time: up to ``seconds`` after the event, by a hash of the key."""
+    late = F.pmod(F.xxhash64(key), F.lit(seconds * 1_000_000 - 1_000_000))
+    return F.timestamp_micros(F.unix_micros(moment) + late)
+
+
+def _arriving_failures(spark, sf) -> tuple[DataFrame, int]:
+    rows = timed(failures_from_tables(spark, sf).select("payment_id", "method", "bank", "created_at"), "created_at")
+    origin = rows.agg(F.min(F.unix_micros("created_at"))).first()[0] or 0
+    return rows, origin // BUCKET_US * BUCKET_US
+
+
+@query("stream_burst_calls", f"{SQL['burst_scores_poisson_surprise']} AND (idx + 1) * {BUCKET_US} <= {WATERMARK_US}")
 def stream_burst_calls(spark, sf):
-    counts = bucket_counts(failures_from_tables(spark, sf))
-    origin = counts.agg(F.min("origin")).first()[0] * BUCKET_US
-    rows = counts.select("method", "bank", F.timestamp_micros(F.col("idx") * BUCKET_US).alias("bucket_start"), "n")
-    out = replayed(rows.coalesce(1), lambda s: S.watch_bursts(s, origin))
+    rows, origin = _arriving_failures(spark, sf)
+    out = replayed(rows, lambda s: S.watch_bursts(S.tumbling_counts(s, f"{LATE_SECONDS} seconds"), origin), order=arriving("created_at", "payment_id", LATE_SECONDS))
     idx = F.call_function("div", F.unix_micros("bucket_start"), F.lit(BUCKET_US)).alias("idx")
     return out.select("method", "bank", idx, "n", "is_burst", significant("score"))
 
 
-@query("stream_contact_log", f"{DECIDED} SELECT customer_id, pid AS id FROM log")
+@query("stream_incidents", (
+    f"{SQL['incidents_poisson_surprise']} WHERE epoch_us(end_at) + {(K.MAX_GAP_BUCKETS + 1) * BUCKET_US} <= {WATERMARK_US}"
+))
+def stream_incidents(spark, sf):
+    rows, origin = _arriving_failures(spark, sf)
+    build = lambda s: S.incidents_from_failures(s, origin, lateness=f"{LATE_SECONDS} seconds")
+    out = replayed(rows, build, order=arriving("created_at", "payment_id", LATE_SECONDS))
+    return incident_rows(out)
+
+
+@query("stream_contact_log", f"{DECIDED} SELECT customer_id, pid AS id FROM log WHERE us <= (SELECT max(us) FROM rq) // 1000 * 1000 - 3600000000")
 def stream_contact_log(spark, sf):
     config = PolicyConfig()
     rows = guardrails.candidates(flag_active_incidents(failures_from_tables(spark, sf)), D.default_diagnoses(spark), config)
     requests = timed(rows.filter(F.col("_a4").isin(K.CHASE_ACTIONS)).select("customer_id", "payment_id", "created_at"), "created_at")
-    out = replayed(requests.coalesce(1), lambda s: S.contact_verdicts(s, config))
+    out = replayed(requests, lambda s: S.contact_verdicts(s, config, "1 hour"), order=arriving("created_at", "payment_id", 3600))
     return out.filter("verdict = 'accepted'").select("customer_id", F.col("payment_id").alias("id"))
 
 
@@ -86,7 +110,8 @@ def stream_diagnosed_failures(spark, sf):
 ))
 def stream_current_downtimes(spark, sf):
     build = lambda s: S.current_downtimes(valid_rows(parse_downtime_webhooks(s)).drop("payload", "instrument"))
-    return newest(replayed(downtime_webhooks(spark, sf), build, "update"), ["id"]).select("id", "method", "bank", "status", stamp("updated_at"))
+    sent = F.timestamp_seconds(F.get_json_object("payload", "$.created_at").cast("long"))
+    return newest(replayed(downtime_webhooks(spark, sf), build, "update", order=sent), ["id"]).select("id", "method", "bank", "status", stamp("updated_at"))
 
 
 # --- loaders ----------------------------------------------------------------------------------

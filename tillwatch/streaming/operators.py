@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tillwatch import constants as K
 from tillwatch.functions.policy import PolicyConfig
@@ -21,9 +22,6 @@ from tillwatch.functions.poisson import poisson_tail_value
 from tillwatch.functions.timegrid import scoped_bank
 from tillwatch.operators.detectors import ewma_step
 from tillwatch.operators.diagnosis import diagnose
-from tillwatch.sources.payloads import latest_downtimes
-
-HOUR_MS = 3_600_000
 
 
 def epoch_us(moment: pd.Timestamp) -> int:
@@ -99,14 +97,28 @@ def tumbling_counts(failures: DataFrame, lateness: str = "30 minutes", width_sec
     )
 
 
-BURST_SCHEMA = "method string, bank string, bucket_start timestamp, n long, score double, is_burst boolean"
+BURST_SCHEMA = "method string, bank string, bucket_start timestamp, bucket_end timestamp, n long, score double, is_burst boolean"
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows under a schema of plain types, with its types also where there is no row."""
+    fields = [part.split() for part in schema.split(", ")]
+    kinds = {"timestamp": "datetime64[us]", "long": "Int64", "int": "Int32", "double": "float64", "boolean": "bool", "string": "object"}
+    frame = pd.DataFrame(rows, columns=[name for name, _ in fields])
+    return frame.astype({name: kinds[kind] for name, kind in fields})
+
+
+def _moment(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
 
 
 class BurstWatch(StatefulProcessor):
-    """Scores each closed bucket of an entity against its trailing baseline.
+    """Scores each bucket of an entity against its trailing baseline once the watermark closes it.
 
-    State is the last non-empty buckets within the history, or the moving moments. Empty
-    buckets are read off the distance between bucket positions.
+    A count waits in state until an event-time timer at the end of its bucket fires, so counts may come in
+    any order before that. State is what waits, the last non-empty buckets within the history, and the moving
+    moments. Empty buckets are read off the distance between bucket positions. When the history has
+    passed without a failure, a detector that looks back over the history only forgets the entity.
     """
 
     def __init__(self, detector: str, origin_us: int, width_seconds: int) -> None:
@@ -114,6 +126,8 @@ class BurstWatch(StatefulProcessor):
         self.origin = origin_us // self.width_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "idx array<long>, n array<long>")
         self.recent = handle.getValueState("recent", "idx array<long>, n array<long>")
         self.moments = handle.getValueState("moments", "at long, mean double, variance double")
 
@@ -135,13 +149,26 @@ class BurstWatch(StatefulProcessor):
             return n - mean, n > mean
         return (n - mean) / sd, (n - mean) / sd > K.Z_THRESHOLD
 
+    def _ends_ms(self, idx: int) -> int:
+        return -(-(idx + 1) * self.width_us // 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values("bucket_start")
+        counts = dict(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else {}
+        for row in pd.concat(list(rows)).itertuples(index=False):
+            idx = epoch_us(row.bucket_start) // self.width_us
+            counts[idx] = counts.get(idx, 0) + int(row.n)
+            self.handle.registerTimer(self._ends_ms(idx))
+        self.waiting.update((list(counts), list(counts.values())))
+        yield _frame([], BURST_SCHEMA)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        closed = timerValues.getCurrentWatermarkInMs() * 1000 // self.width_us
+        counts = dict(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else {}
         past = list(zip(*self.recent.get(), strict=True)) if self.recent.exists() else []
         at, mean, variance = self.moments.get() if self.moments.exists() else (self.origin, 0.0, 0.0)
-        scores, bursts = [], []
-        for row in batch.itertuples(index=False):
-            idx, n = epoch_us(row.bucket_start) // self.width_us, int(row.n)
+        out = []
+        for idx in sorted(i for i in counts if i < closed):
+            n = counts.pop(idx)
             past = [(i, c) for i, c in past if i >= idx - K.HISTORY_BUCKETS]
             if self.detector == "fixed_threshold":
                 score, burst = float(n), n > K.FIXED_THRESHOLD
@@ -157,11 +184,18 @@ class BurstWatch(StatefulProcessor):
                 if idx - self.origin < K.MIN_HISTORY:
                     score, burst = 0.0, False
             past.append((idx, n))
-            scores.append(float(score))
-            bursts.append(bool(burst))
-        self.recent.update(([i for i, _ in past], [c for _, c in past]))
-        self.moments.update((int(at), float(mean), float(variance)))
-        yield batch[["method", "bank", "bucket_start", "n"]].assign(score=scores, is_burst=bursts)
+            self.handle.registerTimer(self._ends_ms(idx + K.HISTORY_BUCKETS))
+            start = idx * self.width_us
+            out.append((key[0], key[1], _moment(start), _moment(start + self.width_us - 1), n, float(score), bool(burst)))
+        past = [(i, c) for i, c in past if i >= closed - K.HISTORY_BUCKETS]
+        for state, columns in ((self.waiting, list(counts.items())), (self.recent, past)):
+            if columns:
+                state.update(tuple(map(list, zip(*columns))))
+            else:
+                state.clear()
+        if self.detector == "ewma_zscore":
+            self.moments.update((int(at), float(mean), float(variance)))
+        yield _frame(out, BURST_SCHEMA)
 
     def close(self) -> None:
         pass
@@ -170,13 +204,96 @@ class BurstWatch(StatefulProcessor):
 def watch_bursts(
     counts: DataFrame, origin_us: int, detector: str = "poisson_surprise", width_seconds: int = K.BUCKET_SECONDS
 ) -> DataFrame:
-    """Burst calls at bucket close. Unlike the batch form nothing later is known, so incident
-    membership of bridged buckets is left to the consumer."""
+    """Burst calls at bucket close over counts with a watermark on ``bucket_end``, such as ``tumbling_counts``.
+
+    The watermark goes on with ``bucket_end`` to the next stateful operator.
+    """
     return counts.groupBy("method", "bank").transformWithStateInPandas(
-        BurstWatch(detector, origin_us, width_seconds), BURST_SCHEMA, "Append", "None"
+        BurstWatch(detector, origin_us, width_seconds), BURST_SCHEMA, "Append", "EventTime", eventTimeColumnName="bucket_end"
     )
 
 
+INCIDENT_SCHEMA = (
+    "method string, bank string, detector string, incident_no long, start timestamp, end timestamp, n_buckets long, "
+    "total_count long, peak_score double"
+)
+
+
+class IncidentWatch(StatefulProcessor):
+    """One automaton per entity: a burst opens an incident, further bursts within the gap extend it, and a timer ends it.
+
+    Quiet buckets after a burst are kept apart and count only if the next burst comes within the gap. The timer
+    stands where the last bucket that could still extend the incident is closed; it emits the incident once.
+    """
+
+    def __init__(self, detector: str, max_gap: int, width_seconds: int) -> None:
+        self.detector, self.max_gap, self.width_us = detector, max_gap, width_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "first long, last long, total long, peak double, quiet long, quiet_peak double")
+        self.number = handle.getValueState("number", "closed long")
+
+    def _emitted(self, key, first: int, last: int, total: int, peak: float) -> tuple:
+        number = (self.number.get()[0] if self.number.exists() else 0) + 1
+        self.number.update((number,))
+        start, end = first * self.width_us, (last + 1) * self.width_us
+        return key[0], key[1], self.detector, number, _moment(start), _moment(end), last - first + 1, total, peak
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, out = (self.open.get() if self.open.exists() else None), []
+        for row in pd.concat(list(rows)).sort_values("bucket_start").itertuples(index=False):
+            idx, n, score = epoch_us(row.bucket_start) // self.width_us, int(row.n), float(row.score)
+            near = now is not None and idx - now[1] <= self.max_gap + 1
+            if row.is_burst:
+                if near:
+                    first, _, total, peak, quiet, quiet_peak = now
+                    now = (first, idx, total + quiet + n, max(peak, quiet_peak, score), 0, score)
+                else:
+                    if now is not None:
+                        out.append(self._emitted(key, *now[:4]))
+                    now = (idx, idx, n, score, 0, score)
+                self.handle.registerTimer(self._over_ms(idx))
+            elif near:
+                now = (*now[:4], now[4] + n, max(now[5], score))
+        if now is not None:
+            self.open.update(now)
+        yield _frame(out, INCIDENT_SCHEMA)
+
+    def _over_ms(self, last: int) -> int:
+        return -(-(last + self.max_gap + 2) * self.width_us // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.open.exists():
+            now = self.open.get()
+            if self._over_ms(now[1]) <= timerValues.getCurrentWatermarkInMs():
+                out.append(self._emitted(key, *now[:4]))
+                self.open.clear()
+        yield _frame(out, INCIDENT_SCHEMA)
+
+    def close(self) -> None:
+        pass
+
+
+def watch_incidents(
+    bursts: DataFrame, detector: str = "poisson_surprise", max_gap: int = K.MAX_GAP_BUCKETS, width_seconds: int = K.BUCKET_SECONDS
+) -> DataFrame:
+    """Incidents of scored buckets (``watch_bursts``), each once, when nothing can extend it any more."""
+    return bursts.groupBy("method", "bank").transformWithStateInPandas(
+        IncidentWatch(detector, max_gap, width_seconds), INCIDENT_SCHEMA, "Append", "EventTime"
+    )
+
+
+def incidents_from_failures(
+    failures: DataFrame, origin_us: int, detector: str = "poisson_surprise", lateness: str = "30 minutes",
+    max_gap: int = K.MAX_GAP_BUCKETS, width_seconds: int = K.BUCKET_SECONDS,
+) -> DataFrame:
+    """Counts, burst calls and incidents as one stream of three chained stateful operators."""
+    bursts = watch_bursts(tumbling_counts(failures, lateness, width_seconds), origin_us, detector, width_seconds)
+    return watch_incidents(bursts, detector, max_gap, width_seconds)
+
+
 # --- contact history -----------------------------------------------------------------------
 
 CONTACT_SCHEMA = (
@@ -188,50 +305,77 @@ CONTACT_SCHEMA = (
 class ContactHistory(StatefulProcessor):
     """Contact cap and cooldown on requests of one customer, in event order.
 
-    Only accepted contacts are remembered, and of those the last ``contact_cap``. A request
-    older than one already decided is reported as late and changes nothing.
+    Requests wait in state until a timer says that the watermark has passed them, and are then decided in order of
+    (created_at, payment_id), whatever order they came in. Only accepted contacts are remembered, and of those the last
+    ``contact_cap``; a second timer forgets them when neither limit can reach back to them.
     """
 
     def __init__(self, config: PolicyConfig) -> None:
         self.config = config
+        self.window_us, self.cooldown_us = config.contact_window_seconds * 1_000_000, config.cooldown_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getValueState("history", "contacts array<long>, newest long")
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "us array<long>, ids array<string>")
+        self.history = handle.getValueState("history", "contacts array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        contacts, newest = self.history.get() if self.history.exists() else ([], None)
-        contacts = list(contacts)
-        window, cooldown = self.config.contact_window_seconds * 1_000_000, self.config.cooldown_seconds * 1_000_000
+        moments, ids = map(list, self.waiting.get()) if self.waiting.exists() else ([], [])
+        for row in pd.concat(list(rows)).itertuples(index=False):
+            moments.append(epoch_us(row.created_at))
+            ids.append(row.payment_id)
+            self.handle.registerTimer(-(-moments[-1] // 1000))
+        self.waiting.update((moments, ids))
+        yield _frame([], CONTACT_SCHEMA)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else []
+        contacts = list(self.history.get()[0]) if self.history.exists() else []
         out = []
-        batch = pd.concat(list(rows)).sort_values(["created_at", "payment_id"])
-        for row in batch.itertuples(index=False):
-            us = epoch_us(row.created_at)
-            if newest is not None and us < newest:
-                out.append((row.customer_id, row.payment_id, row.created_at, None, None, "late"))
-                continue
-            newest = us
-            count = sum(1 for at in contacts if at >= us - window)
+        for us, payment_id in (w for w in waiting if w[0] <= passed):
+            count = sum(1 for at in contacts if at >= us - self.window_us)
             since = (us - contacts[-1]) / 1e6 if contacts else None
             if count >= self.config.contact_cap:
                 verdict = "per_customer_contact_cap"
-            elif contacts and us - contacts[-1] < cooldown:
+            elif contacts and us - contacts[-1] < self.cooldown_us:
                 verdict = "contact_cooldown"
             else:
                 verdict = "accepted"
                 contacts = [*contacts, us][-max(1, self.config.contact_cap):]
-            out.append((row.customer_id, row.payment_id, row.created_at, count, since, verdict))
-        self.history.update((contacts, newest))
-        frame = pd.DataFrame(out, columns=[part.split()[0] for part in CONTACT_SCHEMA.split(", ")])
-        yield frame.astype({"contacts_in_window": "Int32", "seconds_since_last_contact": "float64"})
+                self.handle.registerTimer((us + max(self.window_us, self.cooldown_us)) // 1000 + 2)
+            out.append((key[0], payment_id, _moment(us), count, since, verdict))
+        left = [w for w in waiting if w[0] > passed]
+        contacts = [at for at in contacts if at >= min([passed, *(us for us, _ in left)]) - max(self.window_us, self.cooldown_us)]
+        if left:
+            self.waiting.update(tuple(map(list, zip(*left))))
+        else:
+            self.waiting.clear()
+        if contacts:
+            self.history.update((contacts,))
+        else:
+            self.history.clear()
+        yield _frame(out, CONTACT_SCHEMA)
 
     def close(self) -> None:
         pass
 
 
-def contact_verdicts(requests: DataFrame, config: PolicyConfig = PolicyConfig()) -> DataFrame:
-    """Verdict per contact request ``(customer_id, payment_id, created_at)``."""
+def contact_verdicts(requests: DataFrame, config: PolicyConfig = PolicyConfig(), lateness: str = "1 hour") -> DataFrame:
+    """Verdict per contact request ``(customer_id, payment_id, created_at)``, once the watermark has passed it.
+
+    Requests may come out of order by up to ``lateness``. A later one is dropped and counted by Spark (``late_rows``). The time
+    since the last contact is null when that lies beyond both limits.
+    """
     rows = requests.select("customer_id", "payment_id", F.col("created_at").cast("timestamp").alias("created_at"))
-    return rows.groupBy("customer_id").transformWithStateInPandas(ContactHistory(config), CONTACT_SCHEMA, "Append", "None")
+    return rows.withWatermark("created_at", lateness).groupBy("customer_id").transformWithStateInPandas(
+        ContactHistory(config), CONTACT_SCHEMA, "Append", "EventTime"
+    )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that stateful operators of the query have dropped as older than the watermark."""
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
 
 
 # --- enrichment and downtime state ------------------------------------------------------------
@@ -242,6 +386,50 @@ def diagnose_stream(failures: DataFrame, diagnoses: DataFrame) -> DataFrame:
     return diagnose(failures, diagnoses)
 
 
-def current_downtimes(webhooks: DataFrame) -> DataFrame:
-    """Latest state per downtime as a running aggregate; write it in ``update`` mode."""
-    return latest_downtimes(webhooks)
+class NewestDowntime(StatefulProcessor):
+    """Lets a webhook through unless a newer one of its downtime was seen.
+
+    State is the time of the newest webhook. That of a resolved downtime lives until the watermark passes it: from then
+    on Spark drops every older webhook of it as late, so nothing is left to compare.
+    """
+
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "us long, resolved boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = pd.concat(list(rows)).sort_values("updated_at", kind="stable").iloc[-1:]
+        us, resolved = epoch_us(last["updated_at"].iloc[0]), last["status"].iloc[0] == "resolved"
+        if self.newest.exists() and self.newest.get()[0] > us:
+            yield last.iloc[:0][self.columns]
+            return
+        self.newest.update((us, bool(resolved)))
+        if resolved:
+            self.handle.registerTimer(-(-us // 1000))
+        yield last[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.newest.exists():
+            us, resolved = self.newest.get()
+            if resolved and us <= timerValues.getCurrentWatermarkInMs() * 1000:
+                self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def current_downtimes(webhooks: DataFrame, lateness: str = "7 days") -> DataFrame:
+    """The newest state of each downtime whenever it changes; write it in ``update`` mode.
+
+    Webhooks may come out of order by up to ``lateness``, measured on ``updated_at``; later ones are dropped and counted
+    (``late_rows``). State holds the open downtimes and those resolved within the lateness.
+    """
+    plain = webhooks.select(*[
+        F.col(f.name).cast("timestamp") if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in webhooks.schema.fields])
+    newest = plain.withWatermark("updated_at", lateness).groupBy("id").transformWithStateInPandas(
+        NewestDowntime(plain.columns), plain.schema, "Update", "EventTime")
+    return newest.select(*[F.col(f.name).cast(f.dataType) for f in webhooks.schema.fields])
