@@ -8,6 +8,7 @@ A query walks the tree best bin first: a priority queue holds the bins seen by t
 nearest one is opened, and a branch puts its leaves into the queue. How many leaves a query visits is calibrated: for a
 bounded number of queries the true neighbours are found by brute force, and visits widen until the leaves visited hold the wanted
 share of them. Visits and leaves meet in a shuffle; a crowded leaf is dealt into blocks, the queries that visit it into chunks.
+A query's first leaves give a bound for its k-th distance; from the other leaves only nodes within it are returned.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ MOST_LEAVES = MOST_BRANCHES * MOST_BRANCHES
 SAMPLE_ROWS, BRANCH_SAMPLE = 16_384, 8192
 #: Queries compared with everything, and the share of their neighbours the visits must reach.
 CALIBRATION, RECALL = 256, 0.97
-#: Nodes of a block and queries of a chunk of a leaf.
-BLOCK_ROWS, CHUNK_QUERIES = 2048, 2048
+#: Nodes of a block and queries of a chunk of a leaf, and the leaves that give a query its bound.
+BLOCK_ROWS, CHUNK_QUERIES, FIRST_LEAVES = 2048, 2048, 8
 
 
 def k_means(rows: np.ndarray, count: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -114,16 +115,17 @@ def usable(vector: Column) -> Column:
 
 
 def _nearest_of_block(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Per query of a chunk the k nearest nodes of the block, by distance and node."""
+    """Per query of a chunk the k nearest nodes of the block within its bound, by distance and node."""
     asks, rows = frame[frame["asks"]], frame[~frame["asks"]]
     if not len(asks) or not len(rows):
         return pd.DataFrame({"query": [], "node": [], "score": []}).astype({"query": "int64", "node": "int64", "score": "float64"})
     data, nodes = np.stack(rows["vector"].to_list()), rows["node"].to_numpy()
     order = np.argsort(nodes)
     data, nodes, out = data[order], nodes[order], []
-    for query, vector in zip(asks["node"], asks["vector"]):
+    for query, vector, bound in zip(asks["node"], asks["vector"], asks["bound"]):
         score = distances(data, vector)
-        best = np.argsort(score, kind="stable")[:k]
+        within = np.flatnonzero(score <= bound)
+        best = within[np.argsort(score[within], kind="stable")[:k]]
         out.append(pd.DataFrame({"query": query, "node": nodes[best], "score": score[best]}))
     return pd.concat(out)
 
@@ -236,20 +238,32 @@ def _searched(nodes: DataFrame, asks: DataFrame, width: int, k: int, leaf_rows:
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("vector"), pa.array(leaves, pa.list_(pa.int64()))], ["node", "vector", "leaves"])
 
     walked = stored(asks.select("node", "vector").mapInArrow(walk, "node long, vector array<double>, leaves array<long>"), f"{folder}/walked-{width}")
-    visiting = walked.select("node", "vector", F.explode("leaves").alias("leaf"))
-    parts = lambda c, size: F.greatest(F.lit(1), F.ceil(F.col(c) / size)).cast("int")
-    blocks = placed.groupBy("leaf").agg(F.count("*").alias("n")).select("leaf", parts("n", BLOCK_ROWS).alias("blocks"))
-    chunks = walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).select("leaf", parts("n", CHUNK_QUERIES).alias("chunks"))
-    dealt = F.broadcast(blocks.join(chunks, "leaf"))
-    slot, upto = F.xxhash64(F.lit(5), "node"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    data = placed.join(dealt, "leaf").select(
-        "node", "vector", "leaf", F.pmod(slot, F.col("blocks")).cast("int").alias("block"), upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
-    asking = visiting.join(dealt, "leaf").select(
-        "node", "vector", "leaf", upto("blocks").alias("block"), F.pmod(slot, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
-    tasks = data.unionByName(asking).repartition(shuffle_partitions(spark), "leaf", "block", "chunk")
-    found = tasks.groupBy("leaf", "block", "chunk").applyInPandas(lambda x: _nearest_of_block(x, k), "query long, node long, score double")
+    sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"))
     best = W.partitionBy("query").orderBy("score", "node")
-    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+    def scanned(asking: DataFrame) -> DataFrame:
+        """asking (node, vector, bound, leaves): the k best nodes of those leaves within the bound."""
+        parts = lambda c, size: F.greatest(F.lit(1), F.ceil(F.col(c) / size)).cast("int")
+        visiting = asking.select("node", "vector", "bound", F.explode("leaves").alias("leaf"))
+        chunks = visiting.groupBy("leaf").agg(F.count("*").alias("n")).select("leaf", parts("n", CHUNK_QUERIES).alias("chunks"))
+        dealt = F.broadcast(sizes.select("leaf", parts("n", BLOCK_ROWS).alias("blocks")).join(chunks, "leaf"))
+        slot, upto = F.xxhash64(F.lit(5), "node"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        data = placed.join(dealt, "leaf").select(
+            "node", "vector", F.lit(0.0).alias("bound"), "leaf", F.pmod(slot, F.col("blocks")).cast("int").alias("block"), upto("chunks").alias("chunk"), F.lit(False).alias("asks"))
+        asks = visiting.join(dealt, "leaf").select(
+            "node", "vector", "bound", "leaf", upto("blocks").alias("block"), F.pmod(slot, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"))
+        tasks = data.unionByName(asks).repartition(shuffle_partitions(spark), "leaf", "block", "chunk")
+        found = tasks.groupBy("leaf", "block", "chunk").applyInPandas(lambda x: _nearest_of_block(x, k), "query long, node long, score double")
+        return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+
+    first = stored(scanned(walked.select("node", "vector", F.lit(float("inf")).alias("bound"), F.slice("leaves", 1, FIRST_LEAVES).alias("leaves"))), f"{folder}/first-{width}")
+    if visits <= FIRST_LEAVES:
+        return first.drop("r")
+    bounds = first.where(F.col("r") == k).select(F.col("query").alias("node"), F.col("score").alias("bound"))
+    others = walked.join(bounds, "node", "left").select(
+        "node", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), F.slice("leaves", FIRST_LEAVES + 1, visits).alias("leaves"))
+    both = first.drop("r").unionByName(scanned(others).drop("r"))
+    return both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
 def nearest_vectors(
