@@ -15,12 +15,12 @@ from tillwatch.operators import audit, execution, guardrails
 from tillwatch.operators import diagnosis as D
 from tillwatch.operators.incidents import flag_active_incidents
 from tillwatch.session import shared_folder
-from tillwatch.sources.audit_log import append_audit, read_audit
+from tillwatch.sources.audit_log import append_audit, append_stream, read_audit
 from tillwatch.sources.dimensions import default_answers, default_reasons, load_external_answers, load_reasons
 from tillwatch.sources.failures import failures_from_tables, read_failures
 from tillwatch.sources.payloads import parse_downtime_webhooks, valid_rows
 from tillwatch.streaming import operators as S
-from tillwatch.streaming.replay import newest, replayed
+from tillwatch.streaming.replay import fed, newest, replayed
 
 BUCKET_US = K.BUCKET_SECONDS * 1_000_000
 
@@ -179,6 +179,45 @@ def audit_resume(spark, sf):
     return log.join(checks, "chain_id").select("chain_id", "sequence", "payment_id", F.col("prev_hash").isNotNull().alias("linked"), "problem")
 
 
+CHAINED = (
+    f"{FV}, c AS (SELECT payment_id, strftime(created_at, '%Y-%m-%d') || '/' || lpad((('0x' || substr(md5(payment_id), 1, 8))::BIGINT % 4)::VARCHAR, 5, '0') AS chain_id, "
+    "created_at FROM failures) "
+)
+
+
+@query("stream_audit_log", (
+    f"{CHAINED} SELECT chain_id, row_number() OVER w - 1 AS sequence, payment_id, row_number() OVER w > 1 AS linked, NULL::VARCHAR AS problem "
+    "FROM c WINDOW w AS (PARTITION BY chain_id ORDER BY created_at, payment_id)"
+))
+def stream_audit_log(spark, sf):
+    """The decision log as a stream in three runs from one checkpoint."""
+    rows, folder = _audit_rows(spark, sf), shared_folder(spark)
+    for source in fed(rows, folder, F.to_timestamp("created_at")):
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        append_stream(stream, f"{folder}/log", f"{folder}/state", 4).trigger(availableNow=True).start().awaitTermination()
+    log = read_audit(spark, f"{folder}/log")
+    checks = audit.verify_chains(log).select("chain_id", F.col("detail").alias("problem"))
+    return log.join(checks, "chain_id").select("chain_id", "sequence", "payment_id", F.col("prev_hash").isNotNull().alias("linked"), "problem")
+
+
+AUDITED = ["payment_id", "order_id", "customer_id", "amount", "method", "bank", "attempt_number", "error_code", "error_reason", "error_source", "error_step",
+           "remediation_class", "base_action", "candidate_action", "final_action", "in_active_incident", "ladder_terminal_state"]
+
+
+@query("audit_rows", (
+    f"{DECIDED} SELECT {', '.join(AUDITED)}, tier AS diagnosis_tier, confidence AS diagnosis_confidence, rationale AS diagnosis_rationale, "
+    "strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at, strftime(created_at, '%Y-%m-%d') AS chain_day, '2026-01-01T00:00:00Z' AS recorded_at, "
+    f"{K.AUDIT_SCHEMA_VERSION!r} AS schema_version, 7 AS n_guardrails, b1::INT + b2::INT + b3::INT + b4::INT + b5::INT + b6::INT + b7::INT AS n_blocked, "
+    "final_action AS executed_action FROM dd"
+))
+def audit_rows(spark, sf):
+    rows = _audit_rows(spark, sf)
+    return rows.select(
+        *[F.col(c).cast("long") if c == "attempt_number" else F.col(c) for c in AUDITED], "diagnosis_tier", "diagnosis_confidence", "diagnosis_rationale",
+        "created_at", "chain_day", "recorded_at", "schema_version", F.size("guardrail_evaluations").alias("n_guardrails"),
+        F.size(F.filter("guardrail_evaluations", lambda e: e["blocked"])).alias("n_blocked"), F.col("execution.action").alias("executed_action"))
+
+
 def payment_audit_lookup(spark, sf):
     found = failures_from_tables(spark, sf).agg(F.max(F.struct("created_at", "payment_id")).alias("m")).first()["m"]
     log = appended_log(spark, sf)

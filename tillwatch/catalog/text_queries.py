@@ -463,6 +463,50 @@ def tampered_chain_check(spark, sf):
     return audit.verify_chains(touched, *audit.canonical_parts(["o_orderkey"], ["sequence"]))
 
 
+RECORDS = ORDER_CHAIN + """, hs AS (SELECT chain_id, list_reduce(list_prepend('', l), lambda acc, x: acc || chr(10) || sha256(right(acc, 64) || '|' || replace(x, '@',
+  CASE WHEN acc = '' THEN 'null' ELSE '"' || right(acc, 64) || '"' END))) AS hashes FROM p),
+leaf AS (SELECT chain_id, h, i FROM (SELECT chain_id, unnest(string_split(ltrim(hashes, chr(10)), chr(10))) AS h, unnest(range(len(string_split(ltrim(hashes, chr(10)), chr(10))))) AS i FROM hs))"""
+
+
+@query("audit_tree_roots", (
+    RECORDS.replace("WITH o", "WITH RECURSIVE o", 1) + """, tree AS (SELECT chain_id, i, h, count(*) OVER (PARTITION BY chain_id) AS n FROM leaf UNION ALL
+  SELECT chain_id, i // 2, CASE WHEN count(*) = 2 THEN sha256(min_by(h, i) || max_by(h, i)) ELSE min(h) END, (max(n) + 1) // 2 FROM tree WHERE n > 1 GROUP BY chain_id, i // 2)
+SELECT chain_id, (SELECT count(*) FROM leaf l WHERE l.chain_id = t.chain_id) AS n_records, h AS root FROM tree t WHERE n = 1"""
+))
+def audit_tree_roots(spark, sf):
+    leaves = audit.record_leaves(order_chain(spark, sf), *audit.canonical_parts(["o_orderkey"], ["sequence"]))
+    return audit.tree_roots(audit.hash_tree(leaves))
+
+
+ALTERED_ORDERS = (
+    "WITH o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS chain_id, o_orderkey, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) - 1 AS sequence FROM orders), "
+    "t AS (SELECT *, o_orderkey % 11 = 3 AS altered FROM o) "
+)
+
+
+def _altered_orders(spark, sf) -> tuple[DataFrame, DataFrame, tuple]:
+    log, parts = checkpointed(order_chain(spark, sf)), audit.canonical_parts(["o_orderkey"], ["sequence"])
+    return log, log.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 11 == 3, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))), parts
+
+
+@query("audit_new_records_check", (
+    f"{ALTERED_ORDERS} SELECT chain_id, count(*) AS n_records, count(*) FILTER (altered) = 0 AS valid, min(sequence) FILTER (altered) AS first_broken_sequence, "
+    "CASE WHEN count(*) FILTER (altered) > 0 THEN 'altered content' END AS detail FROM t WHERE sequence >= 3 GROUP BY 1"
+))
+def audit_new_records_check(spark, sf):
+    """Verification from the third record of each chain on, over a log with records altered everywhere."""
+    log, altered, parts = _altered_orders(spark, sf)
+    return audit.verify_since(altered, audit.chain_tips(log.where("sequence < 3")), *parts)
+
+
+@query("audit_altered_roots", f"{ALTERED_ORDERS} SELECT chain_id, count(*) AS n_records, bool_or(altered) AS altered FROM t GROUP BY 1")
+def audit_altered_roots(spark, sf):
+    """Chains whose root no longer is the one on record, however old the altered record."""
+    log, altered, parts = _altered_orders(spark, sf)
+    known, now = (audit.tree_roots(audit.hash_tree(audit.record_leaves(rows, *parts))) for rows in (log, altered))
+    return known.join(now.select("chain_id", F.col("root").alias("found")), "chain_id").select("chain_id", "n_records", (F.col("root") != F.col("found")).alias("altered"))
+
+
 @query("report_rows", (
     f"{DECIDED} SELECT 'terminal_states' AS section, '{{\"ladder_terminal_state\":\"' || ladder_terminal_state || '\",\"n\":' || count(*) || '}}' AS row FROM dd GROUP BY ladder_terminal_state "
     "UNION ALL SELECT 'waiting', '{\"wait_bank_recovery_count\":' || count(*) || '}' FROM dd WHERE final_action = 'wait_bank_recovery'"

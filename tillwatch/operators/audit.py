@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwatch import constants as K
+from tillwatch.session import checkpointed
 
 SHARDS_PER_DAY = 64
 EVALUATION_FIELDS = ["action_after", "action_before", "blocked", "name", "reason"]
@@ -136,11 +137,16 @@ def verify_chains(log: DataFrame, head: Column | None = None, tail: Column | Non
     Content checks are row-wise. Links are checked by an equi join with the predecessor's
     sequence, so even one endless chain spreads over all tasks.
     """
+    return _first_breaks(log, F.lit(None).cast("string"), head, tail)
+
+
+def _first_breaks(log: DataFrame, continued: Column, head: Column | None, tail: Column | None) -> DataFrame:
+    """``continued`` is the hash a record must link to when its predecessor is not among the rows."""
     if head is None or tail is None:
         head, tail = canonical_parts()
     before = log.select("chain_id", (F.col("sequence") + 1).alias("sequence"), F.col("record_hash").alias("_expected"))
     linked = log.join(before, ["chain_id", "sequence"], "left")
-    broken_link = ~F.col("prev_hash").eqNullSafe(F.col("_expected"))
+    broken_link = ~F.col("prev_hash").eqNullSafe(F.coalesce("_expected", continued))
     altered = F.col("record_hash") != link_hash(F.col("prev_hash"), head, tail)
     problem = F.when(broken_link, "broken link").when(altered, "altered content")
     return linked.select("chain_id", "sequence", problem.alias("problem")).groupBy("chain_id").agg(
@@ -152,6 +158,96 @@ def verify_chains(log: DataFrame, head: Column | None = None, tail: Column | Non
     )
 
 
+def verify_since(log: DataFrame, verified: DataFrame, head: Column | None = None, tail: Column | None = None) -> DataFrame:
+    """Like ``verify_chains``, but only over records after the last verified tip of their chain.
+
+    ``verified`` (chain_id, last_sequence, last_hash) is what ``chain_tips`` gave when the log was last found valid. The first
+    new record of a chain must continue that hash; a record before it is not looked at (see ``tree_roots``).
+    A chain that has nothing new has no row.
+    """
+    known = verified.select("chain_id", F.col("last_sequence").alias("_from"), F.col("last_hash").alias("_hash"))
+    new = log.join(known, "chain_id", "left").where(F.col("_from").isNull() | (F.col("sequence") > F.col("_from")))
+    return _first_breaks(new, F.when(F.col("sequence") == F.col("_from") + 1, F.col("_hash")), head, tail)
+
+
+def record_leaves(log: DataFrame, head: Column | None = None, tail: Column | None = None) -> DataFrame:
+    """(chain_id, sequence, leaf): each record's hash recomputed from its content, which is what a tree stands on."""
+    if head is None or tail is None:
+        head, tail = canonical_parts()
+    return log.select("chain_id", "sequence", link_hash(F.col("prev_hash"), head, tail).alias("leaf"))
+
+
+#: Levels of a hash tree that one pass folds inside a block of consecutive nodes.
+TREE_LEVELS = 10
+
+
+def hash_tree(leaves: DataFrame, levels: int = TREE_LEVELS) -> DataFrame:
+    """Nodes (chain_id, level, position, hash) of one binary hash tree per chain; level 0 holds the leaves at their sequence.
+
+    A node is the SHA-256 of its two children's hashes side by side; one without a sibling goes up as it is. Every pass
+    folds ``levels`` levels inside blocks of 2^levels nodes, so a chain of a million records takes two shuffles and no
+    task holds more than blocks.
+    """
+    size = 1 << levels
+    nodes = leaves.select("chain_id", F.col("sequence").alias("position"), F.col("leaf").alias("hash"))
+    largest = nodes.agg(F.max("position")).first()[0]
+    if largest is None:
+        return nodes.select("chain_id", F.lit(0).alias("level"), "position", "hash")
+    done, below = None, 0
+
+    def folded(line: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.call_function("div", F.size(line) - 1, F.lit(2)).cast("int"))
+        right = lambda i: F.get(line, (2 * i + 1).cast("int"))
+        left = lambda i: F.get(line, (2 * i).cast("int"))
+        return F.transform(pairs, lambda i: F.when(right(i).isNull(), left(i)).otherwise(F.sha2(F.concat(left(i), right(i)), 256)))
+
+    while True:
+        blocks = nodes.groupBy("chain_id", F.call_function("div", "position", F.lit(size)).alias("block")).agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("position", "hash"))), lambda x: x["hash"]).alias("line"))
+        grown = F.aggregate(
+            F.sequence(F.lit(1), F.lit(levels)), F.array("line"),
+            lambda lines, _: F.concat(lines, F.array(folded(F.element_at(lines, -1)))))
+        lines = checkpointed(blocks.select("chain_id", "block", F.posexplode(grown).alias("up", "line")))
+        placed = lines.select("chain_id", "block", "up", F.posexplode("line").alias("at", "hash"))
+        width = (F.lit(size) / F.pow(F.lit(2.0), F.col("up"))).cast("long")
+        part = placed.where(F.col("up") < levels).select(
+            "chain_id", (F.col("up") + below).alias("level"), (F.col("block") * width + F.col("at")).alias("position"), "hash")
+        done = part if done is None else done.unionByName(part)
+        nodes = placed.where(F.col("up") == levels).select("chain_id", F.col("block").alias("position"), "hash")
+        below, largest = below + levels, largest // size
+        if largest == 0:
+            return done.unionByName(nodes.select("chain_id", F.lit(below).alias("level"), "position", "hash"))
+
+
+def tree_roots(tree: DataFrame) -> DataFrame:
+    """(chain_id, n_records, root): a record altered, lost or added anywhere gives another root."""
+    top = tree.where("position = 0").groupBy("chain_id").agg(F.max_by("hash", "level").alias("root"))
+    return tree.where("level = 0").groupBy("chain_id").agg(F.count("*").alias("n_records")).join(top, "chain_id")
+
+
+def inclusion_proofs(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For wanted (chain_id, position) the leaf and the siblings on its way up: (level, on_left, hash) in order.
+
+    A level where the node has no sibling is left out.
+    """
+    height = tree.groupBy("chain_id").agg(F.max("level").alias("height"))
+    steps = wanted.join(height, "chain_id").select(
+        "chain_id", "position", F.explode(F.sequence(F.lit(0), F.col("height"))).alias("level")).withColumn(
+        "_at", F.expr("CAST(floor(position / power(2, level)) AS BIGINT)"))
+    steps = steps.withColumn("_sibling", F.when(F.col("_at") % 2 == 0, F.col("_at") + 1).otherwise(F.col("_at") - 1))
+    nodes = tree.select("chain_id", "level", F.col("position").alias("_sibling"), "hash")
+    met = steps.join(nodes, ["chain_id", "level", "_sibling"]).groupBy("chain_id", "position").agg(
+        F.sort_array(F.collect_list(F.struct("level", (F.col("_sibling") < F.col("_at")).alias("on_left"), "hash"))).alias("siblings"))
+    leaves = tree.where("level = 0").select("chain_id", "position", F.col("hash").alias("leaf"))
+    return wanted.join(leaves, ["chain_id", "position"]).join(met, ["chain_id", "position"], "left").select(
+        "chain_id", "position", "leaf", F.coalesce("siblings", F.expr("CAST(array() AS array<struct<level: int, on_left: boolean, hash: string>>)")).alias("siblings"))
+
+
+def proven_root(leaf: Column, siblings: Column) -> Column:
+    """The root that a leaf and its siblings lead to; it proves the leaf if it is the chain's root."""
+    return F.aggregate(siblings, leaf, lambda h, s: F.sha2(F.when(s["on_left"], F.concat(s["hash"], h)).otherwise(F.concat(h, s["hash"])), 256))
+
+
 def records_for_payment(log: DataFrame, payment_id: str, day: str | None = None) -> DataFrame:
     """Audit rows of one payment in log order; an unknown payment is an error when the rows are read.
 
@@ -160,7 +256,9 @@ def records_for_payment(log: DataFrame, payment_id: str, day: str | None = None)
     if day is not None:
         log = log.filter(F.col("chain_day") == day)
     found = log.filter(F.col("payment_id") == payment_id)
-    unknown = F.raise_error(F.lit(f"no audit record for payment {payment_id}"))
-    present = log.sparkSession.range(1).join(found, F.lit(True), "left").drop("id")
-    checked = present.withColumn("payment_id", F.coalesce("payment_id", unknown.cast("string")))
+    columns = found.columns
+    gathered = found.agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    missing = F.raise_error(F.lit(f"no audit record for payment {payment_id}"))
+    rows = F.when(F.size("rows") > 0, F.col("rows")).otherwise(missing)
+    checked = gathered.select(F.explode(rows).alias("row")).select(*[F.col(f"row.{name}").alias(name) for name in columns])
     return checked.orderBy("chain_id", "sequence")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,25 +27,14 @@ def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
 
 
-def replayed(rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append", order: Column | None = None, steps: int = 3) -> DataFrame:
-    """``build`` applied to the rows as a stream of files.
+def fed(rows: DataFrame, folder: str, order: Column, steps: int = 3) -> Iterator[str]:
+    """Write the rows to a source folder in ``steps`` parts of about equal size in the order of a timestamp; yields after each.
 
-    With ``order`` (a timestamp) the rows arrive in ``steps`` parts of about equal size in that order, each part written by Spark as it
-    is partitioned. The stream is stopped and started again from its checkpoint between the parts, so state and watermark carry
-    over; without, all rows arrive at once.
+    Every part is written by Spark as it is partitioned; rows of one moment are in one part.
     """
-    spark = rows.sparkSession
-    folder = shared_folder(spark)
     source = f"{folder}/in"
-
-    def stream() -> DataFrame:
-        return drained(build(spark.readStream.schema(rows.schema).parquet(source)), folder, mode)
-
-    if order is None:
-        rows.write.parquet(source)
-        return stream()
     rows.withColumn("__order", F.unix_micros(order)).write.parquet(f"{folder}/all")
-    ordered = spark.read.parquet(f"{folder}/all")
+    ordered = rows.sparkSession.read.parquet(f"{folder}/all")
     cuts = ordered.agg(F.percentile_approx("__order", [k / steps for k in range(1, steps)])).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
     for low, high in zip(bounds, bounds[1:]):
@@ -55,7 +44,21 @@ def replayed(rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str
         if high is not None:
             part = part.where(F.col("__order") <= high)
         part.drop("__order").write.mode("append").parquet(source)
-        out = stream()
+        yield source
+
+
+def replayed(rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append", order: Column | None = None, steps: int = 3) -> DataFrame:
+    """``build`` applied to the rows as a stream of files.
+
+    With ``order`` (a timestamp) the rows arrive in that order in several parts. The stream is stopped and started again from its
+    checkpoint between them, so state and watermark carry over; without, all rows arrive at once.
+    """
+    spark = rows.sparkSession
+    folder = shared_folder(spark)
+    if order is None:
+        rows.write.parquet(f"{folder}/in")
+    for source in [f"{folder}/in"] if order is None else fed(rows, folder, order, steps):
+        out = drained(build(spark.readStream.schema(rows.schema).parquet(source)), folder, mode)
     return out
 
 
