@@ -9,7 +9,7 @@ from tillwatch import constants as K
 from tillwatch.functions.poisson import poisson_tail, poisson_tail_value
 from tillwatch.functions.timegrid import floor_to_bucket, index_on_grid
 from tillwatch.operators import intervals
-from tillwatch.operators.detectors import ewma_zscore, fixed_threshold, poisson_surprise, rolling_zscore
+from tillwatch.operators.detectors import ewma_step, ewma_zscore, fixed_threshold, poisson_surprise, rolling_zscore
 from tillwatch.operators.incidents import detect_incidents, flag_active_incidents, incident_buckets, summarise_incidents
 from tillwatch.operators.scoring import select_winner, true_windows
 from tillwatch.operators.series import bucket_counts, dense_series
@@ -171,6 +171,29 @@ def test_closest_downtime_wins_and_banks_are_wildcards(spark):
     assert rows["card"].downtime_id is None and rows["card"].lead_minutes is None
 
 
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_ewma_scan_equals_the_recurrence(spark, block):
+    """Blocks folded apart against one step after the other: long silences, steady counts, rows before the epoch."""
+    rng = random.Random(block)
+    rows = []
+    for bank in ("Axis Bank", None):
+        at = -500
+        for _ in range(120):
+            at += rng.choice([1, 1, 1, 2, 5, 40, 700])
+            rows.append(("upi", bank, at, rng.choice([1, 3, 3, 3, 9, 4000]), -510))
+    table = spark.createDataFrame(rows, "method string, bank string, idx long, n long, origin long")
+    got = {(r.bank, r.idx): (r.score, r.is_burst) for r in ewma_zscore(table, block=block).collect()}
+    for bank in ("Axis Bank", None):
+        mean = variance = 0.0
+        at = -510
+        for _, _, idx, n, origin in (r for r in rows if r[1] == bank):
+            base, spread, mean, variance = ewma_step(mean, variance, float(n), idx - at, 0.2)
+            at, sd = idx + 1, math.sqrt(spread)
+            score = (n - base if sd < 1e-9 else (n - base) / sd) if idx - origin >= K.MIN_HISTORY else 0.0
+            assert got[bank, idx][0] == pytest.approx(score, rel=1e-7)
+    assert len(got) == len(rows)
+
+
 def test_correlation_equals_brute_force_over_nested_open_and_repeated_downtimes(spark):
     rng = random.Random(9)
     banks, found, down = ["Axis Bank", "HDFC Bank", None], [], []
