@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillwatch import constants as K
 from tillwatch.functions.taxonomy import infer_error_code, infer_source, infer_step
 from tillwatch.functions.text import mask_description, normalise_template
+from tillwatch.sources.failures import failures_from_tables
 from tillwatch.operators import calls, clustering, corpus, metrics
 from tillwatch.operators.components import connected_components
 from tillwatch.plans import bakeoff
@@ -29,6 +30,8 @@ def test_masking(spark, text, masked):
     # a trailing Z directly after the seconds is part of the timestamp
     assert row.m == masked.replace("<TIMESTAMP>Z", "<TIMESTAMP>")
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_normalise(spark):
     row = spark.createDataFrame([("  A\t b \n C ",)], "t string").select(normalise_template(F.col("t")).alias("n")).first()
@@ -92,6 +95,48 @@ def test_mined_templates_match_naive(spark):
     assert [got[k] for k in sorted(got)] == naive_mining(values)
 
 
+def test_split_leaves_give_the_same_groups(spark):
+    """One leaf of families that cannot meet, in parts: same groups as one after the other."""
+    rng = random.Random(6)
+    values = []
+    for _ in range(400):
+        family = rng.randrange(25)
+        values.append(" ".join(["pay", *[f"f{family}p{at}v{rng.randrange(4)}" for at in range(7)]]))
+    frame = clustering.distinct_templates(texts(spark, values)).cache()
+    whole, split = clustering.mine_templates(frame), clustering.mine_templates(frame, split_texts=10)
+    assert split.select("part").distinct().count() > 10 and whole.select("part").distinct().count() == 1
+
+    def groups(mined):
+        found = defaultdict(set)
+        for r in mined.collect():
+            found[r.leaf, r.part, r.group_no].add(r.masked_description)
+        return sorted(map(sorted, found.values()))
+
+    naive = defaultdict(set)
+    for text, label in zip(values, naive_mining(values)):
+        naive[label].add(text)
+    assert groups(split) == groups(whole) == sorted(map(sorted, naive.values()))
+
+
+def test_a_leaf_of_very_many_groups(spark):
+    """Groups are looked up, not scanned: the index compares a text with what it can match only."""
+    index = clustering.TemplateIndex(0.4)
+    for k in range(60_000):
+        assert index.add(["pay", *[f"t{k}x{at}" for at in range(9)]]) == k
+    assert index.add(["pay", *[f"t777x{at}" for at in range(6)], "a", "b", "c"]) == 777
+    assert index.groups[777][-3:] == ["<*>"] * 3 and (9, "t777x8") in index.posted and not index.posted[9, "t777x8"]
+
+
+def test_mined_query_equals_naive_on_the_given_table(spark, failures):
+    from tillwatch.catalog import QUERIES
+
+    rows = clustering.with_masked(failures_from_tables(spark, SF, True)).select("payment_id", "created_at", "masked_description")
+    ordered = sorted(rows.collect(), key=lambda r: (r.created_at, r.payment_id))
+    values = [r.masked_description.strip() for r in ordered]
+    naive = dict(zip([r.payment_id for r in ordered], naive_mining(values)))
+    assert labels_of(QUERIES["mined_templates"](spark, SF)) == naive
+
+
 def test_density_clusters_separate_templates_and_noise(spark):
     values = ["gateway timed out waiting for bank"] * 6 + ["gateway timed out waiting for the bank"] * 3
     values += ["customer entered a wrong pin code twice"] * 7 + ["zebra", "quartz violin", "lonely umbrella walks"]

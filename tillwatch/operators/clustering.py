@@ -86,57 +86,132 @@ def distinct_templates(failures: DataFrame) -> DataFrame:
     )
 
 
-def token_similarity(template: list[str], tokens: list[str]) -> tuple[float, int]:
-    """Share of positions that agree (wildcards never do), and the number of wildcards."""
-    same = sum(a == b for a, b in zip(template, tokens, strict=True) if a != "<*>")
-    return same / len(tokens), template.count("<*>")
+class TemplateIndex:
+    """The groups of one leaf, found by position and token.
+
+    A group's tokens are those all its texts share, wildcards elsewhere. A text of L tokens joins a group only if at least
+    c = ceil(threshold * L) positions agree, so the group stands in one of any L - c + 1 of the text's posting lists: only the
+    shortest ones are looked at, and only groups in them are compared.
+    """
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.groups: list[list[str]] = []
+        self.wildcards: list[int] = []
+        self.posted: dict[tuple[int, str], set[int]] = {}
+
+    def needed(self, length: int) -> int:
+        """Fewest agreeing positions of ``length`` that reach the threshold."""
+        count = max(0, int(self.threshold * length) - 1)
+        while count / length < self.threshold:
+            count += 1
+        return count
+
+    def best(self, words: list[str]) -> int | None:
+        """The group to join: most agreeing positions, then most wildcards, then the oldest."""
+        needed = self.needed(len(words))
+        if needed > len(words):
+            return None
+        if needed == 0:
+            candidates = set(range(len(self.groups)))
+        else:
+            lists = sorted((self.posted.get((i, w), ()) for i, w in enumerate(words)), key=len)
+            candidates = set().union(*lists[: len(words) - needed + 1])
+        found = None
+        for number in candidates:
+            group = self.groups[number]
+            same = sum(a == b for a, b in zip(group, words) if a != "<*>")
+            if same >= needed:
+                score = (same, self.wildcards[number], -number)
+                found = score if found is None else max(found, score)
+        return None if found is None else -found[2]
+
+    def add(self, words: list[str]) -> int:
+        """Join the best group, turning its differing positions into wildcards, or open one; the group's number."""
+        number = self.best(words)
+        if number is None:
+            number = len(self.groups)
+            self.groups.append(list(words))
+            self.wildcards.append(words.count("<*>"))
+            for i, word in enumerate(words):
+                if word != "<*>":
+                    self.posted.setdefault((i, word), set()).add(number)
+            return number
+        group = self.groups[number]
+        for i, (own, word) in enumerate(zip(group, words)):
+            if own != word and own != "<*>":
+                group[i] = "<*>"
+                self.wildcards[number] += 1
+                self.posted[i, own].discard(number)
+        return number
+
+
+#: Distinct texts from which on a leaf is split.
+SPLIT_TEXTS = 50_000
+
+
+def split_leaves(rows: DataFrame, threshold: float, split_texts: int = SPLIT_TEXTS) -> DataFrame:
+    """Give texts (text_no, tokens, leaf) of large leaves a ``part`` such that texts of different parts never share a group.
+
+    A group's tokens are common to all its texts, so texts of one group agree in at least c positions. Of the S pairs
+    (position, token) that a text shares with any other, its S - c + 1 rarest are posted: two texts that agree in c positions
+    share one of these (prefix filter). Texts tied by shared pairs, directly or not, are a part. Text and smallest text of a pair are linked, so
+    links grow with the texts, not with their pairs.
+    """
+    large = rows.groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") > split_texts).select("leaf")
+    if large.isEmpty():
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    big = rows.join(large, "leaf").select("text_no", "leaf", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "token"))
+    pairs = big.groupBy("leaf", "at", "token").agg(F.count("*").alias("df"), F.min("text_no").alias("least"))
+    order = W.partitionBy("text_no").orderBy("df", "at")
+    shared = F.count("*").over(W.partitionBy("text_no"))
+    kept = shared - F.ceil(F.lit(threshold) * F.col("length") - 1e-9) + 1
+    ties = (
+        big.join(pairs.where("df > 1"), ["leaf", "at", "token"]).withColumn("rank", F.row_number().over(order)).withColumn("kept", kept)
+        .where(F.col("rank") <= F.col("kept")).select(F.col("text_no").alias("a"), F.col("least").alias("b")).distinct()
+    )
+    parts = connected_components(ties).select(F.col("node").alias("text_no"), F.col("component").alias("part"))
+    return rows.join(parts, "text_no", "left").join(large.withColumn("_large", F.lit(True)), "leaf", "left").withColumn(
+        "part", F.when(F.col("_large"), F.coalesce("part", "text_no")).otherwise(0)).drop("_large")
 
 
-def mine_templates(templates: DataFrame, threshold: float = 0.4) -> DataFrame:
+def mine_templates(templates: DataFrame, threshold: float = 0.4, split_texts: int = SPLIT_TEXTS) -> DataFrame:
     """Merge token templates leaf by leaf, in first-seen order.
 
     A leaf holds texts with the same token count and leading token. Each text joins the most
     similar group of its leaf when enough positions agree, and turns the differing positions
     into wildcards; otherwise it opens a group. Rows stream in order, so a leaf is never
-    collected; only its groups are held. Returns the group as ``(leaf, group_no)``.
+    collected; only its groups are held, in an index by position and token. Large leaves are split into
+    parts that cannot meet. Returns the group as ``(leaf, part, group_no)``.
     """
     tokens = F.split(F.trim(F.col("masked_description")), r"\s+")
     lead = F.element_at(tokens, 1)
     leaf = F.concat_ws("|", F.size(tokens).cast("string"), F.when(lead.rlike(r"\d"), "<*>").otherwise(lead))
-    rows = templates.select("masked_description", "first", "n", tokens.alias("tokens"), leaf.alias("leaf"))
-    ordered = rows.repartition("leaf").sortWithinPartitions("leaf", "first").select(
-        "masked_description", "n", "leaf", "tokens"
+    rows = templates.select("masked_description", "first", "n", tokens.alias("tokens"), leaf.alias("leaf"), F.xxhash64("masked_description").alias("text_no"))
+    ordered = split_leaves(rows, threshold, split_texts).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "first").select(
+        "masked_description", "leaf", "part", "tokens"
     )
 
     def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, groups = None, []
+        current, index = None, TemplateIndex(threshold)
         for batch in batches:
             numbers = []
-            for leaf_name, row_tokens in zip(batch["leaf"], batch["tokens"], strict=True):
-                if leaf_name != current:
-                    current, groups = leaf_name, []
-                words = list(row_tokens)
-                scored = [(*token_similarity(group, words), -i) for i, group in enumerate(groups)]
-                best = max(scored, default=(-1.0, 0, 0))
-                if best[0] >= threshold:
-                    number = -best[2]
-                    groups[number] = [a if a == b else "<*>" for a, b in zip(groups[number], words, strict=True)]
-                else:
-                    number = len(groups)
-                    groups.append(words)
-                numbers.append(number)
-            yield batch[["masked_description", "leaf"]].assign(group_no=numbers)
-
-    mined = ordered.mapInPandas(mine, "masked_description string, leaf string, group_no long")
+            for leaf_name, part, words in zip(batch["leaf"], batch["part"], batch["tokens"], strict=True):
+                if (leaf_name, part) != current:
+                    current, index = (leaf_name, part), TemplateIndex(threshold)
+                numbers.append(index.add(list(words)))
+            yield batch[["masked_description", "leaf", "part"]].assign(group_no=numbers)
+
+    mined = ordered.mapInPandas(mine, "masked_description string, leaf string, part long, group_no long")
     return mined.join(templates, "masked_description")
 
 
 def cluster_by_mined_template(failures: DataFrame) -> DataFrame:
     """Mined groups as labels, numbered from 1 in first-seen order."""
     mined = checkpointed(mine_templates(checkpointed(distinct_templates(failures))))
-    groups = mined.groupBy("leaf", "group_no").agg(F.min("first").alias("first"))
-    labels = rank_by_first_seen(groups, start=1)
-    by_text = mined.join(labels.select("leaf", "group_no", "label"), ["leaf", "group_no"])
+    group = ["leaf", "part", "group_no"]
+    labels = rank_by_first_seen(mined.groupBy(*group).agg(F.min("first").alias("first")), start=1)
+    by_text = mined.join(labels.select(*group, "label"), group)
     return _labelled(failures, by_text, ["masked_description"])
 
 
