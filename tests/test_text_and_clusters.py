@@ -145,6 +145,56 @@ def test_density_clusters_separate_templates_and_noise(spark):
     assert set(labels[:9]) == {0} and set(labels[9:16]) == {1} and set(labels[16:]) == {-1}
 
 
+def test_a_dense_group_is_not_compared_in_pairs(spark, monkeypatch):
+    """Texts that are all neighbours of one another: a few comparisons each settle core and cluster."""
+    base = " ".join(f"b{k}" for k in range(170))
+    values = [f"{base} u{k}q" for k in range(600)] + [f"far away v{k}" for k in range(4)] + [" ".join(f"c{k}" for k in range(9)) + f" z{k % 3}" for k in range(6)]
+    asked, plain = [], clustering.close_of
+
+    def counting(candidates, vectors, cut):
+        candidates = candidates.cache()
+        asked.append(candidates.count())
+        return plain(candidates, vectors, cut)
+
+    monkeypatch.setattr(clustering, "close_of", counting)
+    got = labels_of(clustering.cluster_by_density(texts(spark, values)))
+    labels = [got[k] for k in sorted(got)]
+    assert labels[:600] == [0] * 600 and set(labels[600:604]) == {-1} and set(labels[604:]) == {1}
+    assert sum(asked) < 600 * 170 * 6
+
+
+def test_density_equals_brute_force(spark):
+    """Random texts around the cut: core, border, noise and chains."""
+    rng = random.Random(12)
+    values = []
+    for _ in range(220):
+        topic = rng.randrange(14)
+        values.append(" ".join(f"w{topic}x{rng.randrange(9)}" for _ in range(rng.choice([3, 5, 7]))))
+    frame = texts(spark, values)
+    vectors = defaultdict(dict)
+    for r in clustering.tfidf_vectors(clustering.distinct_templates(frame)).collect():
+        vectors[r.masked_description][r.term] = r.weight
+    order = list(dict.fromkeys(values))
+    count, near = Counter(values), defaultdict(set)
+    for i, a in enumerate(order):
+        for j, b in enumerate(order[:i]):
+            if round(sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()), 9) >= 0.7:
+                near[i].add(j)
+                near[j].add(i)
+    core = {i for i, t in enumerate(order) if count[t] + sum(count[order[j]] for j in near[i]) >= 5}
+    root = {i: i for i in core}
+    for _ in order:
+        for i in core:
+            root[i] = min([root[i], *(root[j] for j in near[i] & core)])
+    for i in set(range(len(order))) - core:
+        if near[i] & core:
+            root[i] = min(root[j] for j in near[i] & core)
+    numbers = {r: k for k, r in enumerate(dict.fromkeys(root[i] for i in range(len(order)) if i in root))}
+    want = {t: numbers[root[i]] if i in root else -1 for i, t in enumerate(order)}
+    got = labels_of(clustering.cluster_by_density(frame))
+    assert [got[k] for k in sorted(got)] == [want[v] for v in values] and len(set(want.values())) > 3
+
+
 def test_density_edge_cases(spark):
     assert labels_of(clustering.cluster_by_density(texts(spark, ["alone here"]))) == {"p00000": 0}
     assert clustering.cluster_by_density(texts(spark, ["x y"]).filter("false")).count() == 0

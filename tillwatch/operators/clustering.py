@@ -237,8 +237,8 @@ def tfidf_vectors(templates: DataFrame, max_features: int | None = None) -> Data
     )
 
 
-def close_pairs(vectors: DataFrame, cosine_cut: float) -> DataFrame:
-    """Pairs ``(a, b)`` with a < b of unit vectors ``(id, term, weight)`` at or above the cut, all of them.
+def prefix_terms(vectors: DataFrame, cosine_cut: float) -> DataFrame:
+    """(id, term): the terms under which a unit vector (id, term, weight) must be posted to meet all its neighbours.
 
     Terms are put in one order, rarest first, and each vector keeps the shortest prefix after which
     what is left is shorter than the cut. Two vectors without a common prefix term have all their
@@ -247,23 +247,74 @@ def close_pairs(vectors: DataFrame, cosine_cut: float) -> DataFrame:
     """
     usage = vectors.groupBy("term").agg(F.count("*").alias("texts"))
     rest = W.partitionBy("id").orderBy(F.col("texts").desc(), F.col("term").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    prefix = (
+    return (
         vectors.join(usage, "term")
         .withColumn("left", F.sum(F.col("weight") * F.col("weight")).over(rest))
         .filter(F.col("left") >= cosine_cut * cosine_cut - 1e-9).select("id", "term")
     )
-    candidates = (
-        prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), "term")
-        .filter("a < b").select("a", "b").distinct()
-    )
+
+
+def close_of(candidates: DataFrame, vectors: DataFrame, cosine_cut: float) -> DataFrame:
+    """Of pairs of ids the distinct ones (a < b) whose cosine is at or above the cut."""
+    pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     left = vectors.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa"))
     right = vectors.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb"))
-    dots = candidates.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(
-        F.sum(F.col("wa") * F.col("wb")).alias("cosine")
-    )
+    dots = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return dots.filter(F.round("cosine", 9) >= cosine_cut).select("a", "b")
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _core(sizes: DataFrame, pairs: DataFrame, min_size: int) -> DataFrame:
+    """Ids that stand for at least ``min_size`` rows together with the neighbours in ``pairs``."""
+    around = _both_ways(pairs).join(sizes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("around"))
+    return sizes.join(around.withColumnRenamed("a", "id"), "id", "left").filter(
+        F.col("n") + F.coalesce("around", F.lit(0)) >= min_size).select("id")
+
+
+def _clusters_of_core(core: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, root): core texts tied by pairs of core texts."""
+    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
+    joined = core.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left")
+    return joined.select("id", F.coalesce("component", "id").alias("root"))
+
+
+def core_clusters(vectors: DataFrame, cosine_cut: float, min_size: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """(id, root) of all core texts, and all close pairs of the texts that are not core; no dense group becomes pairs.
+
+    Each text is compared with the ``hubs`` smallest ids of its posting lists first. Where these neighbours reach the minimum
+    the text is core, however many more it has (the count stops there). Only texts that stay in doubt are compared with
+    all of their lists, which also settles who is core and who lies at a border. Core texts tied so far are
+    clusters; in a list that still holds several of them, members outside its largest are compared with the others.
+    """
+    sizes = vectors.select("id", "n").distinct()
+    prefix = checkpointed(prefix_terms(vectors, cosine_cut))
+    first = prefix.withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy("id"))).where(F.col("_r") <= hubs)
+    with_hubs = prefix.withColumnRenamed("id", "a").join(first.select("term", F.col("id").alias("b")), "term")
+    near = checkpointed(close_of(with_hubs, vectors, cosine_cut))
+    known = checkpointed(_core(sizes, near, min_size))
+    doubtful = prefix.join(known, "id", "left_anti").withColumnRenamed("id", "a")
+    wide = checkpointed(close_of(doubtful.join(prefix.withColumnRenamed("id", "b"), "term"), vectors, cosine_cut))
+    pairs = near.unionByName(wide).distinct()
+    core = checkpointed(known.unionByName(_core(sizes, pairs, min_size)).distinct())
+    rooted = checkpointed(_clusters_of_core(core, pairs))
+
+    placed = prefix.join(rooted, "id")
+    counts = placed.groupBy("term", "root").agg(F.count("*").alias("texts"))
+    heads = counts.groupBy("term").agg(F.max_by("root", F.struct("texts", "root")).alias("head"), F.count("*").alias("roots")).where("roots > 1")
+    members = placed.join(heads.select("term", "head"), "term")
+    outside = members.where("root <> head").select("term", F.col("id").alias("a"), F.col("root").alias("ra"))
+    apart = outside.join(members.select("term", F.col("id").alias("b"), F.col("root").alias("rb")), "term").where("ra <> rb")
+    across = checkpointed(close_of(apart, vectors, cosine_cut))
+    roots = rooted.select(F.col("id").alias("a"), F.col("root").alias("ra")), rooted.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    ties = across.join(roots[0], "a").join(roots[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    merged = connected_components(ties).select(F.col("node").alias("root"), "component")
+    final = rooted.join(merged, "root", "left").select("id", F.coalesce("component", "root").alias("root"))
+    return final, _both_ways(wide)
+
+
 def density_labels(failures: DataFrame, min_cluster_size: int = 5, max_features: int | None = None, cosine_cut: float = 0.7) -> DataFrame:
     """Density clusters over TF-IDF as ``(masked_description, n, label)``, noise -1.
 
@@ -273,33 +324,23 @@ def density_labels(failures: DataFrame, min_cluster_size: int = 5, max_features:
     2) when there are fewer than twice as many. Clusters are numbered in first-seen order.
     """
     templates = checkpointed(rank_by_first_seen(distinct_templates(failures)).withColumnRenamed("label", "id"))
-    total = templates.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    min_size = F.least(F.lit(min_cluster_size), F.greatest(F.lit(2), F.call_function("div", total, F.lit(2))))
+    total = templates.agg(F.sum("n")).first()[0] or 0
+    min_size = min(min_cluster_size, max(2, total // 2))
     vectors = checkpointed(
         tfidf_vectors(templates.select("masked_description", "n"), max_features)
         .join(templates.select("masked_description", "id"), "masked_description").select("id", "n", "term", "weight")
     )
-    pairs = checkpointed(close_pairs(vectors, cosine_cut))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = vectors.select("id", "n").distinct()
-    around = both.join(sizes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("around"))
-    core = checkpointed(
-        sizes.join(around.withColumnRenamed("a", "id"), "id", "left")
-        .filter(F.col("n") + F.coalesce("around", F.lit(0)) >= min_size).select("id")
-    )
-    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
-    joined = core.join(connected_components(links).withColumnRenamed("node", "id"), "id", "left")
-    rooted = joined.select("id", F.coalesce("component", "id").alias("root"))
+    found, pairs = core_clusters(vectors, cosine_cut, min_size, min_cluster_size)
+    rooted = checkpointed(found)
     border = (
-        both.join(rooted.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root"))
-        .withColumnRenamed("a", "id").join(core, "id", "left_anti")
+        pairs.join(rooted.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("root"))
+        .withColumnRenamed("a", "id").join(rooted.select("id"), "id", "left_anti")
     )
     placed = templates.join(rooted.unionByName(border), "id", "left")
     clusters = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("first"))
     labels = rank_by_first_seen(clusters).select("root", "label")
     return placed.join(labels, "root", "left").select(
-        "masked_description", "n",
-        F.coalesce("label", F.when(total == 1, F.lit(0)).otherwise(F.lit(NOISE))).cast("long").alias("label"),
+        "masked_description", "n", F.coalesce("label", F.lit(0 if total == 1 else NOISE)).cast("long").alias("label"),
     )
 
 
