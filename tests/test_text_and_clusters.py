@@ -130,7 +130,7 @@ def test_a_leaf_of_very_many_groups(spark):
 def test_mined_query_equals_naive_on_the_given_table(spark, failures):
     from tillwatch.catalog import QUERIES
 
-    rows = clustering.with_masked(failures_from_tables(spark, SF, True)).select("payment_id", "created_at", "masked_description")
+    rows = clustering.with_masked(failures_from_tables(spark, SF)).select("payment_id", "created_at", "masked_description")
     ordered = sorted(rows.collect(), key=lambda r: (r.created_at, r.payment_id))
     values = [r.masked_description.strip() for r in ordered]
     naive = dict(zip([r.payment_id for r in ordered], naive_mining(values)))

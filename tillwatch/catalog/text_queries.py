@@ -39,7 +39,7 @@ MASKED = f"{FV}, mf AS (SELECT *, {mask_sql('description')} AS masked FROM failu
 
 def signal_payloads(spark, sf) -> DataFrame:
     """Failure payloads in both wire shapes; some carry both names, some break a rule."""
-    f = failures_from_tables(spark, sf, True).withColumn("no", F.substring("payment_id", 5, 14).cast("long"))
+    f = failures_from_tables(spark, sf).withColumn("no", F.substring("payment_id", 5, 14).cast("long"))
     step = F.when(F.col("no") % 50 == 7, "unheard_of").otherwise(F.col("error_step"))
     reason = F.when(F.col("no") % 60 == 11, "").when(F.col("no") % 70 != 13, F.col("error_reason"))
     webhook = F.to_json(F.struct(
@@ -138,7 +138,7 @@ def deduplicated_webhooks(spark, sf):
 
 @query("masked_descriptions", f"{MASKED} SELECT payment_id, masked AS masked_description FROM mf")
 def masked_descriptions(spark, sf):
-    return clustering.with_masked(failures_from_tables(spark, sf, True)).select("payment_id", "masked_description")
+    return clustering.with_masked(failures_from_tables(spark, sf)).select("payment_id", "masked_description")
 
 
 @query("masked_documents", f"SELECT doc_id, {mask_sql('text')} AS masked FROM documents")
@@ -148,7 +148,7 @@ def masked_documents(spark, sf):
 
 @query("normalised_templates", f"{MASKED} SELECT lower(regexp_replace(trim(masked), '\\s+', ' ', 'g')) AS template, count(*) AS n FROM mf GROUP BY 1")
 def normalised_templates(spark, sf):
-    masked = clustering.with_masked(failures_from_tables(spark, sf, True))
+    masked = clustering.with_masked(failures_from_tables(spark, sf))
     return masked.groupBy(normalise_template(F.col("masked_description")).alias("template")).agg(F.count("*").alias("n"))
 
 
@@ -167,7 +167,7 @@ ROOT_LABELS = (f"rl AS (SELECT payment_id, dense_rank() OVER (ORDER BY fs) - 1 A
 
 @query("root_cause_labels", f"{FV}, {ROOT_LABELS} SELECT * FROM rl")
 def root_cause_labels(spark, sf):
-    return clustering.group_by_root_cause(failures_from_tables(spark, sf, True))
+    return clustering.group_by_root_cause(failures_from_tables(spark, sf))
 
 
 @query("template_hash_labels", (
@@ -175,12 +175,12 @@ def root_cause_labels(spark, sf):
     "min((us, payment_id)) OVER (PARTITION BY lower(regexp_replace(trim(masked), '\\s+', ' ', 'g'))) AS fs FROM mf)"
 ))
 def template_hash_labels(spark, sf):
-    return clustering.group_by_template(clustering.with_masked(failures_from_tables(spark, sf, True)))
+    return clustering.group_by_template(clustering.with_masked(failures_from_tables(spark, sf)))
 
 
 @query("mined_templates")
 def mined_templates(spark, sf):
-    return clustering.cluster_by_mined_template(clustering.with_masked(failures_from_tables(spark, sf, True)))
+    return clustering.cluster_by_mined_template(clustering.with_masked(failures_from_tables(spark, sf)))
 
 
 DENSITY_SQL = f"""{MASKED}, tp AS (SELECT masked, count(*) AS n, min((us, payment_id)) AS first FROM mf GROUP BY 1),
@@ -202,7 +202,7 @@ ranked AS (SELECT root, row_number() OVER (ORDER BY min(id)) - 1 AS label FROM p
 
 @query("density_clusters", f"{DENSITY_SQL} SELECT payment_id, coalesce(label, -1) AS pred_label FROM mf JOIN ti USING (masked) LEFT JOIN placed USING (id) LEFT JOIN ranked USING (root)")
 def density_clusters(spark, sf):
-    return clustering.cluster_by_density(clustering.with_masked(failures_from_tables(spark, sf, True)))
+    return clustering.cluster_by_density(clustering.with_masked(failures_from_tables(spark, sf)))
 
 
 @query("tfidf_weights", (
@@ -214,7 +214,7 @@ def density_clusters(spark, sf):
     "SELECT masked AS masked_description, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY masked)), 6) AS weight FROM w"
 ))
 def tfidf_weights(spark, sf):
-    masked = clustering.with_masked(failures_from_tables(spark, sf, True))
+    masked = clustering.with_masked(failures_from_tables(spark, sf))
     return clustering.tfidf_vectors(clustering.distinct_templates(masked)).select("masked_description", "term", *rounded("weight"))
 
 
@@ -289,12 +289,12 @@ def crossover_shares(spark, sf):
 
 @query("clusterer_bakeoff")
 def clusterer_bakeoff(spark, sf):
-    return bakeoff.bakeoff_metrics(bakeoff.label_table(failures_from_tables(spark, sf, True)))
+    return bakeoff.bakeoff_metrics(bakeoff.label_table(failures_from_tables(spark, sf)))
 
 
 @query("bakeoff_crossovers")
 def bakeoff_crossovers(spark, sf):
-    return bakeoff.bakeoff_crossovers(bakeoff.bakeoff_metrics(bakeoff.label_table(failures_from_tables(spark, sf, True))))
+    return bakeoff.bakeoff_crossovers(bakeoff.bakeoff_metrics(bakeoff.label_table(failures_from_tables(spark, sf))))
 
 
 OPAQUE = " ".join(f"WHEN {quoted(r)} THEN {quoted(reason_explanation(r).split('. ')[0] + '.')}" for r in K.CATCH_ALL_REASONS)

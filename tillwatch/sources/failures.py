@@ -145,8 +145,8 @@ def rupees(paise: Column) -> Column:
     )
 
 
-def failures_from_tables(spark: SparkSession, sf_dir: str, heavy_rows: bool = False) -> DataFrame:
-    """Failures over the ``events`` table; ``heavy_rows`` announces CPU-heavy row work."""
+def failures_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures over the ``events`` table."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return derive_failures(spark, events)
 
