@@ -340,26 +340,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, coordinates: int = COORD
     keeper = _keeper(folder)
     labels = keeper(connected_components(found, keeper))
 
-    label = F.coalesce("component", "doc").alias("label")
-    crowds = keeper(connected_components(compared, keeper)).select(F.col("node").alias("doc"), F.col("component").alias("hub"))
     placed = stored(
-        signatures.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", label)
-        .join(crowds, "doc", "left").select("doc", "label", F.coalesce("hub", "doc").alias("hub"), F.col("hub").isNotNull().alias("crowded")),
+        signatures.select("doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("label")),
         f"{folder}/placed")
-    labelled = prefix.select("token", "doc").join(placed.select("doc", "hub"), "doc")
+
+    def between_labels(pairs: DataFrame) -> DataFrame:
+        """Pairs of sets as pairs of their labels, where these differ."""
+        own = lambda side: placed.select(F.col("doc").alias(side), F.col("label").alias(f"l{side}"))
+        met = pairs.join(own("a"), "a").join(own("b"), "b").where("la <> lb")
+        return met.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+
+    def grouped(pairs: DataFrame, node: str, group: str) -> DataFrame:
+        return keeper(connected_components(pairs, keeper)).select(F.col("node").alias(node), F.col("component").alias(group))
+
+    crowds = placed.join(grouped(between_labels(compared), "label", "crowd"), "label", "left")
+    hubs_of = stored(crowds.select("doc", "label", F.coalesce("crowd", "label").alias("hub"), F.col("crowd").isNotNull().alias("crowded")), f"{folder}/hubs")
+    labelled = prefix.select("token", "doc").join(hubs_of.select("doc", "hub"), "doc")
     apart = labelled.groupBy("token").agg((F.min("hub") < F.max("hub")).alias("apart")).where("apart").select("token")
-    met = check.merging(labelled.join(apart, "token"), block)
-    merged = keeper(connected_components(met, keeper)).select(F.col("node").alias("hub"), "component")
-    joined_hubs = placed.join(merged, "hub", "left").where("crowded OR component IS NOT NULL")
-    members_of = joined_hubs.select("doc", "label", F.coalesce("component", "hub").alias("hub"))
+    merged = grouped(check.merging(labelled.join(apart, "token"), block), "hub", "component")
+    members_of = hubs_of.join(merged, "hub", "left").where("crowded OR component IS NOT NULL").select("doc", "label", F.coalesce("component", "hub").alias("hub"))
     per_label = members_of.groupBy("hub", "label").agg(F.count("*").alias("n"))
     heads = per_label.groupBy("hub").agg(F.max_by("label", F.struct("n", "label")).alias("head"), F.count("*").alias("labels")).where("labels > 1")
     crowd = stored(members_of.join(heads, "hub").select("doc", "label", "hub", (F.col("label") != F.col("head")).alias("stray")), f"{folder}/crowd")
-    links = found.unionByName(check.crowded(crowd, block))
-    copies = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    components = connected_components(links.unionByName(copies), keeper)
 
-    result = features.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
+    one_id = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
+    joined_labels = grouped(between_labels(check.crowded(crowd, block).unionByName(one_id)), "label", "joined")
+    components = (
+        members.select("doc_id", F.col("rep").alias("doc")).join(placed, "doc").join(joined_labels, "label", "left")
+        .groupBy("doc_id").agg(F.min(F.coalesce("joined", "label")).alias("component")))
+
+    result = features.select("doc_id", "n_shingles").join(components, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
