@@ -31,8 +31,8 @@ BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SIDE, DENSE_EVENTS = 512, 20_000
 #: Ranked units, over all languages; more frequent first. Bounds what is broadcast.
 RANKED = 16_384
-#: Bits of a filter, and units a task gathers before it counts them.
-FILTER_BITS, GATHERED = 1 << 24, 1_500_000
+#: Bits of a filter, units a task gathers before it counts them, and words it holds before it passes their counts on.
+FILTER_BITS, GATHERED, HELD_WORDS = 1 << 24, 1_000_000, 250_000
 LEAST, SHARE, TOP = 10, 50, 2000
 
 _BREAK = np.zeros(256, bool)
@@ -123,7 +123,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         size += 1
                     else:
                         entry[1] += n
-            if size > GATHERED // 3:
+            if size > HELD_WORDS:
                 yield from emitted()
                 held, size = {}, 0
     yield from emitted()
@@ -329,6 +329,6 @@ def collocations(
         F.least(cut(a, F.col("f1"), F.col("f23"), 1), cut(a, F.col("f12"), F.col("f3"), 2)).alias("cut"))
     scored = two.unionByName(three).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
     order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    placed = scored.withColumn("rank", F.row_number().over(order).cast("long"))
-    kept = placed if top is None else placed.where(F.col("rank") <= top)
-    return kept.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    placed = scored.withColumn("place", F.row_number().over(order))
+    kept = placed if top is None else placed.where(F.col("place") <= top)
+    return kept.join(totals, "lang").select("lang", F.col("place").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
