@@ -36,10 +36,13 @@ PLACED, AUDIT_ROWS = 0.98, 2000
 
 
 def unit_rows(vectors: list[np.ndarray | None], width: int) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, whose square may leave the range of doubles."""
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         if v is not None and len(v) == width:
             out[i] = v
+    most = np.abs(out).max(axis=1, keepdims=True, initial=0.0)
+    out /= np.where(most > 0, most, 1)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
 
