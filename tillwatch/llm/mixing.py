@@ -12,6 +12,8 @@ import json
 from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,62 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, int], most: int)
     return given
 
 
+#: Exchanges tried per pattern after filling; each brings its words closer to the quota.
+EXCHANGES = 64
+
+
+def _filled(sizes: pd.DataFrame) -> pd.DataFrame:
+    """How many documents of each size a pattern takes more or less of, so that its words come near its quota.
+
+    sizes has one row per size and whether such documents are chosen (more), with their number n and the gap that the
+    choice leaves. The largest free documents that fit fill the gap first; then single documents are added, given back or
+    exchanged as long as that brings the words closer. Last, one of the largest free documents is tried in place of several.
+    """
+    gap = int(sizes["gap"].iloc[0])
+    held = [{int(s): int(n) for s, m, n in sizes[["size", "more", "n"]].itertuples(index=False) if m == side} for side in (0, 1)]
+    change: dict[int, int] = {}
+
+    def move(size: int, count: int) -> None:
+        if size:
+            held[0][size] = held[0].get(size, 0) - count
+            held[1][size] = held[1].get(size, 0) + count
+            change[size] = change.get(size, 0) + count
+
+    for size in sorted(held[0], reverse=True):
+        count = min(held[0][size], max(0, gap // size))
+        if count:
+            move(size, count)
+            gap -= count * size
+    for _ in range(EXCHANGES):
+        free, taken = (np.array([0, *sorted(s for s, n in side.items() if n > 0)]) for side in held)
+        at = np.searchsorted(free, gap + taken)
+        near = np.concatenate([free[np.maximum(at - 1, 0)], free[np.minimum(at, len(free) - 1)]])
+        back = np.concatenate([taken, taken])
+        left = np.abs(gap - near + back)
+        best = int(left.argmin())
+        if left[best] >= abs(gap):
+            break
+        move(int(near[best]), 1)
+        move(int(back[best]), -1)
+        gap += int(back[best]) - int(near[best])
+    best_swap, best_left = None, abs(gap)
+    for size in sorted((s for s, n in held[0].items() if n > 0), reverse=True)[:EXCHANGES]:
+        over, back = size - gap, []
+        for other in sorted(held[1], reverse=True):
+            count = min(held[1][other], max(0, over // other))
+            if count:
+                back.append((other, count))
+                over -= count * other
+        if abs(over) < best_left:
+            best_swap, best_left = (size, back), abs(over)
+    if best_swap:
+        move(best_swap[0], 1)
+        for other, count in best_swap[1]:
+            move(other, -count)
+    rows = [(sizes["pattern"].iloc[0], size, int(n < 0), abs(n)) for size, n in change.items() if n]
+    return pd.DataFrame(rows, columns=["pattern", "size", "more", "moved"]).astype({"size": "int64", "more": "int32", "moved": "int64"})
+
+
 def mix_sources(docs: DataFrame, sources: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2,
                 seed: int = 17) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
     """How often each document enters the mix; with it the size and the target of every source.
@@ -151,13 +209,12 @@ def mix_sources(docs: DataFrame, sources: Column, weights: Sequence[float] = (3,
     columns = ["doc_id", "text_hash", "pattern", "size", "u", "base", "rest", "more"]
     chosen = stored(simple.select(columns).unionByName(split.select(columns)), f"{folder}/chosen")
 
-    for step in range(2):
-        gaps = chosen.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
-        free = chosen.where("more = 0 AND size > 0").join(F.broadcast(gaps), "pattern").where("abs(gap - size) < abs(gap)")
-        last = free.groupBy("pattern").agg(F.min_by("u", F.struct(F.abs(F.col("gap") - F.col("size")), "u")).alias("last"))
-        chosen = stored(
-            chosen.join(F.broadcast(last), "pattern", "left").withColumn("more", F.when(F.col("u") == F.col("last"), 1).otherwise(F.col("more"))).drop("last"),
-            f"{folder}/closed-{step}")
+    gaps = chosen.groupBy("pattern").agg((F.max("rest") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
+    kinds = chosen.where("size > 0").groupBy("pattern", "size", "more").agg(F.count("*").alias("n"))
+    moved = kinds.join(F.broadcast(gaps), "pattern").groupBy("pattern").applyInPandas(_filled, "pattern string, size long, more int, moved long")
+    alike = Window.partitionBy("pattern", "size", "more").orderBy("u").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = chosen.join(moved, ["pattern", "size", "more"], "left").withColumn("place", F.count("*").over(alike)).withColumn(
+        "more", F.when(F.col("place") <= F.col("moved"), 1 - F.col("more")).otherwise(F.col("more")))
     copies = F.col("base") + F.col("more")
     rows = chosen.select("doc_id", "text_hash", "pattern", "size", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
     return rows, sizes, targets
