@@ -152,7 +152,7 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("ip", pa.st
                      ("head", pa.binary()), ("payload", pa.binary()), ("digest", pa.string()), ("error", pa.string())])
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[dict]:
         for batch in batches:
             for content in batch.column("content"):
@@ -163,14 +163,18 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     head, body = http_parts(record["document"])
                     number, status = head_field(head, "X-Page-Id"), re.match(rb"HTTP/\S+ (\d{3})", head)
                     yield {**{k: record[k] for k in ("url", "ip", "date", "error")}, "page_id": int(number) if number else None,
-                           "status": int(status[1]) if status else None, "head": head, "payload": zlib.compress(body, 1), "digest": base32_sha1(body)}
+                           "status": int(status[1]) if status else None, "head": head if payloads else None,
+                           "payload": zlib.compress(body, 1) if payloads else None, "digest": base32_sha1(body)}
 
     yield from batches_of(rows(), _RECORD, lambda row: len(row.get("payload") or b""))
 
 
-def read_arcs(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all ARC files of a folder (payload zlib-packed), with an error text where a record is damaged."""
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(_parsed, RECORD)
+def read_arcs(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """Records of all ARC files of a folder (payload zlib-packed), with an error text where a record is damaged.
+
+    Without ``payloads`` heads and payloads are left out and nothing is packed; digests are there all the same.
+    """
+    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(lambda x: _parsed(x, payloads), RECORD)
 
 
 # WARC
@@ -241,8 +245,9 @@ def convert_arcs(spark: SparkSession, arc_folder: str, warc_folder: str, least_r
     with one number and payload are alike. Damaged records that still have a document are kept and marked truncated.
     """
     records = read_arcs(spark, arc_folder).where("digest IS NOT NULL")
-    first = records.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("first"))
-    joined = records.join(first, "digest")
+    named = read_arcs(spark, arc_folder, payloads=False).where("digest IS NOT NULL")
+    first = named.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("first"))
+    joined = records.join(first.hint("shuffle_hash"), "digest")
     length = F.coalesce(F.regexp_extract(F.col("head").cast("string"), r"(?im)^content-length:\s*(\d+)", 1).try_cast("long"), F.lit(1 << 40))
     again = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id")) & (length >= least_revisit) & (F.octet_length("head") > 0)
     pick = lambda name: F.when(again, F.col(f"first.{name}"))
@@ -278,13 +283,13 @@ def _pages(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Rec
                     head, body = http_parts(block)
                     said = fields["warc-payload-digest"].removeprefix("sha1:")
                     again = fields["warc-type"] == "revisit"
-                    number = head_field(head, "X-Page-Id")
+                    number, own = head_field(head, "X-Page-Id"), None if again else base32_sha1(body)
                     yield {"page_id": int(number) if number else page_of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"),
                            "payload_bytes": int(head_field(head, "Content-Length") or 0) if again else len(body),
-                           "payload_digest": said if again else base32_sha1(body), "record_type": fields["warc-type"],
+                           "payload_digest": said if again else own, "record_type": fields["warc-type"],
                            "refers_to": page_of(fields["warc-refers-to"]) if again else None,
                            "record_id": fields["warc-record-id"], "date": fields["warc-date"],
-                           "intact": fields["warc-block-digest"] == f"sha1:{base32_sha1(block)}" and (again or said == base32_sha1(body)),
+                           "intact": fields["warc-block-digest"] == f"sha1:{base32_sha1(block)}" and (again or said == own),
                            "payload": body if payloads and not again else None}
 
     yield from batches_of(rows(), _PAGE, lambda row: len(row["payload"] or b""))
