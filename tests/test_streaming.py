@@ -189,3 +189,28 @@ def test_state_of_a_resolved_downtime_expires(spark, tmp_path):
     query.stop()
     assert {(r.id, r.status) for r in spark.table("expiry_case").collect()} == {("a", "resolved"), ("b", "started"), ("c", "resolved"), ("d", "started")}
     assert late == 1 and left < full + 1
+
+
+@pytest.mark.parametrize("name", ["sightings", "contacts", "bursts", "incidents"])
+def test_timers_grow_with_groups_not_with_rows(spark, tmp_path, name):
+    """400 rows of 40 ids, or of one entity: a timer per row would call Python and read the state 400 times."""
+    build = {
+        "sightings": lambda s: S.first_sightings(s.select(F.col("id").alias("event_id"), F.col("at").alias("received_at")), 60, shards=4),
+        "contacts": lambda s: S.contact_verdicts(
+            s.select(F.col("id").alias("customer_id"), F.col("no").cast("string").alias("payment_id"), F.col("at").alias("created_at")),
+            PolicyConfig(cooldown_seconds=60), shards=4),
+        "bursts": lambda s: S.watch_bursts(s.withWatermark("bucket_end", "1 hour"), 0),
+        "incidents": lambda s: S.watch_incidents(s.withWatermark("bucket_end", "1 hour")),
+    }[name]
+    rows = spark.range(400).selectExpr(
+        "concat('c', id % 40) id", "id no", "timestamp_seconds(1700000000 + id * 900) at", "'upi' method", "'Axis Bank' bank",
+        "timestamp_seconds(1700000000 + id * 900) bucket_start", "timestamp_seconds(1700000899 + id * 900) bucket_end", "1L n", "1D score", "true is_burst")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = (
+        build(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("noop").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "state")).start()
+    )
+    query.processAllAvailable()
+    registered = sum(p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in query.recentProgress if p.stateOperators)
+    query.stop()
+    assert 0 < registered <= 12

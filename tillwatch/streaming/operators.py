@@ -8,10 +8,11 @@ event time as ``timestamp``; the RocksDB state store has to be configured (``bui
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -36,47 +37,104 @@ def drop_redeliveries(deliveries: DataFrame, lateness: str = "24 hours") -> Data
     return deliveries.withWatermark("received_at", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
+#: Groups that ids are dealt over where one has little state. A call per group and batch costs far more than a row in it, so
+#: many ids share a group; choose more if a group's live ids do not fit a task.
+SHARDS = 256
+
+
+def shard(key: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+
+
+def _micros(moments: pd.Series) -> list[int]:
+    return moments.to_numpy("datetime64[us]").astype("int64").tolist()
+
+
+class OneTimer:
+    """The one timer of a key: the earliest moment at which its state has to be looked at again.
+
+    A timer per row would call Python, and read and write the state, once per row when the watermark moves on.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "ms long")
+
+    def at_latest(self, ms: int) -> None:
+        """Look again at ``ms``, unless that is due earlier."""
+        before = self.pending.get()
+        if before is not None:
+            if before[0] <= ms:
+                return
+            self.handle.deleteTimer(before[0])
+        self.again(ms)
+
+    def again(self, ms: int | None) -> None:
+        """Once the timer has fired: the next moment, or none."""
+        if ms is None:
+            self.pending.clear()
+            return
+        self.handle.registerTimer(ms)
+        self.pending.update((ms,))
+
+
+def _kept(state: object, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 class FirstSighting(StatefulProcessor):
-    """Keeps one moment per id: when it was last let through."""
+    """Keeps one moment per id: when it was last let through. A key is a shard of ids, its state read and written as a whole."""
 
     def __init__(self, ttl_us: int) -> None:
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "us long")
+        self.seen = handle.getListState("seen", "event_id string, us long")
+        self.timer = OneTimer(handle)
+
+    def _over_ms(self, us: int) -> int:
+        """When an id let through at ``us`` is forgotten, on a grid so that a shard is not searched for every single id."""
+        step = max(1, self.ttl_us // 24)
+        return -(-(us + self.ttl_us) // step) * step // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kept_at = self.seen.get()[0] if self.seen.exists() else None
-        batch = pd.concat(list(rows)).sort_values("received_at", kind="stable")
-        kept = []
-        for row in batch.itertuples(index=False):
-            at = epoch_us(row.received_at)
-            if kept_at is None or at - kept_at >= self.ttl_us:
-                kept_at = at
-                kept.append(row)
+        seen, kept = dict(self.seen.get()), []
+        batch = pd.concat(list(rows))
+        for us, event_id in sorted(zip(_micros(batch["received_at"]), batch["event_id"], strict=True), key=lambda x: x[0]):
+            kept_at = seen.get(event_id)
+            if kept_at is None or us - kept_at >= self.ttl_us:
+                seen[event_id] = us
+                kept.append((event_id, _moment(us)))
         if kept:
-            self.seen.update((kept_at,))
-            self.handle.registerTimer((kept_at + self.ttl_us) // 1000 + 1)
-            yield pd.DataFrame(kept)[["event_id", "received_at"]]
+            _kept(self.seen, list(seen.items()))
+            self.timer.at_latest(self._over_ms(min(seen.values())))
+            yield _frame(kept, SIGHTING_SCHEMA)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Forget the id once its time to live is over, unless it was let through again since."""
-        if self.seen.exists() and self.seen.get()[0] + self.ttl_us <= timerValues.getCurrentWatermarkInMs() * 1000:
-            self.seen.clear()
-        yield pd.DataFrame({"event_id": pd.Series(dtype=str), "received_at": pd.Series(dtype="datetime64[ns]")})
+        """Forget the ids whose time to live is over."""
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        seen = [(event_id, us) for event_id, us in self.seen.get() if us + self.ttl_us > passed]
+        _kept(self.seen, seen)
+        self.timer.again(self._over_ms(min(us for _, us in seen)) if seen else None)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def first_sightings(deliveries: DataFrame, ttl_seconds: int = K.DEDUP_TTL_SECONDS, lateness: str = "10 minutes") -> DataFrame:
+SIGHTING_SCHEMA = "event_id string, received_at timestamp"
+
+
+def first_sightings(
+    deliveries: DataFrame, ttl_seconds: int = K.DEDUP_TTL_SECONDS, lateness: str = "10 minutes", shards: int = SHARDS
+) -> DataFrame:
     """Exact fixed time to live from the first sighting; duplicates do not extend it."""
     return (
-        deliveries.select("event_id", "received_at").withWatermark("received_at", lateness).groupBy("event_id")
-        .transformWithStateInPandas(
-            FirstSighting(ttl_seconds * 1_000_000), "event_id string, received_at timestamp", "Append", "EventTime"
-        )
+        deliveries.select("event_id", "received_at", shard("event_id", shards)).withWatermark("received_at", lateness).groupBy("shard")
+        .transformWithStateInPandas(FirstSighting(ttl_seconds * 1_000_000), SIGHTING_SCHEMA, "Append", "EventTime")
     )
 
 
