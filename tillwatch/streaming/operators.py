@@ -361,11 +361,11 @@ CONTACT_SCHEMA = (
 
 
 class ContactHistory(StatefulProcessor):
-    """Contact cap and cooldown on requests of one customer, in event order.
+    """Contact cap and cooldown on the requests of a shard of customers, in event order.
 
-    Requests wait in state until a timer says that the watermark has passed them, and are then decided in order of
-    (created_at, payment_id), whatever order they came in. Only accepted contacts are remembered, and of those the last
-    ``contact_cap``; a second timer forgets them when neither limit can reach back to them.
+    Requests wait in state until a timer says that the watermark has passed them, and are then decided customer by customer in
+    order of (created_at, payment_id), whatever order they came in. Only accepted contacts are remembered, and of those a
+    customer's last ``contact_cap``; they are forgotten when neither limit can reach back to them.
     """
 
     def __init__(self, config: PolicyConfig) -> None:
@@ -373,25 +373,20 @@ class ContactHistory(StatefulProcessor):
         self.window_us, self.cooldown_us = config.contact_window_seconds * 1_000_000, config.cooldown_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getValueState("waiting", "us array<long>, ids array<string>")
-        self.history = handle.getValueState("history", "contacts array<long>")
+        self.waiting = handle.getListState("waiting", "customer_id string, us long, payment_id string")
+        self.history = handle.getListState("history", "customer_id string, us long")
+        self.timer = OneTimer(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        moments, ids = map(list, self.waiting.get()) if self.waiting.exists() else ([], [])
-        for row in pd.concat(list(rows)).itertuples(index=False):
-            moments.append(epoch_us(row.created_at))
-            ids.append(row.payment_id)
-            self.handle.registerTimer(-(-moments[-1] // 1000))
-        self.waiting.update((moments, ids))
-        yield _frame([], CONTACT_SCHEMA)
+        batch = pd.concat(list(rows))
+        moments = _micros(batch["created_at"])
+        self.waiting.appendList(list(zip(batch["customer_id"], moments, batch["payment_id"], strict=True)))
+        self.timer.at_latest(-(-min(moments) // 1000))
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else []
-        contacts = list(self.history.get()[0]) if self.history.exists() else []
-        out = []
-        for us, payment_id in (w for w in waiting if w[0] <= passed):
+    def _decided(self, customer: str | None, requests: list[tuple], contacts: list[int]) -> Iterator[tuple]:
+        """The verdicts on requests (us, payment_id) in order; ``contacts`` takes in those accepted."""
+        for us, payment_id in sorted(requests):
             count = sum(1 for at in contacts if at >= us - self.window_us)
             since = (us - contacts[-1]) / 1e6 if contacts else None
             if count >= self.config.contact_cap:
@@ -400,33 +395,44 @@ class ContactHistory(StatefulProcessor):
                 verdict = "contact_cooldown"
             else:
                 verdict = "accepted"
-                contacts = [*contacts, us][-max(1, self.config.contact_cap):]
-                self.handle.registerTimer((us + max(self.window_us, self.cooldown_us)) // 1000 + 2)
-            out.append((key[0], payment_id, _moment(us), count, since, verdict))
-        left = [w for w in waiting if w[0] > passed]
-        contacts = [at for at in contacts if at >= min([passed, *(us for us, _ in left)]) - max(self.window_us, self.cooldown_us)]
-        if left:
-            self.waiting.update(tuple(map(list, zip(*left))))
-        else:
-            self.waiting.clear()
-        if contacts:
-            self.history.update((contacts,))
-        else:
-            self.history.clear()
+                contacts[:] = [*contacts, us][-max(1, self.config.contact_cap):]
+            yield customer, payment_id, _moment(us), count, since, verdict
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed, reach = timerValues.getCurrentWatermarkInMs() * 1000, max(self.window_us, self.cooldown_us)
+        due, contacts, left, out = defaultdict(list), defaultdict(list), [], []
+        for customer, us, payment_id in self.waiting.get():
+            if us <= passed:
+                due[customer].append((us, payment_id))
+            else:
+                left.append((customer, us, payment_id))
+        for customer, us in self.history.get():
+            contacts[customer].append(us)
+        for customer, requests in due.items():
+            out.extend(self._decided(customer, requests, contacts[customer]))
+        kept = [(customer, at) for customer, line in contacts.items() for at in line if at >= passed - reach]
+        _kept(self.waiting, left)
+        _kept(self.history, kept)
+        step = max(1, reach // 24)
+        moments = [-(-us // 1000) for _, us, _ in left] + [-(-(at + reach) // step) * step // 1000 + 2 for _, at in kept]
+        self.timer.again(min(moments, default=None))
         yield _frame(out, CONTACT_SCHEMA)
 
     def close(self) -> None:
         pass
 
 
-def contact_verdicts(requests: DataFrame, config: PolicyConfig = PolicyConfig(), lateness: str = "1 hour") -> DataFrame:
+def contact_verdicts(
+    requests: DataFrame, config: PolicyConfig = PolicyConfig(), lateness: str = "1 hour", shards: int = SHARDS
+) -> DataFrame:
     """Verdict per contact request ``(customer_id, payment_id, created_at)``, once the watermark has passed it.
 
     Requests may come out of order by up to ``lateness``. A later one is dropped and counted by Spark (``late_rows``). The time
     since the last contact is null when that lies beyond both limits.
     """
-    rows = requests.select("customer_id", "payment_id", F.col("created_at").cast("timestamp").alias("created_at"))
-    return rows.withWatermark("created_at", lateness).groupBy("customer_id").transformWithStateInPandas(
+    rows = requests.select(
+        "customer_id", "payment_id", F.col("created_at").cast("timestamp").alias("created_at"), shard("customer_id", shards))
+    return rows.withWatermark("created_at", lateness).groupBy("shard").transformWithStateInPandas(
         ContactHistory(config), CONTACT_SCHEMA, "Append", "EventTime"
     )
 
