@@ -173,8 +173,8 @@ def _moment(us: int) -> pd.Timestamp:
 class BurstWatch(StatefulProcessor):
     """Scores each bucket of an entity against its trailing baseline once the watermark closes it.
 
-    A count waits in state until an event-time timer at the end of its bucket fires, so counts may come in
-    any order before that. State is what waits, the last non-empty buckets within the history, and the moving
+    A count waits in state until an event-time timer fires at or after the end of its bucket, so counts may come in
+    any order before that. An entity has one timer, for what comes first, and scores all that is closed when it fires. State is what waits, the last non-empty buckets within the history, and the moving
     moments. Empty buckets are read off the distance between bucket positions. When the history has
     passed without a failure, a detector that looks back over the history only forgets the entity.
     """
@@ -184,7 +184,7 @@ class BurstWatch(StatefulProcessor):
         self.origin = origin_us // self.width_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.timer = OneTimer(handle)
         self.waiting = handle.getValueState("waiting", "idx array<long>, n array<long>")
         self.recent = handle.getValueState("recent", "idx array<long>, n array<long>")
         self.moments = handle.getValueState("moments", "at long, mean double, variance double")
@@ -212,12 +212,13 @@ class BurstWatch(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         counts = dict(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else {}
-        for row in pd.concat(list(rows)).itertuples(index=False):
-            idx = epoch_us(row.bucket_start) // self.width_us
-            counts[idx] = counts.get(idx, 0) + int(row.n)
-            self.handle.registerTimer(self._ends_ms(idx))
+        batch = pd.concat(list(rows))
+        for us, n in zip(_micros(batch["bucket_start"]), batch["n"], strict=True):
+            idx = us // self.width_us
+            counts[idx] = counts.get(idx, 0) + int(n)
         self.waiting.update((list(counts), list(counts.values())))
-        yield _frame([], BURST_SCHEMA)
+        self.timer.at_latest(self._ends_ms(min(counts)))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         closed = timerValues.getCurrentWatermarkInMs() * 1000 // self.width_us
@@ -242,7 +243,6 @@ class BurstWatch(StatefulProcessor):
                 if idx - self.origin < K.MIN_HISTORY:
                     score, burst = 0.0, False
             past.append((idx, n))
-            self.handle.registerTimer(self._ends_ms(idx + K.HISTORY_BUCKETS))
             start = idx * self.width_us
             out.append((key[0], key[1], _moment(start), _moment(start + self.width_us - 1), n, float(score), bool(burst)))
         past = [(i, c) for i, c in past if i >= closed - K.HISTORY_BUCKETS]
@@ -253,6 +253,9 @@ class BurstWatch(StatefulProcessor):
                 state.clear()
         if self.detector == "ewma_zscore":
             self.moments.update((int(at), float(mean), float(variance)))
+        due = [min(counts)] if counts else []
+        due += [past[-1][0] + K.HISTORY_BUCKETS] if past else []
+        self.timer.again(self._ends_ms(min(due)) if due else None)
         yield _frame(out, BURST_SCHEMA)
 
     def close(self) -> None:
