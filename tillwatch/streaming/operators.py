@@ -291,7 +291,7 @@ class IncidentWatch(StatefulProcessor):
         self.detector, self.max_gap, self.width_us = detector, max_gap, width_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.timer = OneTimer(handle)
         self.open = handle.getValueState("open", "first long, last long, total long, peak double, quiet long, quiet_peak double")
         self.number = handle.getValueState("number", "closed long")
 
@@ -314,23 +314,23 @@ class IncidentWatch(StatefulProcessor):
                     if now is not None:
                         out.append(self._emitted(key, *now[:4]))
                     now = (idx, idx, n, score, 0, score)
-                self.handle.registerTimer(self._over_ms(idx))
             elif near:
                 now = (*now[:4], now[4] + n, max(now[5], score))
         if now is not None:
             self.open.update(now)
+            self.timer.at_latest(self._over_ms(now[1]))
         yield _frame(out, INCIDENT_SCHEMA)
 
     def _over_ms(self, last: int) -> int:
         return -(-(last + self.max_gap + 2) * self.width_us // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        if self.open.exists():
-            now = self.open.get()
-            if self._over_ms(now[1]) <= timerValues.getCurrentWatermarkInMs():
-                out.append(self._emitted(key, *now[:4]))
-                self.open.clear()
+        out, now = [], self.open.get()
+        if now is not None and self._over_ms(now[1]) <= timerValues.getCurrentWatermarkInMs():
+            out.append(self._emitted(key, *now[:4]))
+            self.open.clear()
+            now = None
+        self.timer.again(None if now is None else self._over_ms(now[1]))
         yield _frame(out, INCIDENT_SCHEMA)
 
     def close(self) -> None:
