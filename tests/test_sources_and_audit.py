@@ -219,3 +219,10 @@ def test_stream_appends_once_over_restarts_and_lost_commits(spark, rows, tmp_pat
     index = audit_log.current_tips(spark, path)
     assert sorted(map(tuple, index.collect())) == sorted(map(tuple, audit.chain_tips(stored).collect()))
     assert Path(f"{path}/tips/epoch=1").exists()
+
+
+def test_failures_are_dealt_out_from_a_file_of_one_row_group(spark):
+    from tillwatch.sources.failures import failures_from_tables
+
+    rows = failures_from_tables(spark, "/root/testdata/sf0.001").select("description")
+    assert "RepartitionByExpression [event_id" in rows._jdf.queryExecution().optimizedPlan().toString()
