@@ -228,3 +228,7 @@ def test_summaries_on_empty_input(failures, diagnoses):
     nothing = guardrails.decide_batch(failures.filter("false"), diagnoses)
     assert reporting.over_contact(nothing).first().reduction_rate == 0.0
     assert {r.final_count for r in reporting.action_distribution(nothing).collect()} == {0}
+
+
+def test_decisions_read_stored_candidates(failures, diagnoses):
+    assert not any("events" in path for path in guardrails.decide_batch(failures, diagnoses).inputFiles())

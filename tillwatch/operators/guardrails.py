@@ -21,6 +21,7 @@ from tillwatch.functions.timegrid import micros
 from tillwatch.operators.diagnosis import attach_by_reason
 from tillwatch.operators.incidents import flag_active_incidents
 from tillwatch.operators.spacing import HOT_ROWS, select_spaced
+from tillwatch.session import stored
 
 
 @dataclass(frozen=True)
@@ -221,11 +222,13 @@ def decide(
 ) -> DataFrame:
     """Decisions for failures that carry ``in_active_incident``; ``keep`` passes columns through.
 
-    ``sizes_from`` is a table with the same customers that is cheaper to count than ``flagged``.
+    ``sizes_from`` is a table with the same customers that is cheaper to count than ``flagged``. The candidates are stored:
+    requests, contact statistics and the rest of the chain read them, and all that is before them should run once.
     """
     rows = candidates(flagged, diagnoses, config)
+    rows = stored(rows.select(*[c for c in rows.columns if c.startswith("_") or c in DECISION_COLUMNS or c in keep]))
     requests = rows.filter(P.is_chase(F.col("_a4"))).select("customer_id", "created_at", "payment_id")
-    sizes = (flagged if sizes_from is None else sizes_from).groupBy("customer_id").count()
+    sizes = (rows if sizes_from is None else sizes_from).groupBy("customer_id").count()
     log = accepted_contacts(requests, config, sizes, hot_rows)
     rows = with_contact_stats(rows, log, config, sizes_from)
     chain = default_chain(config)
@@ -253,4 +256,4 @@ def decide_batch(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Flag active incidents over the whole input, then decide."""
-    return decide(flag_active_incidents(failures), diagnoses, config, keep, hot_rows, failures)
+    return decide(flag_active_incidents(failures), diagnoses, config, keep, hot_rows)

@@ -82,6 +82,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tillwatch-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder; readers scan only the columns they need."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def inline_table(spark: SparkSession, columns: Sequence[str], rows: Iterable[Sequence[object]]) -> DataFrame:
     """A literal dimension as a local relation: exact statistics, no Python row transfer."""
     values = ", ".join("(" + ", ".join(sql_literal(value) for value in row) + ")" for row in rows)
