@@ -226,3 +226,14 @@ def test_failures_are_dealt_out_from_a_file_of_one_row_group(spark):
 
     rows = failures_from_tables(spark, "/root/testdata/sf0.001").select("description")
     assert "RepartitionByExpression [event_id" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kept_error_codes_spare_the_join_and_verification_hashes_before_it(spark, failures, diagnoses):
+    from tillwatch.operators import audit, execution, guardrails
+
+    decided = execution.execution_records(guardrails.decide_batch(failures, diagnoses, keep=("error_code", "error_source", "error_step")))
+    log = audit.build_chain(audit.audit_rows(decided, None, diagnoses, "2026-01-01T00:00:00Z"), 2)
+    checks = audit.verify_chains(log)
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("sha2(")
+    assert all(r.valid for r in checks.collect())

@@ -160,7 +160,7 @@ def appended_log(spark, sf) -> DataFrame:
 
 def _audit_rows(spark, sf) -> DataFrame:
     failures, diagnoses = failures_from_tables(spark, sf), D.default_diagnoses(spark)
-    decided = execution.execution_records(guardrails.decide_batch(failures, diagnoses))
+    decided = execution.execution_records(guardrails.decide_batch(failures, diagnoses, keep=audit.ERROR_CODES))
     rows = audit.audit_rows(decided, failures, diagnoses, "2026-01-01T00:00:00Z")
     folder = shared_folder(spark)
     rows.write.parquet(folder)

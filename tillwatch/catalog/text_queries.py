@@ -15,7 +15,7 @@ from tillwatch.catalog.sql_views import clause_sql, quoted, sql_list
 from tillwatch.functions.outbound import masked_contact, reference_id
 from tillwatch.functions.taxonomy import true_label
 from tillwatch.functions.text import mask_description, normalise_template
-from tillwatch.operators import audit, calls, clustering, corpus, execution, metrics, reporting, scoring
+from tillwatch.operators import audit, calls, clustering, corpus, execution, guardrails, metrics, reporting, scoring
 from tillwatch.operators.dedup import first_deliveries
 from tillwatch.operators.diagnosis import default_diagnoses
 from tillwatch.plans import bakeoff
@@ -406,8 +406,9 @@ def outbound_replays(spark, sf):
 
 
 def audit_log(spark, sf, shards_per_day: int = 4) -> DataFrame:
-    executed = execution.execution_records(decisions(spark, sf))
-    rows = audit.audit_rows(executed, failures_from_tables(spark, sf), default_diagnoses(spark), "2024-03-01T00:00:00Z")
+    failures, diagnoses = failures_from_tables(spark, sf), default_diagnoses(spark)
+    executed = execution.execution_records(guardrails.decide_batch(failures, diagnoses, keep=audit.ERROR_CODES))
+    rows = audit.audit_rows(executed, failures, diagnoses, "2024-03-01T00:00:00Z")
     return audit.build_chain(rows, shards_per_day)
 
 

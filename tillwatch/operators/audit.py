@@ -27,6 +27,7 @@ BEFORE_LINK = [
     "error_source", "error_step", "execution", "final_action", "guardrail_evaluations", "in_active_incident",
     "justification", "ladder_terminal_state", "method", "order_id", "payment_id",
 ]
+ERROR_CODES = ("error_code", "error_source", "error_step")
 AFTER_LINK = ["recorded_at", "remediation_class", "schema_version", "sequence"]
 
 
@@ -35,14 +36,16 @@ def audit_rows(
 ) -> DataFrame:
     """Audit rows from executed decisions, their failures and their diagnoses.
 
-    ``decisions`` carries ``execution``. Decision and failure meet on the unique payment id.
+    ``decisions`` carries ``execution``. Decision and failure meet on the unique payment id, unless the decisions
+    have kept ``ERROR_CODES`` (see ``decide_batch``).
     """
-    codes = failures.select("payment_id", "error_code", "error_source", "error_step")
     reasons = diagnoses.select(F.col("reason").alias("error_reason"), F.col("rationale").alias("diagnosis_rationale"))
     evaluations = F.transform(
         "guardrail_evaluations", lambda e: F.struct(*[e[name].alias(name) for name in EVALUATION_FIELDS])
     )
-    joined = decisions.join(codes, "payment_id").join(reasons, "error_reason", "left")
+    if not set(ERROR_CODES) <= set(decisions.columns):
+        decisions = decisions.join(failures.select("payment_id", *ERROR_CODES), "payment_id")
+    joined = decisions.join(reasons, "error_reason", "left")
     return joined.withColumns({
         "guardrail_evaluations": evaluations,
         "chain_day": F.date_format("created_at", "yyyy-MM-dd"),
@@ -57,7 +60,7 @@ def assign_chains(rows: DataFrame, shards_per_day: int = SHARDS_PER_DAY, tips: D
     ``tips`` (chain_id, last_sequence, last_hash) resumes existing chains, see ``chain_tips``.
     """
     shard = F.pmod(F.conv(F.substring(F.md5("payment_id"), 1, 8), 16, 10).cast("long"), F.lit(shards_per_day))
-    sharded = rows.withColumn("chain_id", F.concat_ws("/", "chain_day", F.lpad(shard.cast("string"), 5, "0")))
+    sharded = rows.withColumn("chain_id", F.concat_ws("/", "chain_day", F.lpad(shard.cast("string"), 5, "0"))).repartition("chain_id")
     order = W.partitionBy("chain_id").orderBy("created_at", "payment_id")
     numbered = sharded.withColumn("sequence", (F.row_number().over(order) - 1).cast("long"))
     if tips is None:
@@ -89,13 +92,15 @@ def _link(prev: str | None, head: str, tail: str) -> str:
     return hashlib.sha256(f"{prev or ''}|{head}{shown}{tail}".encode()).hexdigest()
 
 
-def chain_rows(numbered: DataFrame, head: Column, tail: Column) -> DataFrame:
+def chain_rows(numbered: DataFrame, head: Column, tail: Column, placed: bool = False) -> DataFrame:
     """Add ``prev_hash`` and ``record_hash`` along each ``chain_id`` in ``sequence`` order.
 
-    Rows pass through as Arrow batches; per task only the last hash is held.
+    Rows pass through as Arrow batches; per task only the last hash is held. ``placed`` says that each chain is in one task
+    and in order already, as ``assign_chains`` leaves it; the canonical texts are made after rows have moved.
     """
-    prepared = numbered.withColumn("_head", head).withColumn("_tail", tail)
-    ordered = prepared.repartition("chain_id").sortWithinPartitions("chain_id", "sequence")
+    if not placed:
+        numbered = numbered.repartition("chain_id").sortWithinPartitions("chain_id", "sequence")
+    prepared = ordered = numbered.withColumn("_head", head).withColumn("_tail", tail)
     kept = [field for field in prepared.schema.fields if not field.name.startswith("_")]
     names = [field.name for field in kept]
     schema = T.StructType([*kept, T.StructField("prev_hash", T.StringType()), T.StructField("record_hash", T.StringType())])
@@ -121,7 +126,7 @@ def chain_rows(numbered: DataFrame, head: Column, tail: Column) -> DataFrame:
 
 def build_chain(rows: DataFrame, shards_per_day: int = SHARDS_PER_DAY, tips: DataFrame | None = None) -> DataFrame:
     head, tail = canonical_parts()
-    return chain_rows(assign_chains(rows, shards_per_day, tips), head, tail)
+    return chain_rows(assign_chains(rows, shards_per_day, tips), head, tail, placed=True)
 
 
 def chain_tips(log: DataFrame) -> DataFrame:
@@ -141,14 +146,18 @@ def verify_chains(log: DataFrame, head: Column | None = None, tail: Column | Non
 
 
 def _first_breaks(log: DataFrame, continued: Column, head: Column | None, tail: Column | None) -> DataFrame:
-    """``continued`` is the hash a record must link to when its predecessor is not among the rows."""
+    """``continued`` is the hash a record must link to when its predecessor is not among the rows.
+
+    Contents are hashed before the join, so that hashes alone are shuffled.
+    """
     if head is None or tail is None:
         head, tail = canonical_parts()
-    before = log.select("chain_id", (F.col("sequence") + 1).alias("sequence"), F.col("record_hash").alias("_expected"))
-    linked = log.join(before, ["chain_id", "sequence"], "left")
-    broken_link = ~F.col("prev_hash").eqNullSafe(F.coalesce("_expected", continued))
     altered = F.col("record_hash") != link_hash(F.col("prev_hash"), head, tail)
-    problem = F.when(broken_link, "broken link").when(altered, "altered content")
+    narrow = log.select("chain_id", "sequence", "prev_hash", altered.alias("_altered"), continued.alias("_continued"))
+    before = log.select("chain_id", (F.col("sequence") + 1).alias("sequence"), F.col("record_hash").alias("_expected"))
+    linked = narrow.join(before, ["chain_id", "sequence"], "left")
+    broken_link = ~F.col("prev_hash").eqNullSafe(F.coalesce("_expected", "_continued"))
+    problem = F.when(broken_link, "broken link").when(F.col("_altered"), "altered content")
     return linked.select("chain_id", "sequence", problem.alias("problem")).groupBy("chain_id").agg(
         F.count("*").alias("n_records"), F.count("problem").alias("n_problems"),
         F.min(F.when(F.col("problem").isNotNull(), F.struct("sequence", "problem"))).alias("first"),
