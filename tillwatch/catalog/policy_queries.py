@@ -15,6 +15,7 @@ from tillwatch.functions.timegrid import micros
 from tillwatch.operators import backtest, guardrails, reporting
 from tillwatch.operators import diagnosis as D
 from tillwatch.operators.incidents import flag_active_incidents
+from tillwatch.session import stored
 from tillwatch.sources.dimensions import default_answers, default_reasons, first_row_per_reason, reviewed_classes
 from tillwatch.sources.failures import failures_from_tables
 
@@ -337,7 +338,7 @@ def prob_sql(action: str) -> str:
     f"{DRAW} < {prob_sql('final_action')} AS recovered FROM dd JOIN cls USING (remediation_class) CROSS JOIN lev"
 ))
 def recovery_scores(spark, sf):
-    decided = decisions(spark, sf)
+    decided = stored(decisions(spark, sf).select("payment_id", "remediation_class", "final_action"))
     parts = None
     for level in K.LEVELS:
         part = score_recovery(decided, level).select(
